@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallybook.llm import sharding
+from tallybook.llm import matroska, mixing, sharding
 
-_MODULES = [sharding]
+_MODULES = [matroska, sharding, mixing]
 
 
 def queries() -> dict:
