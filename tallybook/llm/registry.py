@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallybook.llm import matroska, mixing, sharding
+from tallybook.llm import bpe, matroska, minhash, mixing, sharding
 
-_MODULES = [matroska, sharding, mixing]
+_MODULES = [minhash, matroska, bpe, sharding, mixing]
 
 
 def queries() -> dict:
