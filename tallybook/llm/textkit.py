@@ -79,13 +79,24 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of all words, and for each row the index of its first word (n + 1 values)."""
+@cache
+def letter_byte() -> np.ndarray:
+    """ASCII letters and all bytes of other characters."""
+    table = np.zeros(256, bool)
+    table[65:91] = table[97:123] = table[128:] = True
+    return table
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all words, and for each row the index of its first word (n + 1 values).
+
+    kind: which bytes belong to words; all but white space if not given.
+    """
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = _word_byte()[data]
+    inside = (_word_byte() if kind is None else kind)[data]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]
