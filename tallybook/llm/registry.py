@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallybook.llm import bpe, matroska, minhash, mixing, sharding
+from tallybook.llm import bpe, language, matroska, minhash, mixing, quality, sharding, toxicity
 
-_MODULES = [minhash, matroska, bpe, sharding, mixing]
+_MODULES = [minhash, language, matroska, bpe, sharding, toxicity, quality, mixing]
 
 
 def queries() -> dict:
