@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallybook.llm import bpe, language, matroska, minhash, mixing, neighbours, quality, sharding, toxicity
+from tallybook.llm import bpe, language, matroska, minhash, mixing, neighbours, quality, sharding, suffixes, toxicity
 
-_MODULES = [minhash, language, matroska, bpe, neighbours, sharding, toxicity, quality, mixing]
+_MODULES = [minhash, language, matroska, bpe, neighbours, sharding, suffixes, toxicity, quality, mixing]
 
 
 def queries() -> dict:
