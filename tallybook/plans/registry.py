@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_MODULES: list = []
+from tallybook.plans import coverage, ledgers, reports
+
+_MODULES: list = [coverage, reports, ledgers]
 
 
 def queries() -> dict:
