@@ -29,10 +29,7 @@ def fill_balance(df: DataFrame, keys: list[str], seq: list[str], mode: str = "ex
     out = df.withColumn("_known", known).withColumn("_sum", F.sum(moved).over(before))
     out = out.withColumn("_shift", F.col("_sum") if mode == "exact" else F.col("_sum") - F.coalesce(moved, F.lit(0)))
     forward = F.last(F.col("_known") - F.col("_sum"), True).over(before) + F.col("_sum")
-    if mode == "exact":
-        backward = F.first(F.col("_known") - F.col("_sum"), True).over(after) + F.col("_sum")
-    else:
-        backward = F.first(F.col("_known") + F.col("_shift"), True).over(after) - F.col("_shift")
+    backward = F.first(F.col("_known") - F.col("_shift"), True).over(after) + F.col("_shift")
     return out.withColumn("balance", F.coalesce(forward, backward).cast(df.schema["balance"].dataType)).drop("_known", "_sum", "_shift")
 
 

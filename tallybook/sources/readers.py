@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from email import message_from_bytes, policy
 from email.utils import getaddresses, parsedate_to_datetime
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,8 @@ def csv_lower(spark: SparkSession, path: str, separator: str = ",") -> DataFrame
 def header_row(rows: DataFrame, seq: str, cells: str, words: list[str], first: int = 15) -> DataFrame:
     """The first of the first rows whose cells name all words, else row 0: one row with `seq`."""
     lowered = F.transform(cells, lambda c: F.lower(F.coalesce(c, F.lit(""))))
-    hit = F.lit(True)
-    for w in words:
-        hit = hit & F.exists(lowered, lambda c, w=w: F.contains(c, F.lit(w)))
+    has = lambda w: F.exists(lowered, lambda c: F.contains(c, F.lit(w)))
+    hit = reduce(lambda a, b: a & b, map(has, words), F.lit(True))
     return rows.where(F.col(seq) < first).agg(F.coalesce(F.min(F.when(hit, F.col(seq))), F.lit(0)).alias(seq))
 
 
