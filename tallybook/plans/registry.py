@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallybook.plans import coverage, ledgers, reports
+from tallybook.plans import coverage, extras, ledgers, reports
 
-_MODULES: list = [coverage, reports, ledgers]
+_MODULES: list = [coverage, reports, ledgers, extras]
 
 
 def queries() -> dict:
