@@ -9,6 +9,11 @@ looked for in rounds of stars: a few members of each bucket (the centres) are co
 are in other components so far; more members are centres in each round, until every bucket lies in
 one component or all its members have been centres. So copies cost one comparison each, no bucket is expanded
 into all its pairs while it holds together, and no pair of a bucket that could join two components goes unchecked.
+
+Members of a bucket that no link joins would still meet each other all. Two exact bounds keep them apart. A shingle
+that one document alone has, of those still in question, is in no intersection; so documents with c and d other shingles
+have at most min(c, d) in common. And an odd sketch (each shingle flips one of SKETCH_BITS bits) differs in at most as
+many bits as the sets differ in shingles, which bounds what they have in common from above, too.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ BANDS, ROWS = 32, 4
 SHINGLE_WORDS, PER_CENT = 5, 75
 #: Centres of a bucket in round r: about GROWTH**r.
 GROWTH = 4
+SKETCH_BITS = 1024
 
 _SIGMA = np.uint64(0x5851F42D4C957F2D)
 _PI1, _PI2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -72,11 +78,17 @@ def band_keys(coordinates: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
     return keys.view(np.int64)
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS bits as 64-bit numbers: for each place whether an odd number of shingles falls on it."""
+    place = (shingles >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=SKETCH_BITS).astype(np.uint8) & 1).view(np.int64)
+
+
 def signature_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, n (shingles), two order-free sums of the set, and the band keys (none for an empty set)."""
+    """id, n (shingles), two order-free sums of the set, its odd sketch and the band keys (none for an empty set)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, one, two, bands = [], [], [], []
+        sizes, one, two, odd, bands = [], [], [], [], []
         for _, _, data, offsets in slices(batch.column(1)):
             sets = shingle_sets(data, offsets, SHINGLE_WORDS)
             full = [s for s in sets if len(s)]
@@ -85,14 +97,15 @@ def signature_table(docs: DataFrame, key: str, text: str) -> DataFrame:
                 sizes.append(len(s))
                 one.append(int(s.sum().view(np.int64)) if len(s) else 0)
                 two.append(int(mix(s).sum().view(np.int64)) if len(s) else 0)
+                odd.append(odd_sketch(s))
                 bands.append(next(keys) if len(s) else np.zeros(0, np.int64))
         return pa.record_batch(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["id", "n", "one", "two", "bands"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
+            names=["id", "n", "one", "two", "odd", "bands"],
         )
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    return map_batches(rows, run, f"id {docs.schema[key].dataType.simpleString()}, n long, one long, two long, bands array<long>")
+    return map_batches(rows, run, f"id {docs.schema[key].dataType.simpleString()}, n long, one long, two long, odd array<long>, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -117,6 +130,26 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(both, run, f"a {kind}, b {kind}")
 
 
+def shared_shingles(texts: DataFrame) -> DataFrame:
+    """id and `alone`: how many of its shingles no other row of texts has (rows without any are left out).
+
+    One count and least id for each shingle, then one count for each id; both are aggregated before they are shuffled.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, parts, sizes = batch.column(0), [], []
+        for _, _, data, offsets in slices(batch.column(1)):
+            sets = shingle_sets(data, offsets, SHINGLE_WORDS)
+            parts += sets
+            sizes += map(len, sets)
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        return pa.record_batch([ids.take(pa.array(rows)), pa.array(np.concatenate(parts).view(np.int64))], names=["id", "shingle"])
+
+    rows = map_batches(texts.select("id", "text"), run, f"id {texts.schema['id'].dataType.simpleString()}, shingle long")
+    lone = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("documents"), F.min("id").alias("id")).where("documents = 1")
+    return lone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id, kept.
 
@@ -134,21 +167,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     members = written(banded.join(sizes, "bucket"), "buckets")
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(members.select("id").distinct(), "id", "left_semi")
 
-    similar = 100 * F.least("n", "m") >= PER_CENT * F.greatest("n", "m")
     first = members.where("id <> least").groupBy("id").agg(F.min(F.col("least")).alias("a")).select("a", F.col("id").alias("b"))
     checked = written(first, "pairs")
     links = written(confirmed(checked, texts), "links")
     found = written(components(links), "components")
+    open_ = written(_torn(members, found), "open")
+    alone = shared_shingles(texts.join(open_.select("id").distinct(), "id", "left_semi"))
+    open_ = open_.join(alone, "id", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).where(100 * F.col("c") >= PER_CENT * F.col("n"))
+    words = [f"w{i}" for i in range(SKETCH_BITS // 64)]
+    sketch = mine.groupBy("id").agg(F.first("odd").alias("odd")).select("id", *(F.col("odd")[i].alias(w) for i, w in enumerate(words)))
+    members = written(open_.select("bucket", "id", "n", "c", "size").join(sketch, "id"), "buckets")
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_"))) for w in words), F.lit(0))
+    most = F.least("c", "d", F.floor((F.col("n") + F.col("m") - apart) / 2))
+    possible = 100 * most >= PER_CENT * (F.col("n") + F.col("m") - most)
     rounds = 0
     while True:
         rounds += 1
-        placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        torn = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        open_ = written(placed.join(torn, "bucket", "left_semi"), "open")
+        open_ = written(_torn(members, found), "open")
         # A fixed place of each member in [0, 1): centres are the lowest ones, all members once GROWTH**rounds reaches the size.
         place = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-        centres = open_.where(place * F.col("size") < float(GROWTH**rounds)).select("bucket", F.col("id").alias("centre"), F.col("n").alias("m"), F.col("component").alias("other"))
-        pairs = open_.join(centres, "bucket").where(similar & (F.col("component") != F.col("other"))).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+        centres = open_.where(place * F.col("size") < float(GROWTH**rounds)).select("bucket", F.col("id").alias("centre"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other"), *(F.col(w).alias(f"{w}_") for w in words))
+        pairs = open_.join(centres, "bucket").where(possible & (F.col("component") != F.col("other"))).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         fresh = written(confirmed(pairs, texts), "links")
         checked = checked.unionByName(pairs)
@@ -163,6 +202,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return labelled.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
+def _torn(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members, with their components, of buckets that lie in more than one component."""
+    placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    torn = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return placed.join(torn, "bucket", "left_semi")
+
+
 def op1_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
