@@ -26,7 +26,7 @@ REPLICAS, BOUNDARY = 4, 1.15
 PROBES, PRUNE = 32, 1.4
 #: Rows of a block at most (about), on either side.
 BLOCK_ROWS = 2048
-DEGREE = 12
+DEGREE = 20
 
 
 def normalised(x: np.ndarray) -> np.ndarray:

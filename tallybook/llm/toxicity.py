@@ -2,10 +2,11 @@
 
 Tokens are runs of letters, ASCII lower-cased, held as 64-bit hashes. A token's weight is its log-odds between
 toxic and other labelled documents (counted once in each, so that repeated lines don't matter) under a Dirichlet
-prior proportional to its count in all documents; weights whose z-score is small are 0. Every token also costs DRIFT, so that unrelated text scores below 0. The
-linear-time scan of Ruzzo and Tompa finds all maximal segments; a segment of score S in a text of n tokens has
-E-value K n exp(-lambda S), lambda from the background token distribution and K from the best segments of
-documents that are not toxic. The document's evidence is the sum of the log E-values of its significant segments.
+prior proportional to its count in all documents; weights whose z-score is small are 0. Every token also costs
+DRIFT (more where the weights of clean text need it), so that unrelated text scores below 0. The linear-time scan
+of Ruzzo and Tompa finds all maximal segments; a segment of score S in a text of n tokens has E-value
+K n exp(-lambda S), lambda from the background token distribution and K from the best segments of documents
+that are not toxic. The document's evidence is the sum of the log E-values of its significant segments.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ LEAST_DOCUMENTS = 6
 #: Weight of the prior as a part of each class's tokens, and its floor for a token, shared between the classes by size.
 PRIOR, FLOOR = 0.1, 0.5
 LEAST_Z, DRIFT = 2.2, 0.04
-#: Sketch coordinates that sample documents are compared by: copies of one text count once in the fit.
-SKETCH = 12
+#: Sketch coordinates that sample documents are compared by; those that agree in SAME of them are copies and count once in the fit.
+SKETCH, SAME = 12, 9
 #: Segments with a larger E-value are not significant.
 MOST_E = 0.5
 
@@ -45,6 +46,7 @@ class Model:
     log_k: float
     cut: float  # evidence at which the score is 1/2
     slope: float
+    drift: float = DRIFT
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (evidence - self.cut), -500, 500)))
@@ -80,18 +82,18 @@ def _keep(out: list[list], first: int) -> int:
     return n
 
 
-def _segments(places: np.ndarray, values: np.ndarray, count: int) -> list[tuple[int, int, float]]:
+def _segments(places: np.ndarray, values: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """Maximal segments of a document as (first token, end token, score); places: tokens with a weight, in order.
 
-    A run of tokens without weight is one step of -DRIFT for each; segments never begin or end in such a run.
+    A run of tokens without weight is one step of -drift for each; segments never begin or end in such a run.
     """
     steps, where = [], []
     at = 0
     for p, v in zip(places.tolist(), values.tolist()):
         if p > at:
-            steps.append(-DRIFT * (p - at))
+            steps.append(-drift * (p - at))
             where.append(at)
-        steps.append(v - DRIFT)
+        steps.append(v - drift)
         where.append(p)
         at = p + 1
     return [(where[a], where[b - 1] + 1, s) for a, b, s in maximal_segments(steps)]
@@ -110,7 +112,7 @@ def _documents(model: Model, data: np.ndarray, offsets: np.ndarray) -> Iterator[
         n = int(first[i + 1] - first[i])
         mine = hits[bounds[i] : bounds[i + 1]]
         evidence, best, found = 0.0, 0.0, []
-        for a, b, s in _segments(mine - first[i], weight[mine], n) if len(mine) else ():
+        for a, b, s in _segments(mine - first[i], weight[mine], model.drift) if len(mine) else ():
             best = max(best, s)
             log_e = model.log_k + np.log(n) - model.rate * s
             if log_e < np.log(MOST_E):
@@ -185,14 +187,16 @@ def log_odds(toxic: np.ndarray, other: np.ndarray, all_toxic: float, all_other:
 
 
 def distinct_texts(rows: list) -> list:
-    """Of (id, label, sketch) those that share no sketch coordinate with an earlier one of another id."""
-    seen: set[tuple[int, int]] = set()
-    out = []
+    """Of (id, label, sketch) those that agree in fewer than SAME coordinates with each one that is kept before them."""
+    kept = np.zeros((len(rows), SKETCH), np.int64)
+    n, out = 0, []
     for r in sorted(rows, key=lambda r: (r["id"], r["label"])):
-        marks = set(enumerate(r["sketch"]))
-        if not marks & seen:
-            out.append((r["id"], int(r["label"])))
-        seen |= marks
+        if r["sketch"]:
+            if n and int((kept[:n] == np.array(r["sketch"])).sum(axis=1).max()) >= SAME:
+                continue
+            kept[n] = r["sketch"]
+            n += 1
+        out.append((r["id"], int(r["label"])))
     return out
 
 
@@ -246,9 +250,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     used = np.abs(z) >= LEAST_Z
     tokens, weights = tokens[used], odds[used]
     chance = (other[used] + prior[used]) / (totals[0] * (1 + PRIOR))
-    steps = np.append(weights, 0.0) - DRIFT
+    drift = max(DRIFT, 2 * float(chance @ weights))  # extreme-value statistics need steps that are negative on average
+    steps = np.append(weights, 0.0) - drift
     rate = decay_rate(steps, np.append(chance, max(0.0, 1 - chance.sum()))) if (steps > 0).any() else 1.0
-    model = Model(tokens, weights, rate, 0.0, 1.0, 1.0)
+    model = Model(tokens, weights, rate, 0.0, 1.0, 1.0, drift)
     seen = evidence_table(chosen, model, "id", "text", ["label"]).select("label", "best", "n_tokens").collect()  # at most 2 * SAMPLE rows
     clean = [(r["best"], r["n_tokens"]) for r in seen if r["label"] == 0 and r["n_tokens"] > 0]
     # The mean of lambda S - ln n over clean documents is ln K + Euler's constant; at least 1/n each, so K stays above 0.
