@@ -90,16 +90,17 @@ def phases(blocks: dict[str, int], parts: dict[str, int]) -> list[Phase]:
     return out
 
 
-def pfair_mix(docs: DataFrame, targets: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, key: str = "doc_id", source: str = "source") -> DataFrame:
+def pfair_mix(docs: DataFrame, targets: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, key: str = "doc_id", source: str = "source", carry: bool = False) -> DataFrame:
     """One row per row of docs: key, source, block, slot, release, deadline, phase, position and in_mix.
 
     A null source is a source of its own. Sources outside `targets` get no weight and come last, after
     all others, not in the mix. Rows of a source are ordered by a hash of the key; equal keys follow each
     other. position sorts the rows of the whole mix; in_mix says that the row comes before the mix ends.
-    Empty tables give no rows; other columns are ignored.
+    Empty tables give no rows; other columns are ignored, or with carry the whole row is in the struct _row.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.coalesce(F.concat(F.lit("s:"), F.col(source)), F.lit("null")).alias("_name"))
+    whole_rows = [F.struct(*docs.columns).alias("_row")] if carry else []
+    rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.coalesce(F.concat(F.lit("s:"), F.col(source)), F.lit("null")).alias("_name"), *whole_rows)
     rows = rows.withColumn("_hash", F.xxhash64("_key")).withColumn("_bucket", F.shiftrightunsigned("_hash", 54))  # the order of the buckets is that of the unsigned hashes
     counts = rows.groupBy("_name", "_bucket").agg(F.count(F.lit(1)).alias("_n"))  # at most sources times RANK_BUCKETS rows
     before = Window.partitionBy("_name").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -132,7 +133,7 @@ def pfair_mix(docs: DataFrame, targets: dict[str, float] | None = None, block_ro
         F.expr("_start + (_k div _parts) * _period + get(_slots, cast(_k % _parts as int))").alias("slot"),
         F.expr("_start + (_k * _period) div _parts").alias("release"),
         F.expr("_start + ((_k + 1) * _period + _parts - 1) div _parts").alias("deadline"),
-        "phase", F.expr(f"_at % {block_rows}").alias("_in_block"), "in_mix",
+        "phase", F.expr(f"_at % {block_rows}").alias("_in_block"), "in_mix", *(["_row"] if carry else []),
     ).withColumn("position", F.col("slot") * block_rows + F.col("_in_block")).drop("_in_block")
 
 
