@@ -1,93 +1,87 @@
 """Pfair mixing: interleave sources so that each keeps within one block of its target weight.
 
 A source's documents form blocks; block k of a source with weight w is released at slot floor(k/w) and
-due at ceil((k+1)/w); one slot takes one block, earliest deadline first. With integer weights the schedule
-repeats, so the driver holds one period for each phase (a phase ends when a source runs out), bounded by
-the sum of the weights, and every document finds its slot by arithmetic on its rank in its source.
+due at ceil((k+1)/w); one slot takes one block, earliest deadline first. Weights are exact ratios of whole
+numbers, so nothing is rounded at any length. When a source runs out, a phase ends and the others share the
+slots anew. The driver deals the blocks, holding the sources and one piece of the schedule, which is a table with
+one row for each block; every document finds its slot by its rank in its source.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import chain, islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallybook.session import table
+from tallybook.session import table, written
 
 BLOCK_ROWS = 16
-#: Target weights are whole parts of about this many.
-WEIGHT_PARTS = 1000
 #: Without given targets, a source's weight is its row count to this power.
 TEMPERATURE = 0.7
 #: The mix ends when the sources still holding documents have less than this part of the target weight.
 LEAST_ACTIVE = 0.5
 #: Pieces of each source that are ranked apart.
 RANK_BUCKETS = 1024
+#: Blocks of a piece of the schedule that the driver holds at once.
+PIECE = 1 << 18
 
 
-@dataclass
-class Phase:
-    """Slots from start on; parts and first block of each active source; the period's slots of each."""
-
-    start: int
-    end: int
-    parts: dict[str, int]
-    first: dict[str, int]
-    last: dict[str, int]
-    slots: dict[str, list[int]]
-
-    @property
-    def period(self) -> int:
-        return sum(self.parts.values())
-
-
-def target_parts(weights: dict[str, float], parts: int = WEIGHT_PARTS) -> dict[str, int]:
-    """Whole parts in proportion to the weights, at least one each."""
-    total = sum(weights.values())
-    return {k: max(1, round(parts * w / total)) for k, w in sorted(weights.items()) if w > 0}
-
-
-def one_period(parts: dict[str, int]) -> dict[str, list[int]]:
-    """Earliest deadline first over one period: the slots of each source's blocks, ties by name."""
-    period = sum(parts.values())
-    waiting = [(0, k, 0) for k in sorted(parts)]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {k: [] for k in parts}
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, k, b = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(b + 1) * period // parts[k]), k, b))
-        due, k, b = heapq.heappop(ready)
-        assert due > t, "a set of weights that sum to one always has a schedule"
-        slots[k].append(t)
-        if b + 1 < parts[k]:
-            heapq.heappush(waiting, ((b + 1) * period // parts[k], k, b + 1))
-    return slots
-
-
-def phases(blocks: dict[str, int], parts: dict[str, int]) -> list[Phase]:
-    """The phases until every source has run out of blocks."""
+def target_parts(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights that are above zero."""
+    exact = {k: Fraction(w) for k, w in sorted(weights.items()) if w > 0}
+    unit = lcm(*(w.denominator for w in exact.values()))
+    return {k: int(w * unit) for k, w in exact.items()}
+
+
+def schedule(blocks: dict[str, int], parts: dict[str, int]) -> Iterator[tuple[str, int, int, int, int, int, bool]]:
+    """Earliest deadline first, ties by name: name, block, slot, release, deadline, phase and in_mix of every block in turn."""
     left = {k: n for k, n in blocks.items() if n > 0}
     used = dict.fromkeys(left, 0)
-    out, start = [], 0
+    whole, start, phase = sum(parts.values()), 0, 0
     while left:
-        active = {k: parts[k] for k in left}
-        slots, period = one_period(active), sum(active.values())
-        end = min((n - 1) // active[k] * period + slots[k][(n - 1) % active[k]] for k, n in left.items()) + 1
-        rounds, rest = divmod(end, period)
-        taken = {k: rounds * active[k] + sum(s < rest for s in slots[k]) for k in active}
-        out.append(Phase(start, start + end, active, dict(used), {k: used[k] + taken[k] for k in active}, slots))
-        for k, n in taken.items():
+        period = sum(parts[k] for k in left)
+        in_mix = period / whole >= LEAST_ACTIVE
+        done = dict.fromkeys(left, 0)
+        waiting = [(0, k) for k in sorted(left)]  # release of a source's next block
+        ready: list[tuple[int, str, int]] = []
+        t, out = 0, False
+        while not out:
+            while waiting and waiting[0][0] <= t:
+                release, k = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(done[k] + 1) * period // parts[k]), k, release))
+            due, k, release = heapq.heappop(ready)
+            assert due > t, "a set of weights that sum to one always has a schedule"
+            yield k, used[k] + done[k], start + t, start + release, start + due, phase, in_mix
+            done[k] += 1
+            t += 1
+            out = done[k] == left[k]
+            heapq.heappush(waiting, (done[k] * period // parts[k], k))
+        for k, n in done.items():
             used[k] += n
             left[k] -= n
         left = {k: n for k, n in left.items() if n}
-        used = {k: used[k] for k in left}
-        start += end
-    return out
+        start, phase = start + t, phase + 1
+
+
+def schedule_table(spark: SparkSession, rows: Iterator[tuple[str, int, int, int, int, int, bool]]) -> DataFrame:
+    """The rows of schedule() as a table, written piece by piece."""
+    names = ["_name", "block", "slot", "release", "deadline", "phase", "in_mix"]
+    types = [pa.string(), *[pa.int64()] * 4, pa.int32(), pa.bool_()]
+    out = None
+    while True:
+        piece = list(islice(rows, PIECE))
+        if out is not None and not piece:
+            return out
+        columns = zip(*piece) if piece else [[]] * len(names)
+        made = written(spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)), "schedule")
+        out = made if out is None else out.unionByName(made)
 
 
 def pfair_mix(docs: DataFrame, targets: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, key: str = "doc_id", source: str = "source", carry: bool = False) -> DataFrame:
@@ -111,28 +105,17 @@ def pfair_mix(docs: DataFrame, targets: dict[str, float] | None = None, block_ro
     else:
         weights = {f"s:{k}" if k is not None else "null": float(w) for k, w in targets.items()}
     parts = target_parts({k: w for k, w in weights.items() if k in totals})
-    plan = phases({k: -(-totals[k] // block_rows) for k in parts}, parts)
-    whole = sum(parts.values()) or 1
-    table_rows = [
-        (name, p.first[name], p.last[name], i, p.start, p.period, p.parts[name], p.slots[name], p.period / whole >= LEAST_ACTIVE)
-        for i, p in enumerate(plan) for name in p.parts
-    ]
-    rest = plan[-1].end if plan else 0
-    for name in sorted(set(totals) - set(parts)):
-        n = -(-totals[name] // block_rows)
-        table_rows.append((name, 0, n, len(plan), rest, 1, 1, [0], False))
-        rest += n
-    schedule = spark.createDataFrame(table_rows, "_name string, _from long, _to long, phase int, _start long, _period long, _parts long, _slots array<int>, in_mix boolean")
+    blocks = {k: -(-n // block_rows) for k, n in totals.items()}
+    planned, rest = {k: blocks[k] for k in parts}, sorted(set(totals) - set(parts))
+    last = chain.from_iterable(((k, b) for b in range(blocks[k])) for k in rest)
+    after = ((k, b, slot, slot, slot + 1, len(parts), False) for slot, (k, b) in enumerate(last, sum(planned.values())))
+    placing = schedule_table(spark, chain(schedule(planned, parts), after))
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_name", "_bucket").orderBy("_hash", "_key")) - 1)
     placed = ranked.join(offsets, ["_name", "_bucket"]).withColumn("_at", F.col("_rank") + F.col("_before"))
     placed = placed.withColumn("block", F.expr(f"_at div {block_rows}"))
-    placed = placed.join(F.broadcast(schedule), (placed["_name"] == schedule["_name"]) & (F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_to")))
-    placed = placed.withColumn("_k", F.col("block") - F.col("_from"))
+    placed = placed.join(placing, ["_name", "block"])
     return placed.select(
-        F.col("_key").alias(key), F.col("_source").alias(source), "block",
-        F.expr("_start + (_k div _parts) * _period + get(_slots, cast(_k % _parts as int))").alias("slot"),
-        F.expr("_start + (_k * _period) div _parts").alias("release"),
-        F.expr("_start + ((_k + 1) * _period + _parts - 1) div _parts").alias("deadline"),
+        F.col("_key").alias(key), F.col("_source").alias(source), "block", "slot", "release", "deadline",
         "phase", F.expr(f"_at % {block_rows}").alias("_in_block"), "in_mix", *(["_row"] if carry else []),
     ).withColumn("position", F.col("slot") * block_rows + F.col("_in_block")).drop("_in_block")
 

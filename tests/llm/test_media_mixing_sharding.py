@@ -69,6 +69,29 @@ def test_pfair_deviation(spark, counts):
     assert any(r.in_mix for r in out)
 
 
+def test_pfair_follows_the_true_targets():
+    from fractions import Fraction
+
+    targets = {"hot": 0.70055, "warm": 0.29935, "tiny": 0.0001}
+    true = {k: Fraction(w) / sum(map(Fraction, targets.values())) for k, w in targets.items()}
+    taken = dict.fromkeys(targets, 0)
+    rows = list(mixing.schedule({"hot": 30000, "warm": 30000, "tiny": 30000}, mixing.target_parts(targets)))
+    for t, (name, block, slot, release, deadline, phase, _) in enumerate(rows[:30000], 1):
+        assert (block, slot, phase) == (taken[name], t - 1, 0)
+        taken[name] += 1
+        assert release == block / true[name] // 1 and deadline == -(-(block + 1) / true[name] // 1)
+        assert all(abs(n - true[k] * t) < 1 for k, n in taken.items())
+    assert sorted(r[:2] for r in rows) == sorted((k, b) for k in targets for b in range(30000))
+
+
+def test_pfair_schedule_in_pieces(spark, monkeypatch):
+    df = docs(spark, [(i, "t", "abc"[i % 3]) for i in range(60)])
+    read = lambda: sorted(map(tuple, mixing.pfair_mix(df, {"a": 2, "b": 1}, block_rows=2).collect()))
+    whole = read()
+    monkeypatch.setattr(mixing, "PIECE", 7)
+    assert read() == whole and len(whole) == 60
+
+
 def test_pfair_targets_and_empty(spark):
     df = docs(spark, [(i, "t", "ab"[i % 2]) for i in range(40)] + [(99, None, "z")])
     out = mixing.pfair_mix(df, {"a": 3, "b": 1, "missing": 5}, block_rows=2)
