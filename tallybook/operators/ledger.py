@@ -62,10 +62,11 @@ def without_noise(df: DataFrame, keys: list[str], seq: list[str], least: int = 3
 
 
 def voucher_serial(df: DataFrame, prefix: Column, seq: list[str], name: str = "voucher") -> DataFrame:
-    """prefix-0001, 0002, ... in row order; equal prefixes share one series whatever the year."""
+    """prefix-0001, 0002, ..., 9999, 10000, ... in row order; equal prefixes share one series whatever the year."""
     out = df.withColumn("_prefix", prefix)
-    number = F.row_number().over(Window.partitionBy("_prefix").orderBy(*seq))
-    return out.withColumn(name, F.concat("_prefix", F.lit("-"), F.lpad(number.cast("string"), 4, "0"))).drop("_prefix")
+    number = F.row_number().over(Window.partitionBy("_prefix").orderBy(*seq)).cast("string")
+    padded = F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))  # lpad alone cuts longer numbers
+    return out.withColumn(name, F.concat("_prefix", F.lit("-"), padded)).drop("_prefix")
 
 
 def line_blocks(lines: DataFrame, keys: list[str], seq: str, anchor: Column, text: str = "line") -> DataFrame:

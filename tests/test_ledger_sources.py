@@ -102,3 +102,8 @@ def test_cascade_and_best(spark):
     df = spark.createDataFrame([(1, "a", 3), (1, "b", 2), (2, "c", 9)], "k int, v string, n int")
     assert {r.k: (r.v, r.tier) for r in relational.cascading(df, ["k"], [F.col("n") == 2, F.col("n") > 2], [F.col("v")]).collect()} == {1: ("b", 1), 2: ("c", 2)}
     assert {r.k: r.v for r in relational.best_scored(df, ["k"], [F.col("n")], ["v"]).collect()} == {1: "a", 2: "c"}
+
+
+def test_voucher_serials_above_9999_are_whole(spark):
+    out = ledger.voucher_serial(spark.range(1, 10012), F.lit("A"), ["id"]).collect()
+    assert {r.id: r.voucher for r in out} == {i: f"A-{i:04d}" for i in range(1, 10012)}
