@@ -3,7 +3,7 @@
 Centroids come from hierarchical balanced clustering of a bounded sample. A vector joins the list of its nearest
 centroid and, near boundaries, those of others almost as near unless a chosen one covers them. The centroids
 are found through a neighbour graph held in memory; a query reads the lists whose centroids are within a ratio of
-the nearest one's distance. Lists are cut into blocks of bounded size, so a hot list is many tasks' work. Equal
+the nearest one's distance, as many as a sample of the queries needs to find what comparing it with all vectors finds. Lists are cut into blocks of bounded size, so a hot list is many tasks' work. Equal
 vectors are one class: no result needs more than the smallest few ids of a class, and equal queries are searched once.
 """
 
@@ -22,8 +22,10 @@ from tallybook.session import table, written
 SAMPLE, LIST_ROWS, MOST_LISTS = 20000, 256, 8192
 #: Lists that a vector joins at most, and how much farther than the nearest their centroids may be.
 REPLICAS, BOUNDARY = 4, 1.15
-#: Lists that a query reads at most, and how much farther than the nearest their centroids may be.
+#: Lists that a query reads at least (if there are so many), and how much farther than the nearest their centroids may be.
 PROBES, PRUNE = 32, 1.4
+#: Queries that are compared with all vectors, and the part of their neighbours that the lists read have to hold.
+CHECKED, RECALL = 256, 0.95
 #: Rows of a block at most (about), on either side.
 BLOCK_ROWS = 2048
 DEGREE = 20
@@ -85,7 +87,7 @@ class CentroidGraph:
         """The nearest centroids found for each row of unit vectors x: ids (-1: none) and cosines, nearest first."""
         x = x.astype(np.float32)
         n, width = len(x), min(width, len(self.c))
-        if len(self.c) <= 4 * width:  # all of them are fewer than the search would visit
+        if len(self.c) <= (DEGREE + 4) * width:  # all of them are fewer than the search would visit
             s = x @ self.c.T
             ids = np.argsort(-s, axis=1, kind="stable")[:, :width]
             return ids, np.take_along_axis(s, ids, 1)
@@ -112,14 +114,16 @@ class CentroidGraph:
             s = np.hstack([s, np.where(fresh, cosine, -9).astype(np.float32)])
             done = np.hstack([done, ~fresh])
 
-    def lists(self, x: np.ndarray, most: int, ratio: float, cover: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs: centroids within `ratio` of the nearest one's distance, `most` at most.
+    def lists(self, x: np.ndarray, most: int, ratio: float | None, cover: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs: centroids within `ratio` (None: any) of the nearest one's distance, `most` at most.
 
         cover: skip a centroid that lies nearer to one chosen before than to the vector.
         """
         ids, s = self.search(x, 2 * most if cover else most)
         d = np.sqrt(np.maximum(0, 2 - 2 * s.astype(float)))
-        ok = (ids >= 0) & (d <= ratio * d[:, :1] + 1e-9)
+        ok = ids >= 0
+        if ratio is not None:
+            ok &= d <= ratio * d[:, :1] + 1e-9
         ok[:, 0] = True
         if cover:
             taken = np.ones(len(x), int)
@@ -163,6 +167,47 @@ def top_pairs(q: np.ndarray, qid: np.ndarray, v: np.ndarray, vid: np.ndarray, k:
     return row[best], at[best], exact[best]
 
 
+def true_neighbours(candidates: DataFrame, sample: pa.Table, k: int) -> DataFrame:
+    """query (row of sample) and id of the k nearest candidates of each, copies of the query itself left out."""
+    sent = candidates.sparkSession.sparkContext.broadcast(sample)
+    kind = candidates.schema["id"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        q, ids = sent.value, batch.column(0)
+        ranks = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"))
+        row, at, score = top_pairs(_matrix(q["v"]), np.arange(q.num_rows), _matrix(batch.column(3)), ranks, 2 * k + 1)  # k + 1 copies at most
+        own = np.logical_and.reduce([q[c].to_numpy()[row] == batch.column(i).to_numpy()[at] for i, c in ((1, "h"), (2, "g"))])
+        row, at, score = row[~own], at[~own], score[~own]
+        return pa.record_batch([pa.array(row, pa.int32()), ids.take(pa.array(at)), pa.array(score)], names=["query", "id", "score"])
+
+    if not sample.num_rows:
+        return candidates.select(F.lit(0).alias("query"), "id").limit(0)
+    found = map_batches(candidates.select("id", "h", "g", "v"), run, f"query int, id {kind}, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select("query", "id")
+
+
+def probes_needed(graph: CentroidGraph, x: np.ndarray, held: list[tuple[int, list[int]]]) -> tuple[int, float | None]:
+    """How many lists, within which ratio, queries like the rows of x have to read; held: row and the lists of each true neighbour."""
+    n = len(graph.c)
+    row = np.repeat([r for r, _ in held], [len(ls) for _, ls in held]).astype(int)
+    list_ = np.array([i for _, ls in held for i in ls], int)
+    first = np.cumsum([0] + [len(ls) for _, ls in held[:-1]])
+
+    def recall(most: int, ratio: float | None) -> float:
+        read = np.zeros((len(x), n), bool)
+        read[graph.lists(x, most, ratio, False)] = True
+        return float(np.logical_or.reduceat(read[row, list_], first).mean())
+
+    most = min(PROBES, n)
+    if not held:
+        return most, PRUNE
+    ratio = PRUNE if recall(n, PRUNE) >= RECALL else None
+    while recall(most, ratio) < RECALL:
+        most = min(n, most + most // 8 + 1)
+    return most, ratio
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (cosine) of the k nearest found of each row of queries among vectors.
 
@@ -176,18 +221,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
     lengths = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    size, total = lengths[0]["size"], lengths[0]["count"]
+    size = lengths[0]["size"]
     same = lambda df: df.where(F.size("v") == size).withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.reverse("v"), F.lit(5))})
     rows, asked = same(rows), same(asked)
-    fit = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    lists = int(min(max(1, total // LIST_ROWS), MOST_LISTS, max(1, fit.num_rows // 4)))
-    graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(normalised(_matrix(fit["v"]).astype(float)), lists)))
-
     copies = Window.partitionBy("h", "g").orderBy("id")
-    candidates = rows.withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).select("id", "v")
+    candidates = rows.withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1)
     classes = asked.withColumn("_n", F.row_number().over(copies)).where("_n = 1").select("h", "g", "v")
 
-    def placed(df: DataFrame, columns: list[str], most: int, ratio: float, cover: bool) -> DataFrame:
+    total = rows.select("h", "g").distinct().count()
+    fit = candidates.where("_n = 1").select("h", "g", "v").orderBy(F.xxhash64("h"), "h", "g").limit(SAMPLE).toArrow()
+    lists = int(min(max(1, total // LIST_ROWS), MOST_LISTS, max(1, fit.num_rows // 4)))
+    graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(normalised(_matrix(fit["v"]).astype(float)), lists)))
+
+    def placed(df: DataFrame, columns: list[str], most: int, ratio: float | None, cover: bool) -> DataFrame:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, list_ = [], []
             for a in range(0, batch.num_rows, 1024):
@@ -202,7 +248,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
         return map_batches(df.select(*columns), run, f"{kinds}list int")
 
     postings = written(placed(candidates, ["id", "v"], REPLICAS, BOUNDARY, True), "postings")
-    probes = written(placed(classes, ["h", "g", "v"], PROBES, PRUNE, False), "probes")
+    sample = classes.orderBy(F.xxhash64("h", F.lit(3)), "h", "g").limit(CHECKED).toArrow()
+    true = true_neighbours(candidates, sample, k)
+    held = true.join(postings.select("id", "list"), "id").groupBy("query", "id").agg(F.collect_list("list").alias("lists")).collect()  # CHECKED * k rows at most
+    x = normalised(_matrix(sample["v"]).astype(float)) if sample.num_rows else np.zeros((0, size))
+    probes = written(placed(classes, ["h", "g", "v"], *probes_needed(graph.value, x, [(r["query"], r["lists"]) for r in held]), False), "probes")
     blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
     cuts = F.broadcast(blocks(postings, "parts").join(blocks(probes, "shares"), "list"))  # MOST_LISTS rows at most
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -163,6 +163,15 @@ def test_recall(spark, monkeypatch):
         assert abs(r.score - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-12
 
 
+def test_recall_with_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 10)
+    x = np.random.default_rng(4).normal(size=(6000, 32)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    rows = neighbours.nearest(df, df.where("vec_id % 50 = 0")).collect()
+    want = brute(x, list(range(6000)), range(0, 6000, 50))
+    assert len(rows) == 600 and sum(r.vec_id in want[r.query_id] for r in rows) / 600 >= 0.9
+
+
 def test_copies_ties_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(0, 20)] + [(50, [2.0, 4.0]), (51, [0.0, 0.0]), (52, None), (53, [1.0, None]), (54, [nan, 1.0]), (55, [inf, 1.0]), (56, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (57, []), (100, [-1.0, 0.5])]
