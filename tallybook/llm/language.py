@@ -1,7 +1,7 @@
 """Language identification: the nearest of several centroids per language by cosine.
 
 A text is a vector of byte trigrams (letters lower-cased, all else one blank), hashed to DIMENSIONS places,
-weighted 1 + log(count) times the inverse document frequency over all documents, and normalised. Each
+weighted log(1 + count) times the inverse document frequency over all documents of the fit, and normalised. Each
 language's sample is clustered into up to CLUSTERS centroids. A text takes the language of the nearest centroid
 and is marked rejected when it lies farther from it than almost all of that centroid's own sample.
 """
@@ -25,6 +25,8 @@ from tallybook.session import table
 DIMENSIONS = 2048
 #: Labelled documents of each language that the fit uses at most, and centroids of each language.
 SAMPLE, CLUSTERS = 400, 4
+#: Rows of all languages that the fit uses at most; very many languages get fewer rows each.
+ROWS = 200_000
 #: Share of a centroid's own sample that lies beyond its rejection distance.
 REJECT = 0.005
 UNKNOWN = "und"
@@ -78,7 +80,7 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequencies(docs: DataFrame, text: str) -> np.ndarray:
-    """log((1 + documents) / (1 + documents with the trigram)) + 1 for each place, over all documents."""
+    """log((1 + documents) / (1 + documents with the trigram)) + 1 for each place, over all rows of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = np.zeros(DIMENSIONS, np.int64), 0
@@ -108,7 +110,7 @@ def cluster(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     cosine = x @ c.T
     owner = np.argmax(cosine, axis=1)
-    least = np.array([np.quantile(cosine[owner == i, i], REJECT) if (owner == i).any() else 1.0 for i in range(len(c))])
+    least = np.array([np.quantile(cosine[owner == i, i], REJECT) - 1e-6 if (owner == i).any() else 1.0 for i in range(len(c))])
     return c.astype(np.float32), least
 
 
@@ -127,28 +129,34 @@ class Centroids:
         return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())], score, (score < self.least[best]) | ~letters
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fit: DataFrame | None = None) -> Centroids:
-    """Centroids from at most SAMPLE rows of each language among fit (docs if not given); frequencies over docs."""
-    fit = docs if fit is None else fit
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Centroids:
+    """Centroids from at most SAMPLE rows of each language; document frequencies from all rows of docs, labelled or not.
+
+    Rows without a key, a language or a text give no centroid; equal rows count once, other rows that share a key each.
+    Ties follow the keys and texts, never the partitions. No usable row gives a model that calls every text `und`.
+    """
     idf = inverse_frequencies(docs, text)
-    usable = fit.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = usable.select(F.col(key).alias("id"), F.col(lang).alias("lang")).withColumn("_rank", rank).where(F.col("_rank") <= SAMPLE).select("id", "lang")
-    texts = usable.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "lang")  # SAMPLE ids a language
+    usable = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    texts = usable.select(F.col(text).cast("string").alias("text"), F.col(key).alias("id"), F.col(lang).alias("lang")).withColumn("hash", F.xxhash64("text"))
+    size = max(1, min(SAMPLE, ROWS // max(1, texts.select("lang").distinct().count())))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "hash"))
+    chosen = texts.select("id", "lang", "hash").withColumn("_rank", rank).where(F.col("_rank") <= size).select("id", "lang", "hash").distinct()
+    texts = texts.join(F.broadcast(chosen), ["id", "lang", "hash"]).dropDuplicates(["id", "lang", "hash"])  # ROWS rows at most are broadcast
 
     def embed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        v = np.vstack([vectors(trigram_counts(data, offsets), idf) for _, _, data, offsets in slices(batch.column(0))])
-        return pa.record_batch([batch.column(1), pa.array(list(v), pa.list_(pa.float32()))], names=["lang", "v"])
+        v = np.vstack([vectors(trigram_counts(data, offsets), idf) for _, _, data, offsets in slices(batch.column("text"))])
+        return pa.record_batch([batch.column("id"), batch.column("hash"), batch.column("lang"), pa.array(list(v), pa.list_(pa.float32()))], names=["id", "hash", "lang", "v"])
 
     def centroids(lang_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows["v"].to_numpy())
+        x = np.stack(rows.sort_values(["id", "hash"])["v"].to_numpy())  # an order that does not depend on the partitions
         x = x[x.any(axis=1)]
         if not len(x):
             return pd.DataFrame({"lang": [], "centre": [], "least": []})
-        c, least = cluster(x[np.lexsort(x[:, :8].T)], CLUSTERS)  # an order that does not depend on the partitions
+        c, least = cluster(x, CLUSTERS)
         return pd.DataFrame({"lang": [lang_[0]] * len(c), "centre": list(c), "least": least})
 
-    rows = map_batches(texts, embed, "lang string, v array<float>").groupBy("lang").applyInPandas(centroids, "lang string, centre array<float>, least double").collect()
+    kind = docs.schema[key].dataType.simpleString()
+    rows = map_batches(texts, embed, f"id {kind}, hash long, lang string, v array<float>").groupBy("lang").applyInPandas(centroids, "lang string, centre array<float>, least double").collect()
     rows.sort(key=lambda r: (r["lang"], list(r["centre"])))
     return Centroids(idf, [r["lang"] for r in rows], np.array([r["centre"] for r in rows], np.float32).reshape(-1, DIMENSIONS), np.array([r["least"] for r in rows]))
 
@@ -173,7 +181,7 @@ FOLDS, FOLD = 3, 1
 
 def op2_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs, fit=docs.where(~held_out(F.col("doc_id"), FOLDS, FOLD)))
+    model = train(docs.where(~held_out(F.col("doc_id"), FOLDS, FOLD) & F.col("lang").isNotNull()))
     return identified(docs, model).select("doc_id", held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), "lang_pred", "score", "rejected")
 
 

@@ -129,7 +129,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[n
     m = len(hashes)
     rolled = np.zeros(max(0, m - size + 1), np.uint64)
     for j in range(size):
-        rolled += hashes[j : m - size + 1 + j] * _SHINGLE[j % 5] + np.uint64(j // 5)
+        rolled += hashes[j : j + len(rolled)] * _SHINGLE[j % 5] + np.uint64(j // 5)
     rolled = mix(rolled)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):

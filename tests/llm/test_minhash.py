@@ -1,10 +1,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from tallybook.llm import minhash
 from tallybook.llm.graph import components
+from tallybook.llm.textkit import shingle_sets, slices
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component string, bucket int"
 
@@ -49,6 +51,14 @@ def check(spark, rows):
     return got
 
 
+@pytest.mark.parametrize("words", range(8))
+def test_slices_of_few_words(words):
+    text = " ".join("abcdefgh"[:words])
+    alone = [x.tolist() for *_, d, o in slices(pa.array([text])) for x in shingle_sets(d, o)]
+    among = [x.tolist() for *_, d, o in slices(pa.array(["q r s t u v w", text, None, "", text])) for x in shingle_sets(d, o)]
+    assert alone == [among[1]] == [among[4]] and among[2] == among[3] == [] and len(alone[0]) == max(min(words, 1), words - 4)
+
+
 def test_against_brute_force(spark):
     rnd = random.Random(5)
     vocab = [f"w{i}" for i in range(400)]

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm import language, neighbours, quality, toxicity
 from tallybook.llm.labelled import held_out
-from tallybook.llm.textkit import slices
+from tallybook.llm.textkit import slices, words
 
 SF = "/root/testdata/sf0.1"
 DOCS = "doc_id long, text string, lang string, source string, score double, id int, label int"
@@ -69,6 +70,30 @@ def test_toxicity_on_held_out_rows(spark, held):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_toxic_scores_against_plain_python(spark):
+    rnd = random.Random(12)
+    bad, plain = "vile rotten scum filth".split(), [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    rows = []
+    for i in range(160):
+        words_ = [rnd.choice(plain) for _ in range(rnd.randint(5, 60))]
+        if i % 2:
+            at = rnd.randrange(len(words_))
+            words_[at:at] = [rnd.choice(bad) for _ in range(rnd.randint(3, 8))]
+        rows.append((i, " ".join(words_).title() + rnd.choice(["", "!", " 12"]), "en"))
+    docs = frame(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, toxic int"))
+    assert len(model.tokens)
+    token = lambda w: int(words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[2][0])
+    weight = dict(zip(model.tokens.tolist(), model.weights.tolist()))
+    for r in toxicity.evidence_table(docs, model).collect():
+        found = re.findall("[a-z]+", rows[r.doc_id][1].lower())
+        assert r.n_tokens == len(found)
+        steps = [weight.get(token(w), 0.0) - model.drift for w in found]
+        logs = [model.log_k + np.log(len(found)) - model.rate * s for *_, s in brute_segments(steps)]
+        evidence = -sum(x for x in logs if x < np.log(toxicity.MOST_E))
+        assert abs(r.evidence - evidence) < 1e-6 and abs(r.score - 1 / (1 + np.exp(-model.slope * (evidence - model.cut)))) < 1e-6
+
+
 def test_toxic_passages_and_odd_texts(spark):
     bad = ["vile rotten scum words"] * 12
     rows = [(i, f"plain text number {i} about fields and rivers {'and ' + bad[i % 12] if i % 2 else ''} end", "en") for i in range(60)]
@@ -101,6 +126,49 @@ def test_quality_features_do_not_depend_on_slices():
     assert np.allclose(whole, each) and np.isfinite(whole).all()
 
 
+def plain_features(text):
+    """The features of one text, by definition."""
+    data = (text or "").encode()
+    n, size = len(data), max(len(data), 1)
+    found = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    share = lambda kinds: sum(c in kinds for c in data) / size
+    upper, letters, symbols = range(65, 91), {*range(65, 91), *range(97, 123), *range(128, 256)}, set(b"#$%&*+<=>@\\^_`{}~[]()/\"-'")
+    many = max(len(found), 1)
+    inside = lambda w, kinds: sum(c in kinds for c in w)
+    flags = [lambda w: w[0] in upper, lambda w: inside(w, upper) > 1 and 2 * inside(w, upper) > inside(w, letters), lambda w: inside(w, symbols | set(b"!|")) > 0, lambda w: len(w) <= 3, lambda w: len(w) >= 14]
+    distinct = lambda items: len(set(items)) / len(items) if len(items) > 1 else 1.0
+    lowered = [bytes(c | 32 if c in upper else c for c in w) for w in found]
+    lines = [bytes(c | 32 if c in upper else c for c in x) for x in data.split(b"\n") if x]
+    return [
+        np.log1p(n), np.log1p(len(found)), share(upper), share(b"0123456789"), share(b" \t\n\v\f\r"), share(range(128, 256)), share(b".,;:?"), share(b"!"), share(symbols), share(b"|"),
+        sum(map(len, found)) / many, len(lines) / many, distinct(lowered) * np.log1p(len(found)), distinct(list(zip(lowered, lowered[1:], lowered[2:]))), distinct(lines), *(sum(map(f, found)) / many for f in flags),
+    ]
+
+
+def test_quality_features_against_plain_python(spark):
+    rnd = random.Random(3)
+    texts = ["", None, "a a a a", "a a b", "a b", "One two.\nOne two.\n\nONE", "ÀB é! $5 | x", "x" * 3000, "  ", "a a a a a a"]
+    texts += [rnd.choice([" ", "\n"]).join(rnd.choice(["a", "B", "ab|", "LOUD!", "q-r", "verylongwordindeed"]) for _ in range(rnd.randint(1, 12))) for _ in range(60)]
+    whole = np.vstack([quality.features(d, o) for *_, d, o in slices(pa.array(texts))])
+    assert np.allclose(whole, [plain_features(t) for t in texts])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(len(texts))], "doc_id long, quality int")
+    docs = frame(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    model = quality.train(docs, labels)
+    want = {i: float(model.score(np.array([plain_features(t)]))[0]) for i, t in enumerate(texts)}
+    for parts in (1, 7):
+        assert all(abs(r.score - want[r.doc_id]) < 1e-9 for r in quality.scored(docs.repartition(parts), model).collect())
+
+
+def test_quality_long_and_repeated_rows(spark):
+    rows = [(i, f"plain text number {i} about fields" if i % 2 else "BUY!!! $$$ " * (1 + i % 5), "en") for i in range(40)]
+    rows += [(100, "plain words about fields and rivers. " * 40000, "en"), (3, rows[3][1], "en"), (3, "another text", "en"), (None, "plain text", "en")]
+    docs = frame(spark, rows)
+    model = quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 1), (None, 1), (5, None)], "doc_id long, quality int"))
+    out = quality.scored(docs, model).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
+    assert len({r.score for r in out if r.doc_id == 3}) == 2 and sum(r.doc_id is None for r in out) == 1
+
+
 def test_quality_without_labels_keeps_everything(spark):
     docs = frame(spark, [(1, "a b", "en"), (2, None, None)])
     model = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
@@ -126,7 +194,55 @@ def test_language_odd_texts(spark):
     assert [out[i].lang_pred for i in (100, 101, 103, 104, 0)] == ["und", "und", "und", "en", "de"]
     assert out[102].lang_pred in ("en", "de") and out[101].score == 0 and out[101].rejected
     assert language.identified(docs.limit(0), model).count() == 0
-    assert {r.lang_pred for r in language.identified(docs, language.train(docs, fit=docs.limit(0))).collect()} == {"und"}
+    assert {r.lang_pred for r in language.identified(docs, language.train(docs.limit(0))).collect()} == {"und"}
+    long_ = language.identified(frame(spark, [(1, "the river and the thing " * 60000, None), (2, "x" * 900_000, None)]), model).collect()
+    assert [r.lang_pred for r in sorted(long_)][0] == "en" and all(0 <= r.score <= 1 for r in long_)
+
+
+def plain_trigrams(text):
+    """Counts of the hashed trigrams of one text, by definition."""
+    kinds = [c | 32 if 65 <= c <= 90 or 97 <= c <= 122 else c if c >= 128 else 32 for c in text.encode()]
+    counts = {}
+    for a, b, c in zip(kinds, kinds[1:], kinds[2:]):
+        if (a, b, c) != (32, 32, 32):
+            place = ((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF) >> 21
+            counts[place] = counts.get(place, 0) + 1
+    return counts
+
+
+def test_language_against_plain_tf_idf(spark):
+    rnd = random.Random(8)
+    words = {"en": "the of and river thing house Water".split(), "de": "der die und fluß sache Haus wässer".split()}
+    rows = [(i, " ".join(rnd.choice(words[lang]) for _ in range(rnd.randint(1, 30))), lang if i % 9 else None) for i in range(120) for lang in (("en", "de")[i % 2],)]
+    docs = frame(spark, rows)
+    model = language.train(docs)
+    grams = {i: plain_trigrams(t) for i, t, _ in rows}
+    found = {}
+    for g in grams.values():
+        for p in g:
+            found[p] = found.get(p, 0) + 1
+    idf = [np.log((1 + len(rows)) / (1 + found.get(p, 0))) + 1 for p in range(language.DIMENSIONS)]
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+    for r in language.identified(docs, model).collect():
+        v = {p: np.log(1 + n) * idf[p] for p, n in grams[r.doc_id].items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        cosines = [sum(x * float(centre[p]) for p, x in v.items()) / norm if norm else 0.0 for centre in model.matrix]
+        best = max(cosines)
+        assert abs(r.score - max(0, min(1, best))) < 1e-4
+        assert r.lang_pred in {model.languages[i] for i, c in enumerate(cosines) if c > best - 1e-4}
+
+
+def test_language_model_does_not_depend_on_held_out_texts_or_partitions(spark, tmp_path):
+    rows = [(i, ("the river and thing number " if i % 2 else "der fluß und die sache ") + "ab" * (i % 7), "en" if i % 2 else "de", "s", i) for i in range(90)]
+    out = []
+    for name, change, parts in (("a", False, 1), ("b", True, 5)):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        if change:
+            df = df.withColumn("text", F.when(held_out(F.col("doc_id"), 3, 1), "zzz qqq xxx").otherwise(F.col("text")))
+        df.repartition(parts).write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = language.op2_centroid_language(spark, str(tmp_path / name)).where("not held_out").collect()
+        out.append(sorted((r.doc_id, r.lang_pred, round(r.score, 6), r.rejected) for r in got))
+    assert out[0] == out[1] and len(out[0]) > 50
 
 
 def test_trigrams_stay_inside_rows():
