@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -32,10 +33,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Only a session that runs in one process may do without: it gets a temporary folder. A cluster without a shared folder
+    fails here, as its executors could not see each other's tables.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_tallybook_scratch", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = sc._tallybook_scratch = tempfile.mkdtemp(prefix="tallybook-scratch-")
         sc.setCheckpointDir(root)
     return root
@@ -55,4 +62,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tallybook_path = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Delete tables that written() gave and that nothing will read again; others are left alone."""
+    for df in tables:
+        path = df.__dict__.pop("_tallybook_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every table that written() left in the shared folder; results that still read them fail afterwards."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(scratch_root(spark), "tallybook-*"))
+    for status in root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root) or []:
+        _delete(spark, status.getPath().toString())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
