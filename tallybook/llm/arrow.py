@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,15 +12,17 @@ from pyspark.sql.types import StructType
 BATCH_BYTES = 8 << 20
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """df.mapInArrow with batches cut to about BATCH_BYTES, so that memory does not depend on text lengths."""
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow with batches cut to about BATCH_BYTES, so that memory does not depend on text lengths.
+
+    The function gives one batch or, where its result is much larger than what it reads, several in turn.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = max(1, int(batch.num_rows * BATCH_BYTES / max(batch.nbytes, 1)))
             for a in range(0, batch.num_rows, step):
                 out = function(batch.slice(a, step))
-                if out.num_rows:
-                    yield out
+                yield from (b for b in ([out] if isinstance(out, pa.RecordBatch) else out) if b.num_rows)
 
     return df.mapInArrow(run, schema)

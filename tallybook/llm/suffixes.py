@@ -10,6 +10,9 @@ A run of suffixes with a common prefix of LENGTH is one repeated string; all but
 Equal contexts go through the construction once, and texts equal as a whole only by their smallest id.
 An anchor with very many different contexts is decided by grouping hashes of its strings instead, which
 spreads over tasks; both ways give the same marks.
+
+A row is known by its key and a hash of its text (x), so that rows which share a key never mix. Every table that a hot anchor
+is joined with is written first: both sides of such a join are then plain shuffles, which Spark cuts where one is skewed.
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm.arrow import map_batches
 from tallybook.llm.textkit import mix, powers, slices
-from tallybook.session import table, written
+from tallybook.session import discarded, table, written
 
 LENGTH, ANCHOR = 100, 32
 #: Bytes beside the anchor that a string can reach on either side; a string's offset is 0..SIDE.
@@ -32,6 +35,8 @@ SIDE = LENGTH - ANCHOR
 WIDTH = ANCHOR + 2 * SIDE
 #: Contexts handled at once, and different contexts of an anchor above which hashes decide.
 BLOCK, MANY = 1 << 15, 1 << 14
+#: Bytes of a long text that anchors are looked for in at once, and contexts of a text that are made at once.
+PIECE, PLACES = 1 << 22, 1 << 14
 _POSITION_BITS = 28
 _VALUES = mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -46,7 +51,7 @@ def rolled(data: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hash and position (in the slice) of all anchors of the rows' strings."""
+    """Row, hash and position (in the slice) of all anchors of the rows' strings; the slice has 1 << _POSITION_BITS bytes at most."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none.view(np.uint64), none
@@ -65,69 +70,84 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.searchsorted(offsets, at, "right") - 1, h[at], at
 
 
+def text_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for a slice of any length: one long text is read in pieces that share LENGTH - 1 bytes."""
+    if len(data) <= PIECE or len(offsets) > 2:
+        return anchors(data, offsets)
+    hashes, places, last = [], [], -1
+    for a in range(0, len(data) - LENGTH + 1, PIECE - LENGTH + 1):
+        piece = data[a : a + PIECE]
+        _, h, at = anchors(piece, np.array([0, len(piece)]))
+        fresh = at + a > last  # the anchor of the last string of one piece can be that of the first of the next
+        hashes.append(h[fresh])
+        places.append(at[fresh] + a)
+        last = int(places[-1][-1]) if len(places[-1]) else last
+    at = np.concatenate(places)
+    return np.zeros(len(at), np.int64), np.concatenate(hashes), at
+
+
 def anchor_table(docs: DataFrame) -> DataFrame:
-    """id and the hashes and positions of the anchors of each text (id, text) of LENGTH bytes or more."""
+    """id, x and the hashes and positions of the anchors of each text (id, x, text) of LENGTH bytes or more."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, hashes, places = [], [], []
-        for a, b, data, offsets in slices(batch.column(1)):
-            if len(data) >= 1 << _POSITION_BITS:
-                raise ValueError("a text of 256 MB or more")
-            row, h, at = anchors(data, offsets)
+        for a, b, data, offsets in slices(batch.column(2)):
+            row, h, at = text_anchors(data, offsets)
             cut = np.searchsorted(row, np.arange(b - a + 1))
             for i in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
                 ids.append(a + i)
                 hashes.append(h[cut[i] : cut[i + 1]].view(np.int64))
                 places.append((at[cut[i] : cut[i + 1]] - offsets[i]).astype(np.int32))
-        return pa.record_batch([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["id", "h", "pos"])
+        keys = [batch.column(c).take(pa.array(ids, pa.int64())) for c in (0, 1)]
+        return pa.record_batch([*keys, pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["id", "x", "h", "pos"])
 
-    return map_batches(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, h array<long>, pos array<int>")
+    return map_batches(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, x long, h array<long>, pos array<int>")
 
 
 def context_table(rows: DataFrame) -> DataFrame:
-    """For rows (id, text, places): one row per place with h, id, pos, left, right, context and a hash pair of it.
+    """For rows (id, x, text, places): one row per place with h, id, x, pos, left, right, context and a hash pair of it.
 
     left and right: bytes of the text beside the anchor, SIDE at most; the context has WIDTH bytes, padded with 0.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, columns = [], []
-        for a, _, data, offsets in slices(batch.column(1)):
-            places = batch.column(2).slice(a, len(offsets) - 1)
+    def part(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, pos: np.ndarray) -> list[pa.Array]:
+        at = offsets[row] + pos
+        left = np.minimum(pos, SIDE)
+        right = np.minimum(offsets[row + 1] - at - ANCHOR, SIDE)
+        column = np.arange(WIDTH)
+        inside = (column >= SIDE - left[:, None]) & (column < SIDE + ANCHOR + right[:, None])
+        source = np.clip(at[:, None] - SIDE + column, 0, len(data) - 1)
+        context = np.where(inside, data[source], 0).astype(np.uint8)
+        words = np.ascontiguousarray(np.pad(context, ((0, 0), (0, -WIDTH % 8)))).view(np.uint64)
+        one, two = (left * 1000 + right).astype(np.uint64), (left * 1000 + right + 7).astype(np.uint64)
+        for j in range(words.shape[1]):
+            one, two = mix(one ^ words[:, j]), mix((two + words[:, j]) * np.uint64(0xD6E8FEB86659FD93))
+        anchor = np.ascontiguousarray(context[:, SIDE : SIDE + ANCHOR]).view(np.uint64)
+        h = np.zeros(len(pos), np.uint64)
+        for j in range(anchor.shape[1]):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) ^ anchor[:, j])
+        binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(pos), [None, pa.py_buffer(np.ascontiguousarray(context).tobytes())]).cast(pa.binary())
+        return [pa.array(h.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), binary]
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a, _, data, offsets in slices(batch.column(2)):
+            places = batch.column(3).slice(a, len(offsets) - 1)
             count = np.diff(places.offsets.to_numpy())
             row = np.repeat(np.arange(len(count)), count)
             pos = places.flatten().to_numpy().astype(np.int64)
             order = np.lexsort((pos, row))
-            pos = pos[order]
-            at = offsets[row] + pos
-            left = np.minimum(pos, SIDE)
-            right = np.minimum(offsets[row + 1] - at - ANCHOR, SIDE)
-            column = np.arange(WIDTH)
-            inside = (column >= SIDE - left[:, None]) & (column < SIDE + ANCHOR + right[:, None])
-            source = np.clip(at[:, None] - SIDE + column, 0, len(data) - 1)
-            context = np.where(inside, data[source], 0).astype(np.uint8)
-            words = np.ascontiguousarray(np.pad(context, ((0, 0), (0, -WIDTH % 8)))).view(np.uint64)
-            one, two = (left * 1000 + right).astype(np.uint64), (left * 1000 + right + 7).astype(np.uint64)
-            for j in range(words.shape[1]):
-                one, two = mix(one ^ words[:, j]), mix((two + words[:, j]) * np.uint64(0xD6E8FEB86659FD93))
-            anchor = np.ascontiguousarray(context[:, SIDE : SIDE + ANCHOR]).view(np.uint64)
-            h = np.zeros(len(pos), np.uint64)
-            for j in range(anchor.shape[1]):
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) ^ anchor[:, j])
-            ids.append(row + a)
-            columns.append((h, pos, left, right, one, two, context))
-        h, pos, left, right, one, two, context = (np.concatenate(c) for c in zip(*columns))
-        binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(pos), [None, pa.py_buffer(np.ascontiguousarray(context).tobytes())]).cast(pa.binary())
-        arrays = [batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(h.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), binary]
-        return pa.record_batch(arrays, names=["id", "h", "pos", "left", "right", "one", "two", "context"])
+            row, pos = row[order], pos[order]
+            for k in range(0, len(pos), PLACES):
+                keys = [batch.column(c).take(pa.array(row[k : k + PLACES] + a)) for c in (0, 1)]
+                yield pa.record_batch([*keys, *part(data, offsets, row[k : k + PLACES], pos[k : k + PLACES])], names=["id", "x", "h", "pos", "left", "right", "one", "two", "context"])
 
-    return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, h long, pos int, left short, right short, one long, two long, context binary")
+    return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, x long, h long, pos int, left short, right short, one long, two long, context binary")
 
 
-def later_strings(group: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def later_strings(group: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """contexts x (SIDE + 1): whether the string that begins `offset` bytes before the anchor occurs earlier.
 
-    group: sorted numbers of the anchors; rank: order of the contexts' first occurrences. In each round one symbol of
+    group: sorted numbers of the anchors; the contexts of each are in the order of their first occurrences. In each round one symbol of
     every context is put before its suffix: a stable sort by (group, symbol) keeps the order of the suffixes, and the
     common prefix of two neighbours grows by one to the least of those between them before, up to LENGTH.
     """
@@ -162,9 +182,8 @@ def later_strings(group: np.ndarray, context: np.ndarray, left: np.ndarray, righ
             run = common >= LENGTH
             if run.any():
                 starts = np.flatnonzero(~run)
-                r = rank[order]
-                least = np.repeat(np.minimum.reduceat(r, starts), np.diff(np.append(starts, n)))
-                later[order, SIDE - c] = r > least
+                least = np.repeat(np.minimum.reduceat(order, starts), np.diff(np.append(starts, n)))
+                later[order, SIDE - c] = order > least
     return later
 
 
@@ -173,15 +192,13 @@ def _marks(later: np.ndarray) -> pa.Array:
 
 
 def marked_contexts(firsts: DataFrame) -> DataFrame:
-    """(h, one, two, mask) for contexts sorted by h within partitions; those without a later string are left out."""
+    """(h, one, two, mask) for contexts sorted by h and first place within partitions; those without a later string are left out."""
 
     def flush(t: pa.Table) -> list[pa.RecordBatch]:
         h = t["h"].to_numpy()
         group = np.cumsum(np.append(False, h[1:] != h[:-1]))
         context = np.frombuffer(b"".join(t["context"].to_pylist()), np.uint8).reshape(-1, WIDTH)
-        rank = np.empty(len(h), np.int64)
-        rank[np.lexsort((t["pos"].to_numpy(), t["id"].to_numpy()))] = np.arange(len(h))
-        later = later_strings(group, context, t["left"].to_numpy().astype(np.int64), t["right"].to_numpy().astype(np.int64), rank)
+        later = later_strings(group, context, t["left"].to_numpy().astype(np.int64), t["right"].to_numpy().astype(np.int64))
         out = pa.table([t["h"], t["one"], t["two"], _marks(later)], names=["h", "one", "two", "mask"])
         return out.filter(pa.array(later.any(axis=1))).combine_chunks().to_batches()
 
@@ -199,29 +216,26 @@ def marked_contexts(firsts: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield from flush(held)
 
-    return firsts.select("h", "one", "two", "id", "pos", "left", "right", "context").mapInArrow(run, "h long, one long, two long, mask binary")
+    return firsts.select("h", "one", "two", "left", "right", "context").mapInArrow(run, "h long, one long, two long, mask binary")
 
 
 def hashed_contexts(firsts: DataFrame) -> DataFrame:
-    """The same marks for anchors with very many contexts: group by the hash of each string, least (id, pos) first."""
-    kind = firsts.schema["id"].dataType.simpleString()
+    """The same marks for anchors with very many contexts: group by the hash of each string, least first place first."""
 
     def strings(batch: pa.RecordBatch) -> pa.RecordBatch:
         context = np.frombuffer(b"".join(batch.column("context").to_pylist()), np.uint8)
-        n = batch.num_rows
         h1 = rolled(context, LENGTH)
         left, right = (batch.column(c).to_numpy().astype(np.int64)[:, None] for c in ("left", "right"))
         offset = np.arange(SIDE + 1)
         row, off = np.nonzero((offset <= left) & (LENGTH - ANCHOR - offset <= right))
         at = row * WIDTH + SIDE - off
-        pick = [batch.column(c).take(pa.array(row)) for c in ("h", "one", "two", "id", "pos")]
-        assert len(context) == n * WIDTH
-        return pa.record_batch([*pick, pa.array(off.astype(np.int16)), pa.array(h1[at].view(np.int64))], names=["h", "one", "two", "id", "pos", "off", "string"])
-
-    every = map_batches(firsts.select("h", "one", "two", "id", "pos", "left", "right", "context"), strings, f"h long, one long, two long, id {kind}, pos int, off short, string long")
-    place = F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
-    least = every.groupBy("h", "off", "string").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    late = every.join(least, ["h", "off", "string"]).where(place > F.col("first"))
+        pick = [batch.column(c).take(pa.array(row)) for c in ("h", "one", "two", "first")]
+        return pa.record_batch([*pick, pa.array(off.astype(np.int16)), pa.array(h1[at].view(np.int64))], names=["h", "one", "two", "place", "off", "string"])
+
+    kind = firsts.schema["first"].dataType.simpleString()
+    every = map_batches(firsts.select("h", "one", "two", "first", "left", "right", "context"), strings, f"h long, one long, two long, place {kind}, off short, string long")
+    least = every.groupBy("h", "off", "string").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    late = every.join(written(least, "strings"), ["h", "off", "string"]).where("place > first")
     flags = late.groupBy("h", "one", "two").agg(F.collect_set("off").alias("offs"))
 
     def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -251,48 +265,64 @@ def removed_ranges(marks: list[dict], size: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, gap + 1)].tolist(), (starts[np.append(gap, len(starts) - 1)] + LENGTH).tolist()))
 
 
+def _place() -> Column:
+    """Rows in the order of their keys, rows that share one by a hash of the text, then positions, in one number."""
+    number = lambda c: c.cast("decimal(20,0)")
+    tie = F.col("x").bitwiseAND((1 << 30) - 1) * F.lit(1 << 31) + F.col("pos")
+    return (number(F.col("id")) * F.lit(1 << 61).cast("decimal(19,0)") + number(tie)).cast("decimal(38,0)")
+
+
 def _decisions(docs: DataFrame, key: str, text: str, carry: dict[str, str] = {}) -> DataFrame:  # noqa: B006
     """id, text, copy (equal to the text of a smaller id) and marks for every row of docs; carry: further columns by new name."""
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(name) for name, c in carry.items()))
+    rows = rows.withColumn("x", F.xxhash64("text"))
     long_ = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    keyed = long_.select("id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(7), F.col("text")).alias("y"), F.octet_length("text").alias("n"))
-    least = keyed.groupBy("x", "y", "n").agg(F.min("id").alias("least"))
-    copies = written(keyed.join(least, ["x", "y", "n"]).where(F.col("id") > F.col("least")).select("id").distinct(), "copies")
-
-    found = anchor_table(long_.select("id", "text")).join(copies, "id", "left_anti")
-    found = written(found.select("id", F.explode(F.arrays_zip("h", "pos")).alias("a")).select("id", "a.h", "a.pos"), "anchors")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    places = found.join(twice, "h", "left_semi").groupBy("id").agg(F.collect_list("pos").alias("places"))
-    contexts = written(context_table(long_.join(places, "id").select("id", "text", "places")), "contexts")
-
-    place = F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
-    kinds = contexts.groupBy("h", "one", "two").agg(F.min(place).alias("first"))
+    keyed = long_.select("id", "x", F.xxhash64(F.lit(7), F.col("text")).alias("y"), F.octet_length("text").alias("n"))
+    equal = keyed.groupBy("x", "y", "n").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    equal = written(equal, "equal")
+    equal_rows = written(keyed.join(equal, ["x", "y", "n"]).groupBy("id", "x", "least").agg(F.count(F.lit(1)).alias("rows")), "equal")
+    copies = equal_rows.where("id > least").select("id", "x")
+    if not equal_rows.where("id = least and rows > 1").isEmpty():  # rows that share key and text have the same marks
+        long_ = long_.dropDuplicates(["id", "x"])
+
+    found = anchor_table(long_.select("id", "x", "text")).join(copies, ["id", "x"], "left_anti")
+    found = written(found.select("id", "x", F.explode(F.arrays_zip("h", "pos")).alias("a")).select("id", "x", "a.h", "a.pos"), "anchors")
+    twice = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
+    places = found.join(twice, "h", "left_semi").groupBy("id", "x").agg(F.collect_list("pos").alias("places"))
+    places = written(places, "places")
+    discarded(equal, found, twice)
+    contexts = written(context_table(long_.join(places, ["id", "x"]).select("id", "x", "text", "places")), "contexts")
+    discarded(places)
+
+    kinds = contexts.groupBy("h", "one", "two", "left", "right", "context").agg(F.min(_place()).alias("first"))
     kinds = written(kinds, "kinds")
-    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
-    chosen = contexts.join(kinds, ["h", "one", "two"]).where(place == F.col("first")).drop("first").join(several, "h")
-    chosen = chosen.dropDuplicates(["h", "one", "two"])  # rows that share an id can share a first place
-    built = marked_contexts(chosen.where(F.col("different") <= MANY).repartition("h").sortWithinPartitions("h"))
+    several = written(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("different")).where("different > 1"), "several")
+    chosen = kinds.join(several, "h")
+    built = marked_contexts(chosen.where(F.col("different") <= MANY).repartition("h").sortWithinPartitions("h", "first"))
     hashed = hashed_contexts(chosen.where(F.col("different") > MANY))
     masks = written(built.unionByName(hashed), "masks")
+    decided = written(kinds.select("h", "one", "two", "first").join(masks, ["h", "one", "two"], "left"), "decided")
+    discarded(kinds, several, masks)
 
-    small = contexts.select("h", "one", "two", "id", "pos", "left", "right")
-    known = small.join(kinds, ["h", "one", "two"]).withColumn("is_first", place == F.col("first"))
-    marks = known.where("is_first").drop("first").join(masks, ["h", "one", "two"]).select("id", "pos", "left", "right", "mask")
-    marks = marks.unionByName(known.where("not is_first").select("id", "pos", "left", "right", F.lit(None).cast("binary").alias("mask")))
-    marks = marks.groupBy("id").agg(F.collect_list(F.struct("pos", "left", "right", "mask")).alias("marks"))  # at most a document's anchors
-    return rows.join(copies.withColumn("copy", F.lit(True)), "id", "left").join(marks, "id", "left")
+    # A context that is not the first of its kind has every string of its own earlier; the first one has those of its mask.
+    marks = contexts.drop("context").join(decided, ["h", "one", "two"]).withColumn("is_first", _place() == F.col("first"))
+    marks = marks.where("not is_first or mask is not null").select("id", "x", "pos", "left", "right", F.when(F.col("is_first"), F.col("mask")).alias("mask"))
+    marks = written(marks.groupBy("id", "x").agg(F.collect_list(F.struct("pos", "left", "right", "mask")).alias("marks")), "marks")  # at most a text's anchors
+    discarded(contexts, decided)
+    return rows.join(copies.withColumn("copy", F.lit(True)), ["id", "x"], "left").join(marks, ["id", "x"], "left")
 
 
 def _ranges(copy: bool | None, marks: list[dict] | None, size: int) -> list[tuple[int, int]]:
     return [(0, size)] if copy else removed_ranges(marks or [], size)
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, texts without the bytes of strings that occur earlier, and `spans`, the removed byte ranges.
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", spans_name: str | None = "spans") -> DataFrame:
+    """The rows of docs, texts without the bytes of strings that occur earlier, and the removed byte ranges.
 
-    Earlier: in a row with a smaller key, or before in the same text. Rows that share a key are not earlier than
-    each other; a row without a key takes no part and stays whole. A null text is empty. A character of which
-    some bytes are removed is removed. Other columns stay as they are; an empty table gives no rows.
+    Earlier: in a row with a smaller key, or before in the same text. Of rows that share a key but not a text those
+    with a smaller hash of the text are earlier; equal rows are not earlier than each other. A row without a key takes no part
+    and stays whole. A null text is empty; texts may have any length. A character of which some bytes are removed is removed.
+    Other columns stay as they are; an empty table gives no rows. spans_name: the column of the ranges, None for none.
     """
     others = {f"_other{i}": c for i, c in enumerate(docs.columns) if c not in (key, text)}
 
@@ -309,7 +339,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     kinds = "".join(f", {name} {docs.schema[c].dataType.simpleString()}" for name, c in others.items())
     out = map_batches(rows, run, f"id {docs.schema[key].dataType.simpleString()}, text string, spans array<struct<start:bigint,end:bigint>>{kinds}")
     back = {key: "id", text: "text"} | {c: name for name, c in others.items()}
-    return out.select(*(F.col(back[c]).alias(c) for c in docs.columns), "spans")
+    return out.select(*(F.col(back[c]).alias(c) for c in docs.columns), *([F.col("spans").alias(spans_name)] if spans_name else []))
 
 
 def _kept(text: bytes, gone: list[tuple[int, int]]) -> bytes:
