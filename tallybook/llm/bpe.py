@@ -4,8 +4,9 @@ From the merge list alone follows how many bytes to the right can still change a
 (a, b) can only be prevented by an earlier merge (s, x) whose s is on the right edge of b, which an earlier
 one can prevent in turn, and so on with falling ranks. The longest such chain is the lookahead. A word is
 read through a window; its tokens are emitted once the lookahead behind them is known, and tokenization goes
-on from there, since the pieces on both sides of a final boundary merge independently. Memory is constant:
-one window, the rule table and a bounded cache of words.
+on from there, since the pieces on both sides of a final boundary merge independently. Beside the text that Spark hands
+over, memory is constant: one window, one piece of tokens, the rule table and a cache of words of bounded bytes. The decoder is a
+state machine that takes the tokens piece by piece as the encoder emits them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,10 @@ from pyspark.sql import functions as F
 from tallybook.llm.arrow import map_batches
 from tallybook.session import table
 
-#: Words in the cache before it is emptied.
-CACHE_WORDS = 1 << 18
-#: Characters of a text handled at once; pieces are cut at spaces, which no word crosses.
-PIECE = 1 << 20
+#: Bytes of the cache of words before it is emptied, counting ENTRY for what Python adds to each word.
+CACHE_BYTES, ENTRY = 64 << 20, 160
+#: Characters of a text handled at once; pieces are cut at white space, which no word crosses. Without any, words are read one by one.
+PIECE, WORDS = 1 << 20, 1 << 12
 
 # Fixed values of the tokenizer's format: contractions, and white space as its regular expressions know it.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -49,15 +52,37 @@ def byte_characters() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
-def split_words(text: str) -> list[str]:
-    """The words of a normalised text."""
+_BLANK = re.compile(f"[{_SPACE}]")
+
+
+def word_pattern(text: str):
+    """The pattern that finds the words of a normalised text, as simple as its characters allow."""
     if text.isascii():
-        return _ASCII.findall(text)
+        return _ASCII
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return _ANY.findall(text)
-    return _LATIN.findall(text)
+        return _ANY
+    return _LATIN
+
+
+def word_lists(text: str) -> Iterator[list[str]]:
+    """The words of a normalised text, in lists of bounded size."""
+    at = 0
+    while len(text) - at > PIECE:
+        blank = _BLANK.search(text, at + PIECE, at + 2 * PIECE)
+        if not blank:
+            break
+        yield word_pattern(part := text[at : blank.start()]).findall(part)
+        at = blank.start()
+    rest = text[at:] if at else text
+    pattern = word_pattern(rest)
+    if len(rest) <= 2 * PIECE:
+        yield pattern.findall(rest)
+        return
+    found = pattern.finditer(rest)
+    while some := [m[0] for m in islice(found, WORDS)]:
+        yield some
 
 
 def normalised(text: str) -> str:
@@ -100,6 +125,7 @@ class Transducer:
         self.lookahead = self._lookahead(merges, vocab)
         self.window = max(256, 4 * self.lookahead)
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
         self._cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def _lookahead(self, merges: list, vocab: dict[str, int]) -> int:
@@ -144,65 +170,78 @@ class Transducer:
                     break
 
     def word(self, word: str) -> bytes:
-        """The ids of one word, as little-endian 32-bit numbers."""
+        """The ids of one word of the window's size at most, as little-endian 32-bit numbers."""
         data = word.encode("utf-8", "replace")
-        inner, n = self.inner, len(data)
-        if n <= self.window:
-            ids = [inner[b] for b in data]
-            ids[-1] = self.final[data[-1]]
-            return np.array(self._merged(ids), "<u4").tobytes()
-        out, at = [], 0
-        while n - at > self.window:
-            ids, length = self._merged([inner[b] for b in data[at : at + self.window]]), 0
+        ids = [self.inner[b] for b in data]
+        ids[-1] = self.final[data[-1]]
+        return np.array(self._merged(ids), "<u4").tobytes()
+
+    def long_word(self, word: str) -> Iterator[bytes]:
+        """The same for a word of any length, as soon as tokens are stable."""
+        data, inner, at = word.encode("utf-8", "replace"), self.inner, 0
+        while len(data) - at > self.window:
+            ids, length, out = self._merged([inner[b] for b in data[at : at + self.window]]), 0, []
             for i in ids:
                 if length + len(self.raw[i]) + self.lookahead > self.window:
                     break
                 length += len(self.raw[i])
                 out.append(i)
+            yield np.array(out, "<u4").tobytes()
             at += length
         ids = [inner[b] for b in data[at:]]
         ids[-1] = self.final[data[-1]]
-        return np.array(out + self._merged(ids), "<u4").tobytes()
-
-    def encode(self, text: str):
+        yield np.array(self._merged(ids), "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        cache, most = self.cache, self.window // 4  # a character has four bytes at most
+        fresh = set(words).difference(cache)
+        long_ = {w for w in fresh if len(w) > most}
+        for w in fresh - long_:
+            cache[w] = ids = self.word(w)
+            self.cached += len(w) + len(ids) + ENTRY
+        if not long_:
+            yield b"".join([cache[w] for w in words])
+        else:
+            for w in words:
+                if w in long_:
+                    yield from self.long_word(w)
+                else:
+                    yield cache[w]
+        if self.cached > CACHE_BYTES:
+            cache.clear()
+            self.cached = 0
+
+    def encode(self, text: str) -> Iterator[bytes]:
         """Yield the ids of a text piece by piece, as packed bytes; special strings in it are their own ids."""
         cut = [text] if self._cut is None else re.split(f"({self._cut.pattern})", text)
-        cache, word = self.cache, self.word
         for k, part in enumerate(cut):
             if k % 2:
                 yield self.special[part].to_bytes(4, "little")
                 continue
-            part = normalised(part)
-            at = 0
-            while at < len(part):
-                end = len(part) if len(part) - at <= PIECE else part.find(" ", at + PIECE)
-                end = len(part) if end < 0 else end
-                words = split_words(part[at:end] if at or end < len(part) else part)
-                for w in set(words).difference(cache):
-                    cache[w] = word(w)
-                yield b"".join([cache[w] for w in words])
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                at = end
-
-    def printed_text(self, pieces):
-        """Yield the library's decoding, which has no decoder here: the tokens' strings joined by spaces."""
-        printed, first = self.printed, True
-        for packed in pieces:
-            out = b"".join([printed[i] for i in np.frombuffer(packed, "<u4").tolist()])
-            if out:
-                yield out[:-1] if first else b" " + out[:-1]
-                first = False
-
-
-class ByteDecoder:
-    """Ids to text, incrementally: bytes of a character that are split over tokens wait for the rest."""
-
-    def __init__(self, transducer: Transducer):
-        self.raw, self.utf8 = transducer.raw, codecs.getincrementaldecoder("utf-8")("replace")
-
-    def feed(self, ids, last: bool = False) -> str:
-        return self.utf8.decode(b"".join([self.raw[i] for i in ids]), last)
+            for words in word_lists(normalised(part)):
+                yield from self._words(words)
+
+
+class Decoder:
+    """Ids to text, incrementally. State: whether a token came before, and the bytes of a character whose rest is still to come.
+
+    The tokenizer's file has no decoder of its own, so the library prints the tokens' strings with a space between
+    them; plain gives what the tokens stand for instead, the normalised text.
+    """
+
+    def __init__(self, transducer: Transducer, plain: bool = False):
+        self.strings = transducer.raw if plain else transducer.printed
+        self.between, self.begun = not plain, False
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, packed: bytes, last: bool = False) -> str:
+        """The text that packed ids complete; last: nothing follows, so what is incomplete is replaced."""
+        strings = self.strings
+        data = b"".join([strings[i] for i in np.frombuffer(packed, "<u4").tolist()])
+        if self.between and data:
+            data = (b" " if self.begun else b"") + data[:-1]  # the space after the last token waits for the next one
+            self.begun = True
+        return self.utf8.decode(data, last)
 
 
 _LOADED: dict[str, Transducer] = {}
@@ -233,18 +272,19 @@ def encoded(docs: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str
         t = holder[0]
         counts, ids_sha, text_sha, ids = [], [], [], []
         for s in batch.column(1).to_pylist():
-            pieces = list(t.encode(s or ""))
-            h = hashlib.sha256()
-            for p in pieces:
-                h.update(p)
-            d = hashlib.sha256()
-            for p in t.printed_text(pieces):
-                d.update(p)
-            counts.append(sum(map(len, pieces)) // 4)
+            h, d, n, kept, decoder = hashlib.sha256(), hashlib.sha256(), 0, [], Decoder(t)
+            for packed in t.encode(s or ""):
+                h.update(packed)
+                d.update(decoder.feed(packed).encode())
+                n += len(packed) // 4
+                if tokens:
+                    kept.append(packed)
+            d.update(decoder.feed(b"", True).encode())
+            counts.append(n)
             ids_sha.append(h.hexdigest())
             text_sha.append(d.hexdigest())
             if tokens:
-                ids.append(np.frombuffer(b"".join(pieces), "<u4").astype(np.int32))
+                ids.append(np.frombuffer(b"".join(kept), "<u4").astype(np.int32))
         columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
         names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
         if tokens:
