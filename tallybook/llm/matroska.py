@@ -11,6 +11,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXER, WRITER = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+DEFAULT_DURATION, CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x23E383, 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
 RATE, FRAME, FRAMES_PER_BLOCK, BLOCKS_PER_CLUSTER = 8000, 512, 8, 63
@@ -174,7 +175,23 @@ def _number(data: bytes, span: tuple[int, int] | None) -> int:
     return int.from_bytes(data[slice(*span)], "big") if span else 0
 
 
-def _walk(data: bytes, at: int, end: int, media: Media, cluster_ms: int) -> None:
+def _real(data: bytes, span: tuple[int, int] | None) -> float:
+    body = data[slice(*span)] if span else b""
+    return struct.unpack(">f" if len(body) == 4 else ">d", body)[0] if len(body) in (4, 8) else 0.0
+
+
+def _frame_times(track: dict, sizes: list[int]) -> list[int]:
+    """When each frame of a lace begins, in ms after its block: by the track's frame duration, else by its samples' bytes, else 0."""
+    if track.get("frame_ns"):
+        return [i * track["frame_ns"] // 1_000_000 for i in range(len(sizes))]
+    second = track.get("rate", 0) * track.get("channels", 1) * track.get("bits", 0) / 8
+    if not second or not track.get("codec", "").startswith("A_PCM"):
+        return [0] * len(sizes)
+    return [int(n * 1000 // second) for n in accumulate(sizes[:-1], initial=0)]
+
+
+def _walk(data: bytes, at: int, end: int, media: Media, cluster_ms: int, whole: bool = True) -> None:
+    """whole: a Block here is a keyframe, as no ReferenceBlock is beside it."""
     while at < end:
         begin = at
         number, at = read_vint(data, at, True)
@@ -189,14 +206,17 @@ def _walk(data: bytes, at: int, end: int, media: Media, cluster_ms: int) -> None
         if number in _MASTERS and size is None:  # its children follow here, up to the parent's end
             stop = at
         elif number in _MASTERS:
-            _walk(data, at, stop, media, cluster_ms)
+            _walk(data, at, stop, media, cluster_ms, number != BLOCK_GROUP or REFERENCE_BLOCK not in _children(data, at, stop))
         elif number == INFO:
             media.scale = _number(data, _children(data, at, stop).get(TIMESTAMP_SCALE)) or media.scale
         elif number == TRACK_ENTRY:
             entry = _children(data, at, stop)
             codec = bytes(data[slice(*entry.get(CODEC, (0, 0)))]).decode("ascii", "replace")
             audio = _children(data, *entry[AUDIO]) if AUDIO in entry else {}
-            media.tracks[_number(data, entry.get(TRACK_NUMBER))] = {"codec": codec, "bits": _number(data, audio.get(BIT_DEPTH))}
+            media.tracks[_number(data, entry.get(TRACK_NUMBER))] = {
+                "codec": codec, "bits": _number(data, audio.get(BIT_DEPTH)), "frame_ns": _number(data, entry.get(DEFAULT_DURATION)),
+                "rate": _real(data, audio.get(SAMPLING)), "channels": _number(data, audio.get(CHANNELS)) or 1,
+            }
         elif number == TIMESTAMP:
             cluster_ms = _number(data, (at, stop)) * media.scale // 1_000_000
         elif number == CUE_POINT:
@@ -208,8 +228,8 @@ def _walk(data: bytes, at: int, end: int, media: Media, cluster_ms: int) -> None
             relative, flags = struct.unpack_from(">hB", data, body)
             sizes, offset = lace_sizes(data, body + 3, stop, flags >> 1 & 3)
             ms = cluster_ms + relative * media.scale // 1_000_000
-            for i, n in enumerate(sizes):
-                media.packets.append((track, ms + i * FRAME_MS, offset, n, number == BLOCK or bool(flags & 0x80)))
+            for n, later in zip(sizes, _frame_times(media.tracks.get(track, {}), sizes)):
+                media.packets.append((track, ms + later, offset, n, whole if number == BLOCK else bool(flags & 0x80)))
                 offset += n
         at = stop
 

@@ -4,7 +4,8 @@ A source's documents form blocks; block k of a source with weight w is released
 due at ceil((k+1)/w); one slot takes one block, earliest deadline first. Weights are exact ratios of whole
 numbers, so nothing is rounded at any length. When a source runs out, a phase ends and the others share the
 slots anew. The driver deals the blocks, holding the sources and one piece of the schedule, which is a table with
-one row for each block; every document finds its slot by its rank in its source.
+one row for each block; every document finds its slot by its rank in its source. A block has BLOCK_ROWS rows, or
+more where the mix would have over MOST_BLOCKS of them, so that the driver's share of the work is bounded.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql.window import Window
 from tallybook.session import table, written
 
 BLOCK_ROWS = 16
+#: Blocks that the driver deals at most, beside one of each source.
+MOST_BLOCKS = 1 << 22
 #: Without given targets, a source's weight is its row count to this power.
 TEMPERATURE = 0.7
 #: The mix ends when the sources still holding documents have less than this part of the target weight.
@@ -88,14 +91,16 @@ def pfair_mix(docs: DataFrame, targets: dict[str, float] | None = None, block_ro
     """One row per row of docs: key, source, block, slot, release, deadline, phase, position and in_mix.
 
     A null source is a source of its own. Sources outside `targets` get no weight and come last, after
-    all others, not in the mix. Rows of a source are ordered by a hash of the key; equal keys follow each
-    other. position sorts the rows of the whole mix; in_mix says that the row comes before the mix ends.
-    Empty tables give no rows; other columns are ignored, or with carry the whole row is in the struct _row.
+    all others, not in the mix. Rows of a source are in the order of a hash of the whole row, so rows that share a key,
+    or have none, are spread like any others. position sorts the rows of the whole mix; in_mix says that the row comes
+    before the mix ends. A block has block_rows rows, or total / MOST_BLOCKS where that is more. Texts may have any length.
+    Empty tables give no rows; other columns are not returned, or with carry the whole row is in the struct _row.
     """
     spark = docs.sparkSession
     whole_rows = [F.struct(*docs.columns).alias("_row")] if carry else []
-    rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.coalesce(F.concat(F.lit("s:"), F.col(source)), F.lit("null")).alias("_name"), *whole_rows)
-    rows = rows.withColumn("_hash", F.xxhash64("_key")).withColumn("_bucket", F.shiftrightunsigned("_hash", 54))  # the order of the buckets is that of the unsigned hashes
+    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # those have no hash
+    rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.coalesce(F.concat(F.lit("s:"), F.col(source)), F.lit("null")).alias("_name"), F.xxhash64(*hashed).alias("_hash"), *whole_rows)
+    rows = rows.withColumn("_bucket", F.shiftrightunsigned("_hash", 54))  # the order of the buckets is that of the unsigned hashes
     counts = rows.groupBy("_name", "_bucket").agg(F.count(F.lit(1)).alias("_n"))  # at most sources times RANK_BUCKETS rows
     before = Window.partitionBy("_name").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_name", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -105,6 +110,7 @@ def pfair_mix(docs: DataFrame, targets: dict[str, float] | None = None, block_ro
     else:
         weights = {f"s:{k}" if k is not None else "null": float(w) for k, w in targets.items()}
     parts = target_parts({k: w for k, w in weights.items() if k in totals})
+    block_rows = max(block_rows, -(-sum(totals.values()) // MOST_BLOCKS))
     blocks = {k: -(-n // block_rows) for k, n in totals.items()}
     planned, rest = {k: blocks[k] for k in parts}, sorted(set(totals) - set(parts))
     last = chain.from_iterable(((k, b) for b in range(blocks[k])) for k in rest)

@@ -37,6 +37,23 @@ def test_matroska_lacing_and_unknown_sizes():
     assert M.lace_sizes(b"\x02" + M.size_vint(500) + b"\xbf" + b"z" * 1200, 0, 4 + 1200, M.EBML_LACING)[0] == [500, 500, 200]
 
 
+def test_matroska_times_and_keyframes():
+    def file(entry, body):
+        track = M.element(M.TRACK_ENTRY, M.unsigned(M.TRACK_NUMBER, 1) + entry)
+        return M.header() + M.element(M.SEGMENT, M.element(M.TRACKS, track) + M.element(M.CLUSTER, M.unsigned(M.TIMESTAMP, 100) + body))
+
+    laced = b"\x81\x00\x05" + bytes([0x04, 2]) + b"a" * 480  # fixed lacing, three frames of 160 bytes
+    plain, after = M.element(M.BLOCK_GROUP, M.element(M.BLOCK, laced)), M.element(M.BLOCK_GROUP, M.element(M.BLOCK, laced) + M.element(M.REFERENCE_BLOCK, b"\xff"))
+    media = M.parse(file(M.unsigned(M.DEFAULT_DURATION, 20_000_000), plain + after))
+    assert not media.error and [(p[1], p[4]) for p in media.packets] == [(t, k) for k in (True, False) for t in (105, 125, 145)]
+    import struct
+
+    audio = M.element(M.AUDIO, M.element(M.SAMPLING, struct.pack(">f", 4000.0)) + M.unsigned(M.CHANNELS, 2) + M.unsigned(M.BIT_DEPTH, 8))
+    pcm = M.element(M.CODEC, b"A_PCM/INT/LIT") + audio
+    assert [p[1] for p in M.parse(file(pcm, plain)).packets] == [105, 125, 145]  # 160 bytes are 80 samples of two channels
+    assert [p[1] for p in M.parse(file(b"", plain)).packets] == [105, 105, 105]  # nothing says how long a frame is
+
+
 def test_matroska_tables(spark):
     df = docs(spark, [(1, None, "a"), (2, "hé" * 400, "a"), (2, "hé" * 400, "a"), (None, "x", None)])
     rows = {(r.doc_id, r.n_bytes): r for r in M.media_digest(df).collect()}
@@ -84,6 +101,41 @@ def test_pfair_follows_the_true_targets():
     assert sorted(r[:2] for r in rows) == sorted((k, b) for k in targets for b in range(30000))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_pfair_against_a_plain_simulation(seed):
+    import random
+    from fractions import Fraction
+
+    rnd = random.Random(seed)
+    parts = {f"s{i}": rnd.randint(1, 40) for i in range(rnd.randint(1, 7))}
+    blocks = {k: rnd.randint(1, 60) for k in parts}
+    left, used, want, start, phase = dict(blocks), dict.fromkeys(parts, 0), [], 0, 0
+    while left:
+        weight = {k: Fraction(parts[k], sum(parts[j] for j in left)) for k in left}
+        done, t = dict.fromkeys(left, 0), 0
+        while all(done[k] < n for k, n in left.items()):
+            ready = [(-(-(done[k] + 1) // weight[k]), k) for k in left if done[k] / weight[k] // 1 <= t]
+            due, k = min(ready)
+            want.append((k, used[k] + done[k], start + t, start + done[k] / weight[k] // 1, start + due, phase))
+            done[k], t = done[k] + 1, t + 1
+        used = {k: n + done.get(k, 0) for k, n in used.items()}
+        left = {k: n - done[k] for k, n in left.items() if n > done[k]}
+        start, phase = start + t, phase + 1
+    assert [r[:6] for r in mixing.schedule(blocks, parts)] == want
+
+
+def test_pfair_odd_rows_and_bounded_blocks(spark, monkeypatch):
+    rows = [(None, f"t{i}", "a") for i in range(40)] + [(7, "same", "b")] * 30 + [(7, f"u{i}", "b") for i in range(30)] + [(8, "x" * 300_000, None)]
+    df = docs(spark, rows).withColumn("_name", F.lit("clash")).withColumn("position", F.lit(-1)).withColumn("_row", F.lit(0))
+    out = mixing.pfair_mix(df, carry=True)
+    assert sorted(r.text or "" for r in out.select("_row.text").collect()) == sorted(t for _, t, _ in rows)
+    got = out.collect()
+    assert sorted(r.source or "" for r in got) == sorted(s or "" for *_, s in rows) and len({r.position for r in got}) == len(rows)
+    assert {r._row.position for r in got} == {-1}
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 5)
+    assert mixing.pfair_mix(df).select("slot").distinct().count() <= 5 + 3
+
+
 def test_pfair_schedule_in_pieces(spark, monkeypatch):
     df = docs(spark, [(i, "t", "abc"[i % 3]) for i in range(60)])
     read = lambda: sorted(map(tuple, mixing.pfair_mix(df, {"a": 2, "b": 1}, block_rows=2).collect()))
