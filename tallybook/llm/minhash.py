@@ -33,6 +33,8 @@ SHINGLE_WORDS, PER_CENT = 5, 75
 #: Centres of a bucket in round r: about GROWTH**r.
 GROWTH = 4
 SKETCH_BITS = 1024
+#: Pairs of one centre that a task checks at least before they are dealt to several, and hot centres at most.
+CHUNK, HOT = 256, 10_000
 
 _SIGMA = np.uint64(0x5851F42D4C957F2D)
 _PI1, _PI2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -109,11 +111,20 @@ def signature_table(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose full shingle sets have 100 * intersection >= 75 * union."""
+    """Of pairs (a, b), those whose full shingle sets have 100 * intersection >= 75 * union.
+
+    A centre is the a of many pairs. Those of a hot one are dealt to parts by b, and its text is sent to each part: a centre is
+    hot beyond CHUNK pairs and beyond 1 / HOT of all pairs, so there are HOT hot ones at most, which are broadcast.
+    """
     kind = pairs.schema["a"].dataType.simpleString()
+    limit = max(CHUNK, pairs.count() // HOT)
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") > limit)
+    hot = F.broadcast(written(hot.select("a", F.ceil(F.col("pairs") / limit).cast("int").alias("parts")), "hot"))
     left = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    right = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b")
+    right = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(hot, "a", "left")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    dealt = pairs.join(hot, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), "parts").cast("int"), F.lit(0))).drop("parts")
+    both = dealt.join(left, "b").join(right, ["a", "part"]).select("a", "b", "text_a", "text_b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sides = []
@@ -153,9 +164,10 @@ def shared_shingles(texts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id, kept.
 
-    A null or wordless text has an empty set and is linked with nothing. A row with a null key is linked with nothing
-    either, has a null component_id and is not kept. Rows that share a key count as linked. Equal texts tie to the
-    smallest key. An empty table gives no rows; other columns are ignored.
+    A null or wordless text has an empty set and is linked with nothing, not even with rows of its own key. A row with a
+    null key is linked with nothing either, has a null component_id and is not kept. Other rows that share a key count as linked, so
+    all that is linked with one of them is one group. Equal texts tie to the smallest key. Texts may have any length. An
+    empty table gives no rows; other columns are ignored.
     """
     sig = written(signature_table(docs, key, text), "signatures")
     full = sig.where("n > 0 and id is not null")
@@ -169,7 +181,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     first = members.where("id <> least").groupBy("id").agg(F.min(F.col("least")).alias("a")).select("a", F.col("id").alias("b"))
     checked = written(first, "pairs")
-    links = written(confirmed(checked, texts), "links")
+    shared = full.join(written(full.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"), "shared"), "id", "left_semi")
+    shared = shared.join(classes, ["one", "two", "n"]).where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    links = written(confirmed(checked, texts).unionByName(shared), "links")
     found = written(components(links), "components")
     open_ = written(_torn(members, found), "open")
     alone = shared_shingles(texts.join(open_.select("id").distinct(), "id", "left_semi"))

@@ -88,6 +88,20 @@ def test_group_that_shares_a_bucket_without_links(spark):
     assert len({c for _, c in check(spark, rows).values()}) == 60
 
 
+def test_rows_that_share_a_key_are_linked(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    rows = [(3, two), (5, one), (5, two), (5, ""), (8, three), (9, one + " x"), (2, three), (2, three), (None, one)]
+    out = minhash.near_duplicates(frame(spark, rows)).collect()
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in out)
+    assert got == sorted([("3", 26, "3", True), ("5", 26, "3", False), ("5", 26, "3", False), ("5", 0, "5", True), ("8", 26, "2", False), ("9", 27, "3", False), ("2", 26, "2", True), ("2", 26, "2", True), ("None", 26, "None", False)])
+
+
+def test_hot_centres_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 8)
+    words = [f"t{i}" for i in range(60)]
+    check(spark, [(i, " ".join(words[:30] + [f"u{i}"] + words[31:])) for i in range(70)] + [(100 + i, f"x{i} y z a b c") for i in range(20)])
+
+
 def test_empty_null_keys_and_repeats(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     out = minhash.near_duplicates(frame(spark, [(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")])).collect()
