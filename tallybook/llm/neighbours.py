@@ -2,9 +2,11 @@
 
 Centroids come from hierarchical balanced clustering of a bounded sample. A vector joins the list of its nearest
 centroid and, near boundaries, those of others almost as near unless a chosen one covers them. The centroids
-are found through a neighbour graph held in memory; a query reads the lists whose centroids are within a ratio of
-the nearest one's distance, as many as a sample of the queries needs to find what comparing it with all vectors finds. Lists are cut into blocks of bounded size, so a hot list is many tasks' work. Equal
-vectors are one class: no result needs more than the smallest few ids of a class, and equal queries are searched once.
+are found through a neighbour graph held in memory, however few they are; a query reads the lists whose centroids are within a
+ratio of the nearest one's distance, as many as a sample of the queries needs to find what comparing it with all vectors
+finds. A query whose lists hold too few vectors reads all lists. Lists are cut into blocks of bounded size, so a hot list is many
+tasks' work. Equal vectors are one class: no result needs more than the smallest few ids of a class, and equal queries are
+searched once.
 """
 
 from __future__ import annotations
@@ -80,17 +82,14 @@ class CentroidGraph:
             s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
             links.append(np.argsort(-s, axis=1)[:, :near])
         far = np.random.default_rng(3).integers(0, n, (n, 4))
-        self.links = np.hstack([np.vstack(links), far]) if n > 1 else np.zeros((1, 1), int)
+        ring = (np.arange(n)[:, None] + 1) % n  # every centroid can be reached from every other
+        self.links = np.hstack([np.vstack(links), far, ring]) if n > 1 else np.zeros((1, 1), int)
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int))
 
     def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids found for each row of unit vectors x: ids (-1: none) and cosines, nearest first."""
         x = x.astype(np.float32)
         n, width = len(x), min(width, len(self.c))
-        if len(self.c) <= (DEGREE + 4) * width:  # all of them are fewer than the search would visit
-            s = x @ self.c.T
-            ids = np.argsort(-s, axis=1, kind="stable")[:, :width]
-            return ids, np.take_along_axis(s, ids, 1)
         seen = np.zeros((n, len(self.c)), bool)
         ids = np.tile(self.entries, (n, 1))
         s = x @ self.c[self.entries].T
@@ -108,6 +107,7 @@ class CentroidGraph:
             done[rows[some], at[some]] = True
             next_ = self.links[ids[rows, at]]
             fresh = ~seen[rows[:, None], next_] & some[:, None]
+            fresh &= ~(np.triu(next_[:, None, :] == next_[:, :, None], 1).any(axis=1))  # a centroid linked twice counts once
             cosine = np.einsum("ij,ikj->ik", x, self.c[next_])
             np.put_along_axis(seen, next_, True, 1) if some.all() else seen.__setitem__((rows[some][:, None], next_[some]), True)
             ids = np.hstack([ids, np.where(fresh, next_, -1)])
@@ -202,10 +202,9 @@ def probes_needed(graph: CentroidGraph, x: np.ndarray, held: list[tuple[int, lis
     most = min(PROBES, n)
     if not held:
         return most, PRUNE
-    ratio = PRUNE if recall(n, PRUNE) >= RECALL else None
-    while recall(most, ratio) < RECALL:
-        most = min(n, most + most // 8 + 1)
-    return most, ratio
+    while recall(most, None) < RECALL and most < n:
+        most = min(n, most + most // 4 + 1)
+    return most, PRUNE if recall(most, PRUNE) >= RECALL else None
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -254,10 +253,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
     x = normalised(_matrix(sample["v"]).astype(float)) if sample.num_rows else np.zeros((0, size))
     probes = written(placed(classes, ["h", "g", "v"], *probes_needed(graph.value, x, [(r["query"], r["lists"]) for r in held]), False), "probes")
     blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
-    cuts = F.broadcast(blocks(postings, "parts").join(blocks(probes, "shares"), "list"))  # MOST_LISTS rows at most
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = postings.join(cuts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), each("shares").alias("share"), "id", "v")
-    right = probes.join(cuts, "list").select("list", each("parts").alias("part"), F.pmod("h", F.col("shares")).cast("int").alias("share"), "h", "g", "v")
 
     def search(v: pa.Table, q: pa.Table) -> pa.Table:
         names, types = ["h", "g", "id", "score"], [pa.int64(), pa.int64(), v.schema.field("id").type if v.num_rows else pa.int64(), pa.float64()]
@@ -268,11 +264,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
         row, at, score = top_pairs(_matrix(q["v"]), np.arange(q.num_rows), _matrix(v["v"]), ranks, k + 1)
         return pa.table([q["h"].take(pa.array(row)), q["g"].take(pa.array(row)), ids.take(pa.array(at)), pa.array(score)], names=names)
 
-    keys = ["list", "part", "share"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, f"h long, g long, id {kind}, score double")
-    best = found.groupBy("h", "g", "id").agg(F.max("score").alias("score"))
-    best = best.withColumn("_n", F.row_number().over(Window.partitionBy("h", "g").orderBy(F.desc("score"), "id"))).where(F.col("_n") <= k + 1)
-    mine = asked.select(F.col("id").alias("query_id"), "h", "g").join(best.select("h", "g", "id", "score"), ["h", "g"]).where(F.col("query_id") != F.col("id"))
+    def found_in(probes: DataFrame) -> DataFrame:
+        """h, g, id, score of the k + 1 best of each query class (h, g, v, list) in its lists."""
+        cuts = F.broadcast(blocks(postings, "parts").join(blocks(probes, "shares"), "list"))  # MOST_LISTS rows at most
+        left = postings.join(cuts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), each("shares").alias("share"), "id", "v")
+        right = probes.join(cuts, "list").select("list", each("parts").alias("part"), F.pmod("h", F.col("shares")).cast("int").alias("share"), "h", "g", "v")
+        keys = ["list", "part", "share"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, f"h long, g long, id {kind}, score double")
+        best = found.groupBy("h", "g", "id").agg(F.max("score").alias("score"))
+        best = best.withColumn("_n", F.row_number().over(Window.partitionBy("h", "g").orderBy(F.desc("score"), "id"))).where(F.col("_n") <= k + 1)
+        return best.select("h", "g", "id", "score")
+
+    best = written(found_in(probes), "best")
+    enough = best.groupBy("h", "g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(k + 1, candidates.count()))
+    short = written(classes.join(enough, ["h", "g"], "left_anti"), "short")
+    if not short.isEmpty():  # too few in the lists read: these read all lists
+        everywhere = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(graph.value.c) - 1))))
+        best = best.join(short, ["h", "g"], "left_anti").unionByName(written(found_in(everywhere), "best"))
+    mine = asked.select(F.col("id").alias("query_id"), "h", "g").join(best, ["h", "g"]).where(F.col("query_id") != F.col("id"))
     ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 

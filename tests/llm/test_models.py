@@ -302,6 +302,22 @@ def test_copies_ties_and_odd_vectors(spark):
     assert neighbours.nearest(df.limit(0), df).count() == 0
 
 
+def test_queries_with_short_lists_read_all(spark, monkeypatch):
+    for name, value in (("LIST_ROWS", 3), ("PROBES", 1), ("CHECKED", 1), ("RECALL", 0.0), ("REPLICAS", 1)):
+        monkeypatch.setattr(neighbours, name, value)
+    x = np.random.default_rng(9).normal(size=(120, 6)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    rows = neighbours.nearest(df, df.where("vec_id % 10 = 0")).collect()
+    assert len(rows) == 60 and len({(r.query_id, r.rank) for r in rows}) == 60
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 17, 60])
+def test_graph_reaches_every_centroid(n):
+    c = neighbours.normalised(np.random.default_rng(n).normal(size=(n, 8)))
+    ids, _ = neighbours.CentroidGraph(c).search(c[:3], n)
+    assert all(sorted(r) == list(range(n)) for r in ids.tolist())
+
+
 def test_graph_finds_the_nearest_centroids():
     rng = np.random.default_rng(5)
     c = neighbours.normalised(rng.normal(size=(2000, 24)))
