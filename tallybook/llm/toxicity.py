@@ -26,7 +26,7 @@ from tallybook.llm.textkit import letter_byte, mix, shingle_sets, slices, words
 from tallybook.session import table, written
 
 #: Labelled rows of each class that the fit uses at most, and tokens that the model holds at most.
-SAMPLE, TOKENS = 4000, 1 << 16
+SAMPLE, TOKENS = 4000, 1 << 20
 #: Toxic sample documents that a token of the model occurs in at least.
 LEAST_DOCUMENTS = 6
 #: Weight of the prior as a part of each class's tokens, and its floor for a token, shared between the classes by size.
@@ -187,32 +187,32 @@ def log_odds(toxic: np.ndarray, other: np.ndarray, all_toxic: float, all_other:
 
 
 def distinct_texts(rows: list) -> list:
-    """Of (id, label, sketch) those that agree in fewer than SAME coordinates with each one that is kept before them."""
-    kept = np.zeros((len(rows), SKETCH), np.int64)
-    n, out = 0, []
-    for r in sorted(rows, key=lambda r: (r["id"], r["label"])):
+    """Of (id, hash, label, sketch) those that agree in fewer than SAME coordinates with each one of their label that is kept before them."""
+    kept = np.zeros((2, len(rows), SKETCH), np.int64)
+    n, out = [0, 0], []
+    for r in sorted(rows, key=lambda r: (r["id"], r["hash"], r["label"])):
+        y = int(r["label"])
         if r["sketch"]:
-            if n and int((kept[:n] == np.array(r["sketch"])).sum(axis=1).max()) >= SAME:
+            if n[y] and int((kept[y, : n[y]] == np.array(r["sketch"])).sum(axis=1).max()) >= SAME:
                 continue
-            kept[n] = r["sketch"]
-            n += 1
-        out.append((r["id"], int(r["label"])))
+            kept[y, n[y]] = r["sketch"]
+            n[y] += 1
+        out.append((r["id"], r["hash"], y))
     return out
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """id, label and the first SKETCH coordinates of the text's circulant MinHash (none for an empty text)."""
+    """id, hash (of the text), label and the first SKETCH coordinates of the text's circulant MinHash (none for an empty text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for _, _, data, offsets in slices(batch.column(2)):
+        for _, _, data, offsets in slices(batch.column(3)):
             sets = shingle_sets(data, offsets, 3)
             coordinates = iter(signatures([s for s in sets if len(s)], SKETCH).T.astype(np.int64)) if any(map(len, sets)) else iter(())
             out += [next(coordinates) if len(s) else np.zeros(0, np.int64) for s in sets]
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["id", "label", "sketch"])
+        return pa.record_batch([*batch.columns[:3], pa.array(out, pa.list_(pa.int64()))], names=["id", "hash", "label", "sketch"])
 
-    rows = docs.select("id", "label", F.col("text").cast("string").alias("text"))
-    return map_batches(rows, run, f"id {docs.schema['id'].dataType.simpleString()}, label int, sketch array<long>")
+    return map_batches(docs.select("id", "hash", "label", "text"), run, f"id {docs.schema['id'].dataType.simpleString()}, hash long, label int, sketch array<long>")
 
 
 def decay_rate(steps: np.ndarray, chances: np.ndarray) -> float:
@@ -228,13 +228,19 @@ def decay_rate(steps: np.ndarray, chances: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on at most SAMPLE rows of each class of labels (1 toxic, 0 not); the prior counts all documents."""
+    """Fit on at most SAMPLE rows of each class of labels (1 toxic, 0 not); the prior counts all documents.
+
+    Null keys and other labels are left out, repeated rows and near copies of one label count once, a null text counts as
+    empty. Without rows of both classes the model scores every text alike and below 1/2. An empty table gives that model too.
+    """
     ids = F.broadcast(sample_ids(labels.where(F.col(key).isNotNull()), key, label, [0, 1], SAMPLE))
-    chosen = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id")
-    kept = distinct_texts(sketches(chosen).collect())  # at most 2 * SAMPLE rows
-    kind = chosen.schema["id"].dataType.simpleString()
-    unique = F.broadcast(docs.sparkSession.createDataFrame(kept, f"id {kind}, label int"))
-    chosen = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(unique, "id")
+    chosen = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text")).join(ids, "id")
+    chosen = chosen.select("id", "hash", F.col("label").cast("int").alias("label"), "text").dropDuplicates(["id", "hash", "label"])
+    sample = written(chosen, "sample")  # read again for each step of the fit, instead of all documents
+    kept = distinct_texts(sketches(sample).collect())  # at most 2 * SAMPLE keys
+    kind = sample.schema["id"].dataType.simpleString()
+    unique = F.broadcast(docs.sparkSession.createDataFrame(kept, f"id {kind}, hash long, label int"))
+    chosen = sample.join(unique, ["id", "hash", "label"])
     counts = written(token_counts(chosen, "text", "label"), "tokens")
     totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("documents").alias("n")).collect()}
     wide = counts.groupBy("token").agg(*(F.sum(F.when(F.col("label") == y, F.col("documents")).otherwise(0)).alias(c) for y, c in ((1, "toxic"), (0, "other"))))
@@ -254,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     steps = np.append(weights, 0.0) - drift
     rate = decay_rate(steps, np.append(chance, max(0.0, 1 - chance.sum()))) if (steps > 0).any() else 1.0
     model = Model(tokens, weights, rate, 0.0, 1.0, 1.0, drift)
-    seen = evidence_table(chosen, model, "id", "text", ["label"]).select("label", "best", "n_tokens").collect()  # at most 2 * SAMPLE rows
+    seen = evidence_table(chosen, model, "id", "text", ["label"]).select("label", "best", "n_tokens").collect()  # at most 2 * SAMPLE keys
     clean = [(r["best"], r["n_tokens"]) for r in seen if r["label"] == 0 and r["n_tokens"] > 0]
     # The mean of lambda S - ln n over clean documents is ln K + Euler's constant; at least 1/n each, so K stays above 0.
     model.log_k = float(np.mean([max(rate * s - np.log(n), -np.log(n) - 1) for s, n in clean]) - 0.5772) if clean else 0.0
@@ -280,7 +286,8 @@ def calibrated(model: Model, rows: list) -> Model:
 def evidence_table(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", extra: list[str] = []) -> DataFrame:  # noqa: B006
     """key, evidence, best (segment score), n_tokens, score, predicted and passages (byte spans with score and log E-value).
 
-    Null texts count as empty: no tokens, evidence 0. One row for each row; other columns are ignored.
+    Null texts count as empty: no tokens, evidence 0. One row for each row, null and repeated keys included; equal texts
+    give equal values and an empty table gives no rows; other columns are ignored.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
