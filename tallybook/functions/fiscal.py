@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,5 +78,15 @@ def with_fy(df: DataFrame, date: str, name: str = "fy") -> DataFrame:
 
 
 def fy_scan(df: DataFrame, fys: list[str], column: str = "fy") -> DataFrame:
-    """Read only the named fiscal-year partitions; no names means every year."""
+    """Read only the named fiscal-year partitions of a table laid out by year; no names means every year."""
     return df.where(F.col(column).isin(fys)) if fys else df
+
+
+def in_years(date: Column, fys: list[str]) -> Column:
+    """Whether a stored date or timestamp lies in one of the years: ranges of the column itself, which a scan can push down and prune by.
+
+    No names means every year; a label without a year matches nothing.
+    """
+    years = sorted({int(m[1]) for m in (re.match(r"(\d{4})_\d{2}$", fy) for fy in fys) if m})
+    ranges = [(date >= F.lit(f"{y}-04-01").cast("timestamp")) & (date < F.lit(f"{y + 1}-04-01").cast("timestamp")) for y in years]
+    return reduce(or_, ranges, F.lit(False)) if fys else F.lit(True)

@@ -10,7 +10,14 @@ from tallybook.functions.fiscal import previous_month_end, previous_month_start
 # Text patterns of the domain.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PAN = "^[A-Z]{5}[0-9]{4}[A-Z]$"
-DATE_FORMATS = ["yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "d-MMM-yyyy", "d MMM yyyy", "d-M-yy", "d/M/yy"]
+# Shape of a date and its format, in order of preference; the shapes exclude each other but for the last two.
+DATE_SHAPES = {
+    r"\d{4}-\d{1,2}-\d{1,2}": "yyyy-M-d", r"\d{1,2}-\d{1,2}-\d{4}": "d-M-yyyy", r"\d{1,2}/\d{1,2}/\d{4}": "d/M/yyyy", r"\d{1,2}\.\d{1,2}\.\d{4}": "d.M.yyyy",
+    r"\d{1,2}-[A-Za-z]{3}-\d{4}": "d-MMM-yyyy", r"\d{1,2} [A-Za-z]{3} \d{4}": "d MMM yyyy", r"\d{1,2}-\d{1,2}-\d{2}": "d-M-yy", r"\d{1,2}/\d{1,2}/\d{2}": "d/M/yy",
+    r"\d{1,2}-[A-Za-z]{3}-\d{2}": "d-MMM-yy", r"[A-Za-z]{3} \d{1,2}, \d{4}": "MMM d, yyyy", r"\d{1,2} [A-Za-z]{3},? \d{4}": "d MMM, yyyy",
+}
+PDF_TYPES = ["application/pdf"]
+SHEET_TYPES = ["application/vnd.ms-excel", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"]
 CASH_WORDS = ["cash", "atm", "self"]
 NOT_CASH_WORDS = ["chrgs", "chrg", "charge", "charges", "chg", "upi", "transfer"]
 
@@ -152,10 +159,18 @@ def parse_money(column: Column, scale: int = 2) -> Column:
     return F.when(text.isin("-", "--", "nil"), F.lit(0).cast(f"decimal(18,{scale})")).when(negative, (-value).cast(f"decimal(18,{scale})")).otherwise(value)
 
 
-def parse_date(column: Column, formats: list[str] = DATE_FORMATS) -> Column:
-    """Day first; the first format that fits; two-digit years are 20yy; impossible dates are null."""
+def parse_date(column: Column, shapes: dict[str, str] = DATE_SHAPES) -> Column:
+    """Day first; two-digit years are 20yy; impossible dates and other shapes are null.
+
+    The shape picks the one format that is parsed: a format that doesn't fit costs an exception for each row.
+    """
     text = strip(column)
-    return F.coalesce(*(F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in formats))
+    month = F.initcap(F.regexp_extract(text, "[A-Za-z]+", 0))
+    text = F.when(month != "", F.replace(text, F.regexp_extract(text, "[A-Za-z]+", 0), month)).otherwise(text)
+    out = F.lit(None).cast("date")
+    for shape, form in reversed(list(shapes.items())):
+        out = F.when(text.rlike(f"^(?:{shape})$"), F.to_date(F.try_to_timestamp(text, F.lit(form)))).otherwise(out)
+    return out
 
 
 def with_period(df: DataFrame, text: str, received: str) -> DataFrame:
@@ -175,10 +190,9 @@ def drcr(amount: Column) -> Column:
 
 
 def best_attachment(attachments: Column) -> Column:
-    """The first PDF, else the first spreadsheet, else the first, of an array of structs with filename."""
-    kind = lambda *ends: F.filter(attachments, lambda a: F.lower(a["filename"]).rlike(rf"\.({'|'.join(ends)})$"))
-    first = lambda array: F.get(array, 0)
-    return F.coalesce(first(kind("pdf")), first(kind("xlsx", "xls", "csv")), first(attachments))
+    """The first PDF, else the first spreadsheet, else the first, of an array of structs with content_type."""
+    first = lambda kinds: F.get(F.filter(attachments, lambda a: a["content_type"].isin(kinds)), 0)
+    return F.coalesce(first(PDF_TYPES), first(SHEET_TYPES), F.get(attachments, 0))
 
 
 def promote_email(emails: Column, email: str) -> Column:

@@ -16,7 +16,7 @@ from tallybook.functions.fiscal import days_inclusive, month_dimension
 def merge_ranges(df: DataFrame, keys: list[str], start: str = "from_date", end: str = "last_date") -> DataFrame:
     """Islands of each key: keys, start, end. Ranges with a null end or end before start are left out."""
     w = Window.partitionBy(*keys).orderBy(start, end)
-    valid = df.where(F.col(start) <= F.col(end)).select(*keys, start, end)
+    valid = df.where(F.col(start) <= F.col(end)).groupBy(*keys, start).agg(F.max(end).alias(end))  # at most one row for each day of a key
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))  # ranges may nest, so not only the row before
     fresh = (reach.isNull() | (F.col(start) > F.date_add(reach, 1))).cast("int")
     numbered = valid.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -62,11 +62,20 @@ def without_noise(df: DataFrame, keys: list[str], seq: list[str], least: int = 3
 
 
 def voucher_serial(df: DataFrame, prefix: Column, seq: list[str], name: str = "voucher") -> DataFrame:
-    """prefix-0001, 0002, ..., 9999, 10000, ... in row order; equal prefixes share one series whatever the year."""
-    out = df.withColumn("_prefix", prefix)
-    number = F.row_number().over(Window.partitionBy("_prefix").orderBy(*seq)).cast("string")
+    """prefix-0001, 0002, ..., 9999, 10000, ... in row order; equal prefixes share one series whatever the year.
+
+    Rows are numbered within each value of the first column of seq (say a day), to which the counts of the values before
+    are added, so that a series of any length is many tasks' work.
+    """
+    first, out = seq[0], df.withColumn("_prefix", prefix)
+    counts = out.groupBy("_prefix", F.col(first).alias("_first")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_prefix").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("_prefix").alias("_p"), "_first", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_prefix", first).orderBy(*seq))
+    out = out.withColumn("_inside", inside).join(counts, F.col("_prefix").eqNullSafe(F.col("_p")) & F.col(first).eqNullSafe(F.col("_first")))
+    number = (F.col("_before") + F.col("_inside")).cast("string")
     padded = F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))  # lpad alone cuts longer numbers
-    return out.withColumn(name, F.concat("_prefix", F.lit("-"), padded)).drop("_prefix")
+    return out.withColumn(name, F.concat("_prefix", F.lit("-"), padded)).drop("_prefix", "_p", "_first", "_before", "_inside")
 
 
 def line_blocks(lines: DataFrame, keys: list[str], seq: str, anchor: Column, text: str = "line") -> DataFrame:

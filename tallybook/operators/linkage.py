@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallybook.functions.scalars import alias_key, digits, squeezed
-from tallybook.operators.relational import one_per_key
+from tallybook.operators.relational import cascading, one_per_key
 
 
 def email_owners(rows: DataFrame, id_: str, primary: str, extras: str) -> DataFrame:
@@ -34,7 +34,7 @@ def tiered_accounts(messages: DataFrame, accounts: DataFrame) -> DataFrame:
     """message_id, account_id and tier of each message's best account.
 
     messages: message_id, client_id, tokens (struct fields full, tails, heads: text arrays), words (upper-case text);
-    accounts: account_id, client_id, account_no, bank_word. Tier 1: a full number is contained in the account's; 2: a
+    accounts: account_id, client_id, account_no, bank_word. Tier 1: a full number is the account's; 2: a
     tail that one account of the client has; 3: a tail that several have, whose bank is named; 4: the
     leading digits of a file name that one account has; 5: those, with the bank named; 6: the client's only account.
     Ties go to the smallest token and account.
@@ -62,31 +62,97 @@ def tiered_accounts(messages: DataFrame, accounts: DataFrame) -> DataFrame:
 def scored_accounts(tokens: DataFrame, accounts: DataFrame) -> DataFrame:
     """message_id, account_id, score of the best account: full number 3, last four 2, last two 1; ties to the smaller id.
 
-    tokens: message_id, token (digits). One equality join for each length of token.
+    tokens: message_id, token (digits). Only the smallest account of each token and score can win, so accounts are reduced to
+    one row for each before the join: a message meets three rows at most for each token, however many accounts share its last digits.
     """
     number = digits(F.col("account_no"))
     keys = F.array(F.struct(number.alias("token"), F.lit(3).alias("score")), F.struct(F.right(number, F.lit(4)).alias("token"), F.lit(2).alias("score")), F.struct(F.right(number, F.lit(2)).alias("token"), F.lit(1).alias("score")))
-    sides = accounts.select("account_id", F.explode(keys).alias("k")).select("account_id", "k.token", "k.score")
+    sides = accounts.select("account_id", F.explode(keys).alias("k")).groupBy("k.token", "k.score").agg(F.min("account_id").alias("account_id"))
     hits = tokens.join(sides, "token")
     best = hits.groupBy("message_id").agg(F.max_by(F.struct("account_id", "score"), F.struct("score", -F.col("account_id"))).alias("b"))
     return best.select("message_id", "b.account_id", "b.score")
 
 
+def scored_owned_accounts(messages: DataFrame, accounts: DataFrame) -> DataFrame:
+    """message_id, account_id, score of the best account among those of the message's client, with tie-breakers.
+
+    messages: message_id, client_id, tokens (digits), recipients and receivers (text arrays); accounts: account_id, client_id,
+    account_no, mail_id, bank. Score as above; ties go to an account whose mail id is a recipient of an attachment, then a
+    receiver, then to the greater bank name, number and account. An account without any matching token is no match.
+    """
+    number, mail = digits(F.col("account_no")), F.lower(F.trim("mail_id"))
+    token = F.explode(F.array_distinct("tokens")).alias("token")
+    hits = messages.select("message_id", "client_id", "recipients", "receivers", token).join(accounts.withColumn("number", number), "client_id")
+    score = F.when(F.col("token") == F.col("number"), 3).when(F.col("token") == F.right("number", F.lit(4)), 2).when(F.col("token") == F.right("number", F.lit(2)), 1)
+    named = lambda c: F.coalesce(F.array_contains(c, mail), F.lit(False))
+    ranked = hits.withColumn("score", score).where("score is not null").withColumns({"_r": named("recipients"), "_v": named("receivers")})
+    order = F.struct("score", "_r", "_v", F.coalesce("bank", F.lit("")).alias("bank"), "number", "account_id")
+    best = ranked.groupBy("message_id").agg(F.max_by(F.struct("account_id", "score"), order).alias("b"))
+    return best.select("message_id", "b.account_id", "b.score")
+
+
+def found_account(wanted: DataFrame, accounts: DataFrame) -> DataFrame:
+    """key, account_id and tier of the account that a typed number means, among those of its client.
+
+    wanted: key, client_id, typed. 1: equal; 2: but for case; 3: the number contains what was typed; 4: it ends with it; 5: the
+    digits are equal. The smallest account of the first tier that has one.
+    """
+    typed, number = F.trim("typed"), F.col("account_no")
+    both = wanted.join(accounts.select("client_id", "account_id", "account_no"), "client_id").where(typed != "")
+    small, have = F.lower(typed), F.lower(number)
+    tiers = [number == typed, have == small, F.contains(have, small), F.endswith(have, small), digits(number) == digits(typed)]
+    return cascading(both, ["key"], tiers, [F.col("account_id")]).select("key", "account_id", "tier")
+
+
+# Words that name a bank in a message, and the part of the bank's name that each stands for, in order.
+BANK_WORDS = {
+    "hdfc": "hdfc", "icici": "icici", "sbi": "sbi", "state bank": "sbi", "kotak": "kotak", "axis": "axis", "bank of maharashtra": "maharashtra", "canara": "canara",
+    "pnb": "punjab national", "punjab national": "punjab national", "surat national": "surat national", "spcb": "spcb", "sutex": "sutex",
+}
+
+
+def fallback_accounts(messages: DataFrame, accounts: DataFrame) -> DataFrame:
+    """message_id, account_id and tier of the account of a message's client when no number in it names one.
+
+    messages: message_id, client_id, recipients, hint (sender and subject) and tails (text array); accounts: account_id,
+    client_id, mail_id, bank, account_no. 1: the only account with a recipient's mail id, the first such recipient; 2: the client's
+    only account; 3: the only one of the bank that the hint names first; 4: the only one with a tail, the least such tail.
+    """
+    a = accounts.select("account_id", "client_id", F.lower(F.trim("mail_id")).alias("mail"), F.lower("bank").alias("bank"), digits(F.col("account_no")).alias("number"))
+    one = lambda df, *keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("account_id").alias("account_id")).where("_n = 1").drop("_n")
+    m = messages.select("message_id", "client_id", "hint", "tails", F.transform("recipients", lambda r: F.lower(F.trim(r))).alias("recipients"))
+    by_mail = m.select("message_id", "client_id", F.posexplode("recipients").alias("place", "mail")).join(one(a.where("mail <> ''"), "client_id", "mail"), ["client_id", "mail"])
+    sole = m.join(one(a, "client_id"), "client_id").select("message_id", "account_id", F.lit(2).alias("tier"), F.lit(0).alias("place"), F.lit("").alias("word"))
+    said = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(w).alias("said"), F.lit(p).alias("part")) for i, (w, p) in enumerate(BANK_WORDS.items())))
+    named = F.filter(said, lambda s: F.contains(F.lower("hint"), s["said"]))
+    by_bank = m.select("message_id", "client_id", F.explode(named).alias("b")).select("message_id", "client_id", "b.place", "b.part").join(a, "client_id").where(F.contains("bank", "part"))
+    by_bank = one(by_bank, "message_id", "place")
+    by_tail = m.select("message_id", "client_id", F.explode(F.array_distinct("tails")).alias("word")).join(one(a.withColumn("word", F.right("number", F.lit(4))), "client_id", "word"), ["client_id", "word"])
+    found = by_mail.select("message_id", "account_id", F.lit(1).alias("tier"), "place", F.lit("").alias("word")).unionByName(sole)
+    found = found.unionByName(by_bank.select("message_id", "account_id", F.lit(3).alias("tier"), "place", F.lit("").alias("word")))
+    found = found.unionByName(by_tail.select("message_id", "account_id", F.lit(4).alias("tier"), F.lit(0).alias("place"), "word"))
+    return one_per_key(found, ["message_id"], [F.col("tier"), F.col("place"), F.col("word")]).select("message_id", "account_id", "tier")
+
+
 def longest_alias(texts: DataFrame, aliases: DataFrame, least: int = 6) -> DataFrame:
     """text_id, owner_id, score: the longest alias whose words occur in the text (score: its length), or that occurs when all
     blanks are squeezed out (length - 1); `least` at least, ties to the smaller owner.
 
     Aliases are found by their first word or first four squeezed characters, so that each text meets few of them.
     """
-    a = aliases.select("owner_id", alias_key(F.col("alias")).alias("words")).where(F.length("words") >= 4).distinct()
+    a = aliases.select("owner_id", alias_key(F.col("alias")).alias("words")).where(F.length("words") >= 4).groupBy("words").agg(F.min("owner_id").alias("owner_id"))
+    a = a.withColumn("tight", squeezed(F.col("words")))
     t = texts.select("text_id", alias_key(F.col("text")).alias("body"))
-    by_word = t.withColumn("k", F.explode(F.array_distinct(F.split("body", " ")))).join(a.withColumn("k", F.element_at(F.split("words", " "), 1)), "k")
-    by_word = by_word.where(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "words", F.lit(" ")))).select("text_id", "owner_id", F.length("words").alias("score"))
-    s = t.select("text_id", squeezed(F.col("body")).alias("body"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - 3, F.lit(1))), lambda i: F.substring("body", i, F.lit(4))))
-    tight = s.withColumn("k", F.explode(grams)).join(a.withColumn("tight", squeezed(F.col("words"))).withColumn("k", F.substring("tight", 1, 4)), "k")
-    tight = tight.where(F.contains("body", "tight")).select("text_id", "owner_id", (F.length("words") - 1).alias("score"))
-    every = by_word.unionByName(tight).where(F.col("score") >= least)
+    # Keys are looked up without the texts; only texts that meet an alias are fetched for the comparison.
+    words = t.select("text_id", F.explode(F.array_distinct(F.split("body", " "))).alias("k"))
+    by_word = words.join(a.withColumn("k", F.element_at(F.split("words", " "), 1)), "k").select("text_id", "owner_id", "words", "tight")
+    tight = squeezed(F.col("body"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(tight) - 3, F.lit(1))), lambda i: F.substring(tight, i, F.lit(4))))
+    by_gram = t.select("text_id", F.explode(grams).alias("k")).join(a.withColumn("k", F.substring("tight", 1, 4)), "k").select("text_id", "owner_id", "words", "tight")
+    met = by_word.unionByName(by_gram).distinct().join(t, "text_id")
+    whole = F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "words", F.lit(" ")))
+    score = F.when(whole, F.length("words")).when(F.contains(tight, F.col("tight")), F.length("words") - 1)
+    every = met.withColumn("score", score).where(F.col("score") >= least).select("text_id", "owner_id", "score")
     return one_per_key(every, ["text_id"], [F.desc("score"), F.col("owner_id")])
 
 

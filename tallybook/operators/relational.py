@@ -63,10 +63,10 @@ def with_grand_total(df: DataFrame, label: str, sums: list[str], total: str = "T
     return df.select(label, *sums).unionByName(df.groupBy().agg(*(F.sum(c).alias(c) for c in sums)).select(F.lit(total).alias(label), *sums))
 
 
-def first_existing_order(df: DataFrame, candidates: list[str], descending: bool = True) -> DataFrame:
-    """Order by the first of the columns that the table has; unordered if none."""
+def first_existing_order(df: DataFrame, candidates: list[str], descending: bool = True, ties: list[str] = []) -> DataFrame:  # noqa: B006
+    """Order by the first of the columns that the table has, ties by further columns; unordered if it has none of them."""
     found = next((c for c in candidates if c in df.columns), None)
-    return df if found is None else df.orderBy(F.desc(found) if descending else F.asc(found))
+    return df if found is None else df.orderBy(F.desc(found) if descending else F.asc(found), *ties)
 
 
 def label_rank(column: Column, labels: list[str]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallybook.functions.scalars import collapse, parse_date, parse_money
+from tallybook.functions.scalars import collapse, normalize_pan, parse_date, parse_money, strip
 
 # Header words by kind, in order of preference.
 HEADER_WORDS = {
@@ -31,6 +31,7 @@ def header_kind(cell: Column) -> Column:
     return out
 
 
+# The points of the header and acknowledgement scores below.
 def header_score(kinds: Column) -> Column:
     """2 for a date, 2 for debit or credit, 2 for an amount with its side, 1 each for balance and description, -0.2 an unknown cell."""
     has = lambda k: F.array_contains(kinds, k)
@@ -40,20 +41,60 @@ def header_score(kinds: Column) -> Column:
 
 
 def best_header(rows: DataFrame, keys: list[str], seq: str, cells: str, first: int = 6) -> DataFrame:
-    """The row with the best header score among the first rows of each table, the earliest of equals."""
-    scored = rows.where(F.col(seq) < first).withColumn("score", header_score(F.transform(cells, header_kind)))
+    """The row with the best header score among the first rows of each table, the earliest of equals; it has to exceed -1."""
+    scored = rows.where(F.col(seq) < first).withColumn("score", header_score(F.transform(cells, header_kind))).where("score > -1")
     best = scored.groupBy(*keys).agg(F.max_by(F.struct(seq, "score"), F.struct("score", -F.col(seq))).alias("b"))
     return best.select(*keys, F.col(f"b.{seq}").alias(seq), F.col("b.score").alias("score"))
 
 
 def column_scores(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Score of each column as acknowledgement numbers: 3 for 14-16 digits, 1 for 12-20, -2 for a mobile number."""
+    """Score of each column as acknowledgement numbers: a cell with 14-16 digits counts 3, else with 12-20 1, else a mobile number -2.
+
+    A column whose name has `ack` in it gets 3 more.
+    """
     def score(c: Column) -> Column:
-        text = F.coalesce(c.cast("string"), F.lit(""))
-        return F.when(text.rlike(r"^\d{14,16}$"), 3).otherwise(0) + F.when(text.rlike(r"^\d{12,20}$"), 1).otherwise(0) - F.when(text.rlike(r"^[6-9]\d{9}$"), 2).otherwise(0)
+        text = strip(F.coalesce(c.cast("string"), F.lit("")))
+        return F.when(text.rlike(r"\b\d{14,16}\b"), 3).when(text.rlike(r"\b\d{12,20}\b"), 1).when(text.rlike(r"^[6-9]\d{9}$"), -2).otherwise(0)
+
+    return _by_column(df, columns, lambda c: F.coalesce(F.sum(score(F.col(c))), F.lit(0)) + (3 if "ack" in c.lower() else 0), "score")
+
+
+def pan_scores(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How many valid PANs each column has."""
+    return _by_column(df, columns, lambda c: F.count(normalize_pan(F.col(c).cast("string"))), "score")
+
 
-    sums = df.agg(*(F.coalesce(F.sum(score(F.col(c))), F.lit(0)).alias(c) for c in columns))
-    return sums.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*columns))).alias("column_name", "score"))
+def best_column(scores: DataFrame, columns: list[str]) -> DataFrame:
+    """The column with the highest score above zero, the leftmost of equals; no row if there is none."""
+    place = F.array_position(F.array(*map(F.lit, columns)), F.col("column_name"))
+    best = scores.where("score > 0").agg(F.max_by("column_name", F.struct("score", -place)).alias("column_name"))
+    return best.where("column_name is not null")
+
+
+def _by_column(df: DataFrame, columns: list[str], value: Callable[[str], Column], name: str) -> DataFrame:
+    sums = df.agg(*(value(c).cast("long").alias(c) for c in columns))
+    return sums.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*columns))).alias("column_name", name))
+
+
+def table_scores(rows: DataFrame, keys: list[str], table: str, seq: str, cells: str) -> DataFrame:
+    """keys, table, score: 2 for each row whose first cell is a date and 1 for each with a number, the first row left out.
+
+    Tables of fewer than 4 or more than 12 columns have no score; blank rows don't count.
+    """
+    filled = rows.where(F.exists(cells, lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
+    order = Window.partitionBy(*keys, table).orderBy(seq)
+    dated = parse_date(F.coalesce(F.get(cells, 0), F.lit(""))).isNotNull()
+    number = F.exists(cells, lambda c: F.coalesce(c, F.lit("")).rlike(r"\d"))
+    points = F.when(F.col("_n") == 1, 0).otherwise(F.when(dated, 2).otherwise(0) + F.when(number, 1).otherwise(0))
+    numbered = filled.withColumn("_n", F.row_number().over(order))
+    sums = numbered.groupBy(*keys, table).agg(F.max(F.size(cells)).alias("_width"), F.sum(points).alias("score"))
+    return sums.where(F.col("_width").between(4, 12)).drop("_width")
+
+
+def best_table(scores: DataFrame, keys: list[str], table: str) -> DataFrame:
+    """Of each key the table with the highest score above zero, the first of equals."""
+    best = scores.where("score > 0").groupBy(*keys).agg(F.max_by(F.struct(table, "score"), F.struct("score", -F.col(table))).alias("_b"))
+    return best.select(*keys, F.col(f"_b.{table}").alias(table), F.col("_b.score").alias("score"))
 
 
 def sections(rows: DataFrame, keys: list[str], seq: str, is_header: Column) -> DataFrame:

@@ -45,9 +45,9 @@ def dropdown_options(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_mktsegment").alias("option")).distinct().orderBy("option")
 
 
-@query(f"WITH {ACCOUNTS}, m AS (SELECT unnest(generate_series(DATE '{LOW}', DATE '{HIGH}', INTERVAL 1 MONTH))::DATE AS month_start) SELECT account_id, month_start, last_day(month_start) AS month_end FROM accounts, m WHERE group_id < 5")
+@query(f"WITH {ACCOUNTS}, m AS (SELECT unnest(generate_series(DATE '{LOW}', DATE '{HIGH}', INTERVAL 1 MONTH))::DATE AS month_start) SELECT account_id, month_start, last_day(month_start) AS month_end FROM accounts, m")
 def account_months(spark, sf):
-    return fiscal.month_dimension(accounts(spark, sf).where("group_id < 5").select("account_id"), day(LOW), day(HIGH))
+    return fiscal.month_dimension(accounts(spark, sf).select("account_id"), day(LOW), day(HIGH))
 
 
 @query(f"WITH {ENTRIES} SELECT id, CASE WHEN fy = '1996_97' AND status = 'O' THEN '1997_98' ELSE fy END AS fy FROM entries")
@@ -59,7 +59,7 @@ def move_between_shards(spark, sf):
 
 
 @query(f"""WITH {ENTRIES}, v AS (SELECT *, row_number() OVER (PARTITION BY account_id % 100, strftime(from_date, '%b') ORDER BY from_date, id) AS rn, CASE priority WHEN '1-URGENT' THEN 'ATM cash' WHEN '2-HIGH' THEN 'cash chrg' ELSE 'other' END AS n FROM entries)
-SELECT id, 'BANK' || lpad(CAST(account_id % 100 AS VARCHAR), 2, '0') || '-' || strftime(from_date, '%b') || '-' || lpad(CAST(rn AS VARCHAR), 4, '0') AS voucher,
+SELECT id, 'BANK' || lpad(CAST(account_id % 100 AS VARCHAR), 2, '0') || '-' || strftime(from_date, '%b') || '-' || CASE WHEN rn < 10000 THEN lpad(CAST(rn AS VARCHAR), 4, '0') ELSE CAST(rn AS VARCHAR) END AS voucher,
  CASE WHEN n = 'ATM cash' THEN amount ELSE 0 END AS cash, CASE WHEN n = 'ATM cash' THEN 0 ELSE amount END AS bank FROM v""")
 def ledger_sheet(spark, sf):
     narration = F.when(F.col("priority") == "1-URGENT", "ATM cash").when(F.col("priority") == "2-HIGH", "cash chrg").otherwise("other")
@@ -108,12 +108,24 @@ def opening_carried_over_pages(spark, sf):
     return full_lines(spark, sf).select("event_id", "balance", F.last("balance", True).over(w).alias("opening"))
 
 
-@query("""WITH c AS (SELECT doc_id, string_split(text, ' | ') AS cells FROM documents WHERE contains(text, ' | '))
-SELECT doc_id, len(cells) AS width, len(list_filter(cells, lambda x: length(x) <= 3)) + 2 * CAST(length(cells[1]) > 5 AS INTEGER) AS score FROM c""")
+@query("""WITH r AS (SELECT o_custkey AS file, o_orderkey % 3 AS t, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 11 <> 0),
+s AS (SELECT file, t, sum(CASE WHEN n = 1 THEN 0 WHEN t = 0 THEN 3 ELSE 1 END)::BIGINT AS score FROM r WHERE t < 2 GROUP BY ALL)
+SELECT file, arg_max(t, score * 10 - t) AS t, max(score) AS score FROM s WHERE score > 0 GROUP BY 1""")
 def table_scores(spark, sf):
-    d = table(spark, sf, "documents").where(F.contains("text", F.lit(" | "))).select("doc_id", F.split("text", r" \| ").alias("cells"))
-    score = F.size(F.filter("cells", lambda x: F.length(x) <= 3)) + F.when(F.length(F.get("cells", 0)) > 5, 2).otherwise(0)
-    return d.select("doc_id", F.size("cells").alias("width"), score.alias("score"))
+    """Tables of dated rows (0), of numbers without dates (1) and too narrow ones (2); every eleventh row is blank."""
+    k = F.col("o_orderkey")
+    dated = F.concat_ws("|", F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("x"), F.lit("1.50"), F.lit(""))
+    line = F.when(k % 11 == 0, " | | | ").when(k % 3 == 0, dated).when(k % 3 == 1, F.concat_ws("|", F.lit("n"), k.cast("string"), F.lit("x"), F.lit("y"))).otherwise("01/02/2024|3")
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("file"), (k % 3).alias("t"), k.alias("seq"), F.split(line, r"\|").alias("cells"))
+    return T.best_table(T.table_scores(rows, ["file"], "t", "seq", "cells"), ["file"], "t")
+
+
+@query("SELECT 'pan' AS kind, 'Tax Id' AS column_name UNION ALL SELECT 'ack', 'Receipt'")
+def best_columns(spark, sf):
+    k = F.col("o_orderkey")
+    df = table(spark, sf, "orders").select((k % 1000000 + 9000000000).cast("string").alias("Phone"), F.concat(F.lit("abcde"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("f")).alias("Tax Id"), (k + 100000000000000).cast("string").alias("Receipt"), F.lit(None).cast("string").alias("Empty"))
+    pan, ack = (T.best_column(score(df, df.columns), df.columns) for score in (T.pan_scores, T.column_scores))
+    return pan.select(F.lit("pan").alias("kind"), "column_name").unionByName(ack.select(F.lit("ack").alias("kind"), "column_name"))
 
 
 # Imports and lookups
@@ -178,10 +190,10 @@ def email_owned_twice(spark, sf):
     return c.unionByName(s).distinct().groupBy("email").agg(F.count(F.lit(1)).alias("owners"), F.min("id").alias("first_owner")).where("owners > 1")
 
 
-@query("SELECT CASE c_mktsegment WHEN 'MACHINERY' THEN 'Plant' ELSE upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) END AS label, count(*) AS n, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS ids FROM customer WHERE c_nationkey < 3 GROUP BY 1")
+@query("SELECT CASE c_mktsegment WHEN 'MACHINERY' THEN 'Plant' ELSE upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) END AS label, count(*) AS n, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS ids FROM customer GROUP BY 1")
 def grouped_picker(spark, sf):
     labels = F.create_map(F.lit("MACHINERY"), F.lit("Plant"))
-    c = table(spark, sf, "customer").where("c_nationkey < 3").withColumn("label", F.coalesce(F.try_element_at(labels, F.col("c_mktsegment")), F.initcap("c_mktsegment"), F.lit("Others")))
+    c = table(spark, sf, "customer").withColumn("label", F.coalesce(F.try_element_at(labels, F.col("c_mktsegment")), F.initcap("c_mktsegment"), F.lit("Others")))
     ids = F.array_join(F.transform(F.sort_array(F.collect_list("c_custkey")), lambda x: x.cast("string")), ",")
     return c.groupBy("label").agg(F.count(F.lit(1)).alias("n"), ids.alias("ids"))
 
@@ -200,7 +212,7 @@ def report_returns(spark, sf):
 @query(f"""WITH {ENTRIES}, {ACCOUNTS}, f AS (SELECT group_id, count(DISTINCT CASE WHEN done_date IS NOT NULL THEN account_id END) AS filed, count(DISTINCT CASE WHEN status = 'O' THEN account_id END) AS open_n FROM entries JOIN accounts USING (account_id) WHERE fy = '1996_97' GROUP BY 1)
 SELECT n_name, coalesce(filed, 0) AS filed, coalesce(open_n, 0) AS open_n FROM nation LEFT JOIN f ON group_id = n_nationkey WHERE contains(lower(n_name), 'on_1')""")
 def report_return_funnel(spark, sf):
-    rows = entries(spark, sf).where("fy = '1996_97'").join(accounts(spark, sf).select("account_id", "group_id"), "account_id")
+    rows = entries(spark, sf, ["1996_97"]).join(accounts(spark, sf).select("account_id", "group_id"), "account_id")
     f = R.stage_funnel(rows, "group_id", "account_id", {"filed": F.col("done_date").isNotNull(), "open_n": F.col("status") == "O"})
     n = table(spark, sf, "nation").where(P.icontains(F.col("n_name"), "ON_1"))
     return n.join(f, n["n_nationkey"] == f["group_id"], "left").select("n_name", F.coalesce("filed", F.lit(0)).alias("filed"), F.coalesce("open_n", F.lit(0)).alias("open_n"))
@@ -209,13 +221,13 @@ def report_return_funnel(spark, sf):
 @query(f"WITH {ENTRIES}, {ACCOUNTS} SELECT id, name, status FROM entries JOIN accounts USING (account_id) WHERE group_id = 3 AND fy = '1996_97' ORDER BY name, id")
 def report_group_drill_down(spark, sf):
     a = accounts(spark, sf).where("group_id = 3").select("account_id", "name")
-    return entries(spark, sf).where("fy = '1996_97'").join(a, "account_id").select("id", "name", "status").orderBy("name", "id")
+    return entries(spark, sf, ["1996_97"]).join(a, "account_id").select("id", "name", "status").orderBy("name", "id")
 
 
 @query(f"""WITH {ENTRIES}, {ACCOUNTS} SELECT count(*) AS matched, count(CASE WHEN trim(status) = 'O' THEN 1 END) AS will_change, count(DISTINCT account_id) AS clients FROM entries JOIN accounts USING (account_id) WHERE group_id IN (1, 2) AND fy = '1996_97'""")
 def report_reassignment(spark, sf):
     a = accounts(spark, sf).where(F.col("group_id").isin(1, 2)).select("account_id")
-    e = entries(spark, sf).where("fy = '1996_97'").join(a, "account_id", "left_semi")
+    e = entries(spark, sf, ["1996_97"]).join(a, "account_id", "left_semi")
     return e.agg(F.count(F.lit(1)).alias("matched"), F.count(F.when(F.trim("status") == "O", 1)).alias("will_change"), F.countDistinct("account_id").alias("clients"))
 
 
@@ -238,12 +250,6 @@ def report_mapping(spark, sf):
     return a.join(l, "code", "left").select("c_custkey", "ledger_name", F.when(F.col("ledger_name").isNull(), "pending").otherwise("done").alias("state"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE lower(c_mktsegment) = 'building' AND (c_acctbal IS NULL OR c_acctbal < 0) ORDER BY c_name")
-def report_unmapped(spark, sf):
-    c = table(spark, sf, "customer")
-    return c.where(P.iexact(F.col("c_mktsegment"), "BUILDING") & (F.col("c_acctbal").isNull() | (F.col("c_acctbal") < 0))).select("c_custkey", "c_name").orderBy("c_name")
-
-
 @query(f"""WITH {ENTRIES}, f AS (SELECT l_orderkey AS id, count(*) AS files FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
 SELECT fy, id, coalesce(files, 0) AS files, CASE WHEN coalesce(files, 0) = 0 THEN 'PENDING' ELSE 'RECEIVED' END AS state FROM entries LEFT JOIN f USING (id)""")
 def report_dashboard(spark, sf):
@@ -263,10 +269,3 @@ def report_section_summary(spark, sf):
 def report_chosen_accounts(spark, sf):
     a = accounts(spark, sf).where(P.in_list(F.col("account_id"), [3, 5, 8, 13, 21]))
     return R.related(a, table(spark, sf, "nation"), F.col("n_nationkey") == F.col("group_id")).select("account_id", "name", "n_name").orderBy("name")
-
-
-@query("SELECT DISTINCT account_id % 7 AS company, min(account_id) AS first_account, count(*) AS n FROM (SELECT c_custkey * 3 + k AS account_id FROM customer, range(3) r(k) WHERE c_custkey % 4 <> 0 OR k = 0) GROUP BY 1")
-def report_pending_rebuild(spark, sf):
-    a = accts(spark, sf).withColumn("company", F.col("account_id") % 7)
-    first = R.one_per_key(a, ["company"], [F.col("account_id")]).select("company", F.col("account_id").alias("first_account"))
-    return first.join(a.groupBy("company").agg(F.count(F.lit(1)).alias("n")), "company")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.functions.fiscal import fy_of
+from tallybook.functions.fiscal import fy_of, in_years
 from tallybook.session import table
 
 LOW, HIGH = "1997-04-01", "1998-03-31"
@@ -18,8 +18,9 @@ def day(text: str):
     return F.lit(text).cast("date")
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+def entries(spark: SparkSession, sf_dir: str, fys: list[str] = []) -> DataFrame:  # noqa: B006
+    """All entries, or those of some fiscal years, read by ranges of the stored date."""
+    o = table(spark, sf_dir, "orders").where(in_years(F.col("o_orderdate"), fys))
     start = F.to_date("o_orderdate")
     status = F.when(F.col("o_orderkey") % 7 == 0, None).when(F.col("o_orderstatus") == "P", "Hold").otherwise(F.col("o_orderstatus"))
     done = F.when(F.col("o_orderstatus") == "F", F.date_add(start, 3))

@@ -122,11 +122,11 @@ def rename_by_alias(spark, sf):
     return R.renamed_by_alias(c, {"client_id": ["client code", "code"], "client_name": ["party", "name"], "pan": ["pan no"]})
 
 
-@query(f"WITH {ACCOUNTS} SELECT account_id, printf('%.2f', abs(opening)) || CASE WHEN opening < 0 THEN ' Dr' ELSE ' Cr' END AS shown FROM accounts")
+@query(f"WITH {ACCOUNTS} SELECT account_id, format('{{:,.2f}}', abs(opening)) || CASE WHEN opening < 0 THEN ' Dr' ELSE ' Cr' END AS shown FROM accounts")
 def drcr_format(spark, sf):
     from tallybook.functions.scalars import drcr
 
-    return accounts(spark, sf).select("account_id", F.regexp_replace(drcr(F.col("opening")), ",", "").alias("shown"))
+    return accounts(spark, sf).select("account_id", drcr(F.col("opening")).alias("shown"))
 
 
 # Joins
@@ -261,7 +261,7 @@ def custom_label_order(spark, sf):
 
 @query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 300")
 def newest_capped(spark, sf):
-    return R.first_existing_order(table(spark, sf, "events").select("event_id", "ts"), ["rec_dat", "ts"]).orderBy(F.desc("ts"), "event_id").limit(300)
+    return R.first_existing_order(table(spark, sf, "events").select("event_id", "ts"), ["rec_dat", "ts"], ties=["event_id"]).limit(300)
 
 
 # Sets
@@ -365,7 +365,7 @@ def report_hardcopy_counts(spark, sf):
 @query(f"""WITH {ENTRIES}, {ACCOUNTS} SELECT name, id, fy, coalesce(status, 'Unknown') AS status, coalesce(CAST(done_date AS VARCHAR), '-') AS done
 FROM entries JOIN accounts USING (account_id) WHERE fy = '1996_97' AND done_date IS NULL""")
 def report_pending_checklist(spark, sf):
-    e = entries(spark, sf).where((F.col("fy") == "1996_97") & F.col("done_date").isNull())
+    e = entries(spark, sf, ["1996_97"]).where(F.col("done_date").isNull())
     return e.join(accounts(spark, sf), "account_id").select("name", "id", "fy", F.coalesce("status", F.lit("Unknown")).alias("status"), F.coalesce(F.col("done_date").cast("string"), F.lit("-")).alias("done"))
 
 

@@ -12,13 +12,20 @@ from tallybook.operators.relational import one_per_key
 
 
 def idempotent_sink(target: str, keys: list[str], time: str):
-    """A foreachBatch function: appends the first row of each key that the target lacks, in its fiscal-year folder."""
+    """A foreachBatch function: appends a row for each key that its fiscal year's folder lacks.
+
+    A key is unique within the fiscal year of its event time, as the years are stores of their own. Of a batch the earliest row of a
+    key counts, across batches the one that was delivered first. Only the years of the batch are read from the target.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = one_per_key(batch, keys, [F.col(time), *(F.col(k) for k in keys)]).withColumn("fy", fy_of(F.to_date(time)))
+        rows = batch.withColumn("fy", fy_of(F.to_date(time)))
+        fresh = one_per_key(rows, ["fy", *keys], [F.col(time), *(F.col(k) for k in keys)])
         if _exists(spark, target):
-            fresh = fresh.join(spark.read.parquet(target).select(*keys), keys, "left_anti")
+            years = [r.fy for r in rows.select("fy").distinct().collect()]  # a handful at most
+            have = spark.read.option("basePath", target).schema(fresh.schema).parquet(target).where(F.col("fy").isin(years))
+            fresh = fresh.join(have.select("fy", *keys), ["fy", *keys], "left_anti")
         fresh.write.mode("append").partitionBy("fy").parquet(target)
 
     return write
