@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +12,7 @@ from tallybook.functions.fiscal import previous_month_end, previous_month_start
 # Text patterns of the domain.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PAN = "^[A-Z]{5}[0-9]{4}[A-Z]$"
-# Shape of a date and its format, in order of preference; the shapes exclude each other but for the last two.
-DATE_SHAPES = {
-    r"\d{4}-\d{1,2}-\d{1,2}": "yyyy-M-d", r"\d{1,2}-\d{1,2}-\d{4}": "d-M-yyyy", r"\d{1,2}/\d{1,2}/\d{4}": "d/M/yyyy", r"\d{1,2}\.\d{1,2}\.\d{4}": "d.M.yyyy",
-    r"\d{1,2}-[A-Za-z]{3}-\d{4}": "d-MMM-yyyy", r"\d{1,2} [A-Za-z]{3} \d{4}": "d MMM yyyy", r"\d{1,2}-\d{1,2}-\d{2}": "d-M-yy", r"\d{1,2}/\d{1,2}/\d{2}": "d/M/yy",
-    r"\d{1,2}-[A-Za-z]{3}-\d{2}": "d-MMM-yy", r"[A-Za-z]{3} \d{1,2}, \d{4}": "MMM d, yyyy", r"\d{1,2} [A-Za-z]{3},? \d{4}": "d MMM, yyyy",
-}
+MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 PDF_TYPES = ["application/pdf"]
 SHEET_TYPES = ["application/vnd.ms-excel", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"]
 CASH_WORDS = ["cash", "atm", "self"]
@@ -150,27 +147,42 @@ def squeezed(column: Column) -> Column:
     return F.regexp_replace(F.lower(column), "[^a-z0-9]+", "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def parse_money(column: Column, scale: int = 2) -> Column:
     """Amounts with thousands in any grouping, currency words, (x) and a Dr mark negative, '-' zero; else null."""
-    text = F.lower(strip(column))
-    negative = text.rlike(r"^\(.*\)$") | text.rlike(r"dr\.?$") | text.rlike(r"^-\s*[\d.]")
-    core = F.regexp_replace(text, r"(inr|rs\.?|₹|cr\.?$|dr\.?$|[,()\s+-])", "")
-    value = core.try_cast(f"decimal(18,{scale})")
-    return F.when(text.isin("-", "--", "nil"), F.lit(0).cast(f"decimal(18,{scale})")).when(negative, (-value).cast(f"decimal(18,{scale})")).otherwise(value)
+    kind = f"decimal(18,{scale})"
 
+    def amount(text: Column) -> Column:
+        core = F.regexp_replace(text, r"(inr|rs\.?|₹|cr\.?$|dr\.?$|[,()\s+-])", "").try_cast(kind)
+        negative = text.rlike(r"^\(.*\)$|dr\.?$|^-\s*[\d.]")
+        return F.when(text.isin("-", "--", "nil"), F.lit(0).cast(kind)).otherwise((core * F.when(negative, -1).otherwise(1)).cast(kind))
 
-def parse_date(column: Column, shapes: dict[str, str] = DATE_SHAPES) -> Column:
-    """Day first; two-digit years are 20yy; impossible dates and other shapes are null.
+    return bound(F.lower(strip(column)), amount)
 
-    The shape picks the one format that is parsed: a format that doesn't fit costs an exception for each row.
+
+def parse_date(column: Column) -> Column:
+    """Dates as y-m-d, d-m-y (or / or . or blanks between), d-Mon-y and Mon d, y; day first, two-digit years are 20yy.
+
+    Impossible dates and other shapes are null. Every shape is turned into one, which is cast once: a format that doesn't fit
+    would cost an exception for each row.
     """
-    text = strip(column)
-    month = F.initcap(F.regexp_extract(text, "[A-Za-z]+", 0))
-    text = F.when(month != "", F.replace(text, F.regexp_extract(text, "[A-Za-z]+", 0), month)).otherwise(text)
-    out = F.lit(None).cast("date")
-    for shape, form in reversed(list(shapes.items())):
-        out = F.when(text.rlike(f"^(?:{shape})$"), F.to_date(F.try_to_timestamp(text, F.lit(form)))).otherwise(out)
-    return out
+    text = F.upper(strip(column))
+    text = F.regexp_replace(text, r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "$3-$2-$1")
+    text = F.regexp_replace(text, r"^([A-Z]{3}) ?(\d{1,2}), ?(\d{4})$", "$2-$1-$3")
+    text = F.regexp_replace(text, r"^(\d{1,2})([-/. ])(\d{1,2}|[A-Z]{3}),?\2(\d{4}|\d{2})$", "$1-$3-$4")
+
+    def date(parts: Column) -> Column:
+        day, month, year = (F.get(parts, i) for i in range(3))
+        number = F.coalesce(month.try_cast("int"), ((F.position(month, F.lit(MONTHS)) + 2) / 3).cast("int"))
+        year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+        return F.concat_ws("-", year, number.cast("string"), day).try_cast("date")
+
+    known = F.when(text.rlike(r"^\d{1,2}-(\d{1,2}|JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)-(\d{4}|\d{2})$"), text)
+    return bound(F.split(known, "-"), date)
 
 
 def with_period(df: DataFrame, text: str, received: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallybook.plans import coverage, extras, ledgers, reports
+from tallybook.plans import coverage, extras, ledgers, reports, statements
 
-_MODULES: list = [coverage, reports, ledgers, extras]
+_MODULES: list = [coverage, reports, ledgers, extras, statements]
 
 
 def queries() -> dict:
