@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tallybook.functions.fiscal import previous_month_end, previous_month_start
 
 # Text patterns of the domain.
+FOOTER = r"(?i)https?://\S+|request\s+to\s+our\s+customers.*$|registered\s+office.*$|this\s+is\s+system\s+generated.*$"
+NEXT_ENTRY = r"(?i)\b(NEFT|IMPS|RTGS|ACH|POS|ATM|BIL|SMS\s+CHRG|CASH\s+HAND|UPI)\b"
+REFERENCE_LIKE = r"^[\d/\-\s]+$"
+REFERENCE_WORD = r"(?i)\b(chq|cheque|ref|utr|upi|imps|neft)\b"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PAN = "^[A-Z]{5}[0-9]{4}[A-Z]$"
 MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
@@ -222,3 +226,64 @@ def channel_of(mailbox: Column, channels: dict[str, str], default: str = "Mail")
     for part, label in reversed(list(channels.items())):
         out = F.when(F.contains(F.lower(mailbox), F.lit(part)), label).otherwise(out)
     return out
+
+
+def split_long_narration(column: Column, whole: int = 400, width: int = 380) -> Column:
+    """Struct (first, rest): texts of `whole` characters or fewer stay whole, others are cut at the last blank within `width`."""
+    text = collapse(column)
+    parts = split_narration(text, width)
+    return F.when(F.length(text) <= whole, F.struct(text.alias("first"), F.lit("").alias("rest"))).otherwise(parts)
+
+
+def pack_narration(lead: Column, tail: Column) -> Column:
+    """Struct (first, second): a tail that is a reference, or has a word for one, stays apart, any other is joined to the lead."""
+    a, b = collapse(F.coalesce(lead, F.lit(""))), collapse(F.coalesce(tail, F.lit("")))
+    apart = b.rlike(REFERENCE_LIKE) | b.rlike(REFERENCE_WORD)
+    first = F.when(a == "", b).when(apart, a).otherwise(F.trim(F.concat_ws(" ", a, b)))
+    return F.struct(first.alias("first"), F.when((a != "") & apart, b).otherwise("").alias("second"))
+
+
+def without_footer(column: Column) -> Column:
+    """Links, disclaimers and what follows them out, white space collapsed."""
+    return collapse(F.regexp_replace(column, FOOTER, ""))
+
+
+def own_narration(column: Column) -> Column:
+    """A narration without the next entry that ran into it: after TO SELF or BY CASH only a number stays, after UPI/DR or UPI/CR what comes before
+    the next entry's first word."""
+    text = F.trim(column)
+    head = F.regexp_extract(text, r"(?i)^((?:TO\s+SELF|BY\s+CASH)\b(?:\s*[-–—]?\s*\d{3,})?)", 1)
+    upi = F.regexp_extract(text, rf"(?is)^(UPI/[DC]R\b.*?)(?=\s+(?:{NEXT_ENTRY[4:]}))", 1)
+    return F.when(head != "", F.trim(head)).when(upi != "", F.trim(upi)).otherwise(text)
+
+
+def rightmost_amount(column: Column) -> Column:
+    """The last number with decimals, else the last with separators, else the last short whole number; long ones are references."""
+    last = lambda pattern: F.try_element_at(F.regexp_extract_all(column, F.lit(pattern), F.lit(1)), F.lit(-1))
+    return parse_money(F.coalesce(last(r"(?<![\d.,])(\d[\d,]*\.\d{2})(?!\d)"), last(r"(?<![\d.,])(\d{1,3}(?:,\d{2,3})+)(?![\d.])"), last(r"(?<![\d.,])(\d{1,6})(?![\d.,])")))
+
+
+def attachments_text(attachments: Column) -> Column:
+    """Names and paths of an array of structs with filename and path, in order, joined by blanks."""
+    return F.array_join(F.flatten(F.transform(attachments, lambda a: F.array(a["filename"], a["path"]))), " ")
+
+
+def webmail_link(mailbox: Column, msg_id: Column, subject: Column, sender: Column) -> Column:
+    """Search link of the provider for a mail: by its message id, else by subject and sender; null if there is nothing to search for."""
+    quoted = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    words = F.nullif(F.trim(F.concat_ws(" ", F.nullif(subject, F.lit("")), F.nullif(sender, F.lit("")))), F.lit(""))
+    own = F.nullif(F.regexp_replace(F.trim(msg_id), r"^<(.*)>$", "$1"), F.lit(""))
+    yahoo = F.concat(F.lit("https://mail.yahoo.com/d/search/?q="), quoted(F.coalesce(own, words)))
+    base = F.lit("https://mail.google.com/mail/u/0/#search/")
+    return F.when(F.contains(F.lower(mailbox), F.lit("yahoo")), yahoo).otherwise(F.coalesce(F.concat(base, F.lit("rfc822msgid%3A"), quoted(own)), F.concat(base, quoted(words))))
+
+
+def virtual_type(account: Column) -> Column:
+    """1 for an account text of Sales, 2 for Purchase; null for numbers and others."""
+    text = F.lower(F.trim(account))
+    return F.when(text.try_cast("double").isNotNull(), None).when(F.startswith(text, F.lit("sale")), "1").when(F.startswith(text, F.lit("purchase")), "2")
+
+
+def local_date(timestamp: Column, zone: str = "Asia/Kolkata") -> Column:
+    """The day of a UTC time in the office's zone."""
+    return F.to_date(F.from_utc_timestamp(timestamp, zone))

@@ -322,3 +322,10 @@ def block_statement(lines: DataFrame, layout: Blocks) -> DataFrame:
     date = F.regexp_extract("text", layout.start, layout.date_group)
     named = _narrations(narration, reference, layout.cut, "")
     return _filled(found.select("file", "seq", parse_date(date).alias("txn_date"), *(c.alias(k) for k, c in named.items()), F.when(F.col("_side") == "debit", F.col("_amount")).alias("withdrawal"), F.when(F.col("_side") == "credit", F.col("_amount")).alias("deposit"), "balance").where("txn_date is not null"))
+
+
+def keyword_rows(rows: DataFrame, words: list[str], least: int = 3) -> DataFrame:
+    """file, seq and word of rows of at least so many cells that name one of the words, the first of those it names."""
+    text = F.lower(F.array_join("cells", " "))
+    word = F.coalesce(*(F.when(F.contains(text, F.lit(w.lower())), F.lit(w)) for w in words))
+    return rows.where(F.size("cells") >= least).select("file", "seq", word.alias("word")).where("word is not null")

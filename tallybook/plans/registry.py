@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallybook.plans import coverage, extras, ledgers, reports, statements
+from tallybook.plans import coverage, extras, ledgers, office, reports, statements
 
-_MODULES: list = [coverage, reports, ledgers, extras, statements]
+_MODULES: list = [coverage, reports, ledgers, extras, statements, office]
 
 
 def queries() -> dict:
