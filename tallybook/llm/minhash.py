@@ -117,9 +117,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     hot beyond CHUNK pairs and beyond 1 / HOT of all pairs, so there are HOT hot ones at most, which are broadcast.
     """
     kind = pairs.schema["a"].dataType.simpleString()
-    limit = max(CHUNK, pairs.count() // HOT)
+    total = pairs.count()
+    if not total:
+        return pairs.select("a", "b")
+    limit = max(CHUNK, total // HOT)
     hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") > limit)
-    hot = F.broadcast(written(hot.select("a", F.ceil(F.col("pairs") / limit).cast("int").alias("parts")), "hot"))
+    hot = F.broadcast(hot.select("a", F.ceil(F.col("pairs") / limit).cast("int").alias("parts")))
     left = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(hot, "a", "left")
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
@@ -203,11 +206,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         centres = open_.where(place * F.col("size") < float(GROWTH**rounds)).select("bucket", F.col("id").alias("centre"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other"), *(F.col(w).alias(f"{w}_") for w in words))
         pairs = open_.join(centres, "bucket").where(possible & (F.col("component") != F.col("other"))).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        fresh = written(confirmed(pairs, texts), "links")
-        checked = checked.unionByName(pairs)
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            found = written(components(links), "components")
+        if not pairs.isEmpty():
+            fresh = written(confirmed(pairs, texts), "links")
+            checked = checked.unionByName(pairs)
+            if not fresh.isEmpty():
+                links = links.unionByName(fresh)
+                found = written(components(links), "components")
         if open_.where(F.col("size") > float(GROWTH**rounds)).isEmpty():
             break
     rep = sig.select("id", "n", "one", "two").join(classes, ["one", "two", "n"], "left").select("id", "n", F.col("rep"))
