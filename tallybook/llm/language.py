@@ -27,6 +27,8 @@ DIMENSIONS = 2048
 SAMPLE, CLUSTERS = 400, 4
 #: Rows of all languages that the fit uses at most; very many languages get fewer rows each.
 ROWS = 200_000
+#: Parts of a language that its sample is first taken from.
+PARTS = 8
 #: Share of a centroid's own sample that lies beyond its rejection distance.
 REJECT = 0.005
 UNKNOWN = "und"
@@ -139,8 +141,11 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     usable = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
     texts = usable.select(F.col(text).cast("string").alias("text"), F.col(key).alias("id"), F.col(lang).alias("lang")).withColumn("hash", F.xxhash64("text"))
     size = max(1, min(SAMPLE, ROWS // max(1, texts.select("lang").distinct().count())))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "hash"))
-    chosen = texts.select("id", "lang", "hash").withColumn("_rank", rank).where(F.col("_rank") <= size).select("id", "lang", "hash").distinct()
+    chosen = texts.select("id", "lang", "hash").withColumn("part", F.pmod(F.xxhash64("id", "hash", F.lit(5)), F.lit(PARTS)))
+    for keys in (["lang", "part"], ["lang"]):  # first in parts of each language, so that the second task reads PARTS * size rows at most
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id", "hash"))
+        chosen = chosen.withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_rank")
+    chosen = chosen.select("id", "lang", "hash").distinct()
     texts = texts.join(F.broadcast(chosen), ["id", "lang", "hash"]).dropDuplicates(["id", "lang", "hash"])  # ROWS rows at most are broadcast
 
     def embed(batch: pa.RecordBatch) -> pa.RecordBatch:
