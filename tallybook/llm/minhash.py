@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm.arrow import map_batches
-from tallybook.llm.graph import components
+from tallybook.llm.graph import components, joined
 from tallybook.llm.textkit import mix, shingle_sets, slices
 from tallybook.session import table, written
 
 BANDS, ROWS = 32, 4
 SHINGLE_WORDS, PER_CENT = 5, 75
-#: Centres of a bucket in round r: about GROWTH**r.
-GROWTH = 4
+#: Centres of a bucket in round r: about GROWTH**r, so a bucket of 65,536 members takes four rounds at most.
+GROWTH = 16
 SKETCH_BITS = 1024
 #: Pairs of one centre that a task checks at least before they are dealt to several, and hot centres at most.
 CHUNK, HOT = 256, 10_000
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     mine = full.join(classes, (full["id"] == classes["rep"]) & (full["one"] == classes["one"]) & (full["two"] == classes["two"]) & (full["n"] == classes["n"]), "left_semi")
     banded = mine.select("id", "n", F.explode("bands").alias("bucket")).distinct()
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).where("size > 1")
-    members = written(banded.join(sizes, "bucket"), "buckets")
+    members = written(banded.join(sizes.drop("size"), "bucket"), "buckets")
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(members.select("id").distinct(), "id", "left_semi")
 
     first = members.where("id <> least").groupBy("id").agg(F.min(F.col("least")).alias("a")).select("a", F.col("id").alias("b"))
@@ -193,26 +193,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     open_ = open_.join(alone, "id", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).where(100 * F.col("c") >= PER_CENT * F.col("n"))
     words = [f"w{i}" for i in range(SKETCH_BITS // 64)]
     sketch = mine.groupBy("id").agg(F.first("odd").alias("odd")).select("id", *(F.col("odd")[i].alias(w) for i, w in enumerate(words)))
-    members = written(open_.select("bucket", "id", "n", "c", "size").join(sketch, "id"), "buckets")
+    members = written(open_.select("bucket", "id", "n", "c").join(sketch, "id"), "buckets")
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_"))) for w in words), F.lit(0))
     most = F.least("c", "d", F.floor((F.col("n") + F.col("m") - apart) / 2))
     possible = 100 * most >= PER_CENT * (F.col("n") + F.col("m") - most)
-    rounds = 0
+    rounds, open_ = 0, written(_torn(members, found), "open")
     while True:
         rounds += 1
-        open_ = written(_torn(members, found), "open")
         # A fixed place of each member in [0, 1): centres are the lowest ones, all members once GROWTH**rounds reaches the size.
         place = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
         centres = open_.where(place * F.col("size") < float(GROWTH**rounds)).select("bucket", F.col("id").alias("centre"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other"), *(F.col(w).alias(f"{w}_") for w in words))
         pairs = open_.join(centres, "bucket").where(possible & (F.col("component") != F.col("other"))).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            fresh = written(confirmed(pairs, texts), "links")
+        fresh = None if pairs.isEmpty() else written(confirmed(pairs, texts), "links")
+        more = not open_.where(F.col("size") > float(GROWTH**rounds)).isEmpty()
+        if fresh is not None:
             checked = checked.unionByName(pairs)
             if not fresh.isEmpty():
-                links = links.unionByName(fresh)
-                found = written(components(links), "components")
-        if open_.where(F.col("size") > float(GROWTH**rounds)).isEmpty():
+                found = written(joined(found, fresh), "components")
+                open_ = written(_torn(members, found), "open") if more else open_
+        if not more:
             break
     rep = sig.select("id", "n", "one", "two").join(classes, ["one", "two", "n"], "left").select("id", "n", F.col("rep"))
     labelled = rep.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -221,10 +221,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def _torn(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members, with their components, of buckets that lie in more than one component."""
+    """The members, with their components, of buckets that lie in more than one component, and the bucket's size."""
     placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    torn = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return placed.join(torn, "bucket", "left_semi")
+    torn = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    return placed.join(torn.select("bucket", "size"), "bucket")
 
 
 def op1_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
