@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from tallybook.llm import minhash
-from tallybook.llm.graph import components
+from tallybook.llm.graph import components, joined
 from tallybook.llm.textkit import shingle_sets, slices
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component string, bucket int"
@@ -119,3 +119,14 @@ def test_fixture_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     check(spark, rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_new_links_join_found_components(spark, seed):
+    """Links in two deliveries give the components of all of them; the second has known, new and repeated ends, or is empty."""
+    rng = random.Random(seed)
+    draw = lambda n: [(rng.randrange(40), rng.randrange(40)) for _ in range(n)]
+    first, second = draw(14), draw(14) if seed else []
+    link = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = {(r.id, r.component) for r in joined(components(link(first)), link(second)).collect()}
+    assert got == {(r.id, r.component) for r in components(link(first + second)).collect()}
