@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallybook.llm import bpe, language, licenses, matroska, minhash, mixing, neighbours, quality, sharding, suffixes, toxicity
+from tallybook.llm import bpe, codes, language, licenses, matroska, minhash, mixing, neighbours, quality, sharding, spelling, suffixes, toxicity
 
-_MODULES = [minhash, language, matroska, bpe, neighbours, sharding, suffixes, toxicity, quality, mixing, licenses]
+_MODULES = [minhash, language, matroska, bpe, neighbours, sharding, suffixes, toxicity, quality, mixing, licenses, codes, spelling]
 
 
 def queries() -> dict:
