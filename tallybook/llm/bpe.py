@@ -255,8 +255,8 @@ def loaded(spec: str) -> Transducer:
     return _LOADED[name]
 
 
-def encoded(docs: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str = "text", tokens: bool = False) -> DataFrame:
-    """One row per row: key, n_tokens, ids_sha256, decoded_sha256, and token_ids where tokens is set.
+def encoded(docs: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str = "text", tokens: bool = False, carry: str | None = None) -> DataFrame:
+    """One row per row: key, n_tokens, ids_sha256, decoded_sha256, token_ids where tokens is set, and the column `carry` as it is.
 
     tokenizer_json: path of the tokenizer's file, which the driver reads and broadcasts (a few MB at any input
     size). A null text is empty and has no tokens; equal texts give equal values; an empty table gives no
@@ -290,10 +290,15 @@ def encoded(docs: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str
         if tokens:
             columns.append(pa.array(ids, pa.list_(pa.int32())))
             names.append("token_ids")
+        if carry:
+            columns.append(batch.column(2))
+            names.append(carry)
         return pa.record_batch(columns, names=names)
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * tokens
-    return map_batches(docs.select(F.col(key), F.col(text).cast("string").alias("_text")), run, schema)
+    schema += f", `{carry}` {docs.schema[carry].dataType.simpleString()}" if carry else ""
+    kept = [F.col(f"`{carry}`").alias("_carry")] if carry else []
+    return map_batches(docs.select(F.col(key), F.col(text).cast("string").alias("_text"), *kept), run, schema)
 
 
 def tokenizer_path() -> str:

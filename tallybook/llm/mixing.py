@@ -87,18 +87,19 @@ def schedule_table(spark: SparkSession, rows: Iterator[tuple[str, int, int, int,
         out = made if out is None else out.unionByName(made)
 
 
-def pfair_mix(docs: DataFrame, targets: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, key: str = "doc_id", source: str = "source", carry: bool = False) -> DataFrame:
+def pfair_mix(docs: DataFrame, targets: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, key: str = "doc_id", source: str = "source", carry: list[str] | None = None) -> DataFrame:
     """One row per row of docs: key, source, block, slot, release, deadline, phase, position and in_mix.
 
     A null source is a source of its own. Sources outside `targets` get no weight and come last, after
     all others, not in the mix. Rows of a source are in the order of a hash of the whole row, so rows that share a key,
     or have none, are spread like any others. position sorts the rows of the whole mix; in_mix says that the row comes
     before the mix ends. A block has block_rows rows, or total / MOST_BLOCKS where that is more. Texts may have any length.
-    Empty tables give no rows; other columns are not returned, or with carry the whole row is in the struct _row.
+    Empty tables give no rows; other columns are not returned, but for those of `carry`, small columns that name a row: they are
+    no part of the hash and settle ties between equal rows. No text is shuffled.
     """
-    spark = docs.sparkSession
-    whole_rows = [F.struct(*docs.columns).alias("_row")] if carry else []
-    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # those have no hash
+    spark, carry = docs.sparkSession, carry or []
+    whole_rows = [F.struct(*carry).alias("_row")] if carry else []
+    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind and c not in carry]  # those have no hash
     rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.coalesce(F.concat(F.lit("s:"), F.col(source)), F.lit("null")).alias("_name"), F.xxhash64(*hashed).alias("_hash"), *whole_rows)
     rows = rows.withColumn("_bucket", F.shiftrightunsigned("_hash", 54))  # the order of the buckets is that of the unsigned hashes
     counts = rows.groupBy("_name", "_bucket").agg(F.count(F.lit(1)).alias("_n"))  # at most sources times RANK_BUCKETS rows
@@ -116,13 +117,13 @@ def pfair_mix(docs: DataFrame, targets: dict[str, float] | None = None, block_ro
     last = chain.from_iterable(((k, b) for b in range(blocks[k])) for k in rest)
     after = ((k, b, slot, slot, slot + 1, len(parts), False) for slot, (k, b) in enumerate(last, sum(planned.values())))
     placing = schedule_table(spark, chain(schedule(planned, parts), after))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_name", "_bucket").orderBy("_hash", "_key")) - 1)
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_name", "_bucket").orderBy("_hash", "_key", *(["_row"] if carry else []))) - 1)
     placed = ranked.join(offsets, ["_name", "_bucket"]).withColumn("_at", F.col("_rank") + F.col("_before"))
     placed = placed.withColumn("block", F.expr(f"_at div {block_rows}"))
     placed = placed.join(placing, ["_name", "block"])
     return placed.select(
         F.col("_key").alias(key), F.col("_source").alias(source), "block", "slot", "release", "deadline",
-        "phase", F.expr(f"_at % {block_rows}").alias("_in_block"), "in_mix", *(["_row"] if carry else []),
+        "phase", F.expr(f"_at % {block_rows}").alias("_in_block"), "in_mix", *(["_row.*"] if carry else []),
     ).withColumn("position", F.col("slot") * block_rows + F.col("_in_block")).drop("_in_block")
 
 
