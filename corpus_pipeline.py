@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallybook.llm import bpe, minhash, mixing, quality, suffixes
 from tallybook.session import ship_package, table, written
@@ -23,21 +25,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each near-duplicate group stays, that with the smallest id; repeated rows count as copies.
 
     A document is an id with its text, so different texts under one id are compared like any others. Rows without an id
-    are linked with nothing and all stay, as does one row of each empty text of an id. An empty table gives no rows.
+    are linked with nothing and all stay, as does one row of each empty text of an id. Texts may have any length; an empty table gives no rows.
     """
     ship_package(spark)
-    known = docs.where("doc_id is not null").withColumn("_node", F.xxhash64("doc_id", "text"))
-    marked = minhash.near_duplicates(known, "_node").select("_node", F.col("component_id").alias("_group")).distinct()
-    first = known.select("_node", "doc_id").distinct().join(marked, "_node").groupBy("_group").agg(F.min(F.struct("doc_id", "_node")).alias("_first"))
+    key, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # other columns may have any names
+    known = named.where(F.col(key).isNotNull()).withColumn("_node", F.xxhash64(key, text))
+    marked = minhash.near_duplicates(known.select("_node", F.col(text).alias("text")), "_node").select("_node", F.col("component_id").alias("_group")).distinct()
+    first = known.select("_node", key).distinct().join(marked, "_node").groupBy("_group").agg(F.min(F.struct(key, "_node")).alias("_first"))
     kept = known.join(first.select("_first._node"), "_node", "left_semi")
-    kept = kept.withColumn("_check", F.xxhash64(F.lit(7), "text", "doc_id")).dropDuplicates(["_node", "_check"])  # nodes that clash both stay
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = kept.withColumn("_check", F.xxhash64(F.lit(7), text, key)).dropDuplicates(["_node", "_check"])  # nodes that clash both stay
+    return kept.select(*named.columns).unionByName(named.where(F.col(key).isNull())).toDF(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that occur earlier are cut out of the texts; every document stays, n_chars is counted anew.
 
-    Rows without an id keep their text, a null text becomes an empty one; other columns may have any names.
+    Rows without an id keep their text, a null text becomes an empty one; of repeated rows one keeps its text and the others lose what
+    it has; texts may have any length, other columns any names; an empty table gives no rows.
     """
     ship_package(spark)
     out = suffixes.deduplicated(docs, spans_name=None)
@@ -46,20 +51,59 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.select(*docs.columns)
 
 
+def stored_places(docs: DataFrame) -> DataFrame | None:
+    """The columns of docs, as it is read from files, as c0, c1, ..., with _file and _at, a row's place; None where it doesn't come from files."""
+    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    try:
+        return docs.select(*named, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return None
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, in the order of the mix; those beyond its end, where too few sources are left to hold the weights, come last."""
+    """Every document, in the order of the mix; those beyond its end, where too few sources are left to hold the weights, come last.
+
+    The order is that of partitions and of the rows in them, so it is that of the written files by number; positions() finds it again. Sources are ranked by keys
+    and hashes alone, and texts are joined to their positions once. Null ids and null sources are values like others, repeated rows all stay, texts may
+    have any length, other columns any names; an empty table gives no rows.
+    """
     ship_package(spark)
-    mix = mixing.pfair_mix(docs, carry=True)
-    return mix.repartitionByRange("position").sortWithinPartitions("position").select("_row.*")
+    placed = stored_places(docs)
+    if placed is None:
+        placed = stored_places(written(docs, "documents"))
+    key, source = (f"c{docs.columns.index(c)}" for c in ("doc_id", "source"))
+    order = mixing.pfair_mix(placed, key=key, source=source, carry=["_file", "_at"]).select("_file", "_at", "position")
+    out = placed.join(order, ["_file", "_at"]).repartitionByRange("position").sortWithinPartitions("position")
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def positions(docs: DataFrame) -> DataFrame | None:
+    """doc_id and text of docs with position: 0, 1, ... in the order of its files by their number and of the rows in each; None where it doesn't come from files.
+
+    Only the number of rows of each file is gathered, in one row for each file.
+    """
+    placed = stored_places(docs)
+    if placed is None:
+        return None
+    number = F.regexp_extract("_file", r"part-(\d+)", 1).try_cast("long")
+    sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).withColumn("_order", F.struct(number, "_file"))
+    before = Window.orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    starts = sizes.select(F.col("_file").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    key, text = (F.col(f"c{docs.columns.index(c)}").alias(c) for c in ("doc_id", "text"))
+    return placed.join(starts, F.col("_file") == F.col("_of")).select(key, text, (F.col("_start") + F.col("_at")).alias("position"))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with checksums of the ids and of their decoding.
+    """Token ids of every text, with checksums of the ids and of their decoding, and the text's position in the mix.
 
-    One row for each row, repeated and keyless ones too; a null text has no tokens; an empty table gives no rows.
+    One row for each row, repeated and keyless ones too; a null text has no tokens; an empty table gives no rows. The position is that in the stored table;
+    it is null where the documents don't come from files.
     """
     ship_package(spark)
-    return bpe.encoded(docs, bpe.tokenizer_path(), tokens=True)
+    placed = positions(docs)
+    if placed is None:
+        placed = docs.select("doc_id", "text", F.lit(None).cast("long").alias("position"))
+    return bpe.encoded(placed, bpe.tokenizer_path(), tokens=True, carry="position")
 
 
 STAGES = [
