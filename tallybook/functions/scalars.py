@@ -11,7 +11,9 @@ from tallybook.functions.fiscal import previous_month_end, previous_month_start
 
 # Text patterns of the domain.
 FOOTER = r"(?i)https?://\S+|request\s+to\s+our\s+customers.*$|registered\s+office.*$|this\s+is\s+system\s+generated.*$"
-NEXT_ENTRY = r"(?i)\b(NEFT|IMPS|RTGS|ACH|POS|ATM|BIL|SMS\s+CHRG|CASH\s+HAND|UPI)\b"
+NEXT_ENTRY = r"\b(NEFT|IMPS|RTGS|ACH|POS|ATM|BIL|SMS\s+CHRG|CASH\s+HAND|UPI)\b"
+OWN_ENTRY = r"(?i)^((?:TO\s+SELF|BY\s+CASH)\b(?:\s*[-–—]?\s*\d{3,})?)"
+OWN_UPI = rf"(?is)^(UPI/[DC]R\b.*?)(?=\s+(?:{NEXT_ENTRY}))"
 REFERENCE_LIKE = r"^[\d/\-\s]+$"
 REFERENCE_WORD = r"(?i)\b(chq|cheque|ref|utr|upi|imps|neft)\b"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -25,7 +27,7 @@ NOT_CASH_WORDS = ["chrgs", "chrg", "charge", "charges", "chg", "upi", "transfer"
 
 def strip(column: Column) -> Column:
     """All white space at both ends, not only blanks."""
-    return F.regexp_replace(column, r"^\s+|\s+$", "")
+    return F.btrim(column, F.lit(" \t\n\x0b\f\r"))
 
 
 def collapse(column: Column) -> Column:
@@ -168,25 +170,27 @@ def parse_money(column: Column, scale: int = 2) -> Column:
     return bound(F.lower(strip(column)), amount)
 
 
+# Shapes of dates: day, month and year between equal marks; year first; month name first.
+_DAY_FIRST = r"^(\d{1,2})([-/. ])(\d{1,2}|[A-Z]{3}),?\2(\d{4}|\d{2})$"
+_YEAR_FIRST = r"^\d{4}-\d{1,2}-\d{1,2}$"
+_MONTH_FIRST = r"^([A-Z]{3}) ?(\d{1,2}), ?(\d{4})$"
+_MONTH_NUMBERS = {MONTHS[3 * i : 3 * i + 3]: i + 1 for i in range(12)} | {f"{i}": i for i in range(1, 13)} | {f"0{i}": i for i in range(1, 10)}
+
+
 def parse_date(column: Column) -> Column:
     """Dates as y-m-d, d-m-y (or / or . or blanks between), d-Mon-y and Mon d, y; day first, two-digit years are 20yy.
 
-    Impossible dates and other shapes are null. Every shape is turned into one, which is cast once: a format that doesn't fit
-    would cost an exception for each row.
+    Impossible dates and other shapes are null. One pattern tells the shape, its parts are read only where it fits, and no branch costs an
+    exception; all of it is generated code.
     """
     text = F.upper(strip(column))
-    text = F.regexp_replace(text, r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "$3-$2-$1")
-    text = F.regexp_replace(text, r"^([A-Z]{3}) ?(\d{1,2}), ?(\d{4})$", "$2-$1-$3")
-    text = F.regexp_replace(text, r"^(\d{1,2})([-/. ])(\d{1,2}|[A-Z]{3}),?\2(\d{4}|\d{2})$", "$1-$3-$4")
+    months = F.create_map(*(F.lit(x) for pair in _MONTH_NUMBERS.items() for x in (pair[0], str(pair[1]))))
 
-    def date(parts: Column) -> Column:
-        day, month, year = (F.get(parts, i) for i in range(3))
-        number = F.coalesce(month.try_cast("int"), ((F.position(month, F.lit(MONTHS)) + 2) / 3).cast("int"))
-        year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-        return F.concat_ws("-", year, number.cast("string"), day).try_cast("date")
+    def date(pattern: str, day: int, month: int, year: int) -> Column:
+        part = lambda i: F.regexp_extract(text, pattern, i)
+        return F.concat(F.right(F.concat(F.lit("20"), part(year)), F.lit(4)), F.lit("-"), F.try_element_at(months, part(month)), F.lit("-"), part(day)).try_cast("date")
 
-    known = F.when(text.rlike(r"^\d{1,2}-(\d{1,2}|JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)-(\d{4}|\d{2})$"), text)
-    return bound(F.split(known, "-"), date)
+    return F.when(text.rlike(_DAY_FIRST), date(_DAY_FIRST, 1, 3, 4)).when(text.rlike(_YEAR_FIRST), text.try_cast("date")).when(text.rlike(_MONTH_FIRST), date(_MONTH_FIRST, 2, 1, 3))
 
 
 def with_period(df: DataFrame, text: str, received: str) -> DataFrame:
@@ -252,8 +256,7 @@ def own_narration(column: Column) -> Column:
     """A narration without the next entry that ran into it: after TO SELF or BY CASH only a number stays, after UPI/DR or UPI/CR what comes before
     the next entry's first word."""
     text = F.trim(column)
-    head = F.regexp_extract(text, r"(?i)^((?:TO\s+SELF|BY\s+CASH)\b(?:\s*[-–—]?\s*\d{3,})?)", 1)
-    upi = F.regexp_extract(text, rf"(?is)^(UPI/[DC]R\b.*?)(?=\s+(?:{NEXT_ENTRY[4:]}))", 1)
+    head, upi = F.regexp_extract(text, OWN_ENTRY, 1), F.regexp_extract(text, OWN_UPI, 1)
     return F.when(head != "", F.trim(head)).when(upi != "", F.trim(upi)).otherwise(text)
 
 

@@ -115,10 +115,10 @@ LAYOUTS: dict[str, Cells | Lines | Blocks] = {
     ),
     "idbi_choicepoint": Lines("IDBI", rf"(?i)^\s*\d+\.\s+(\d{{2}}-[A-Za-z]{{3}}-\d{{2}})\s+(.*?)\s+({_DECIMALS})\s+(Cr|Dr)\s*$", ("amount", "tag")),
     "canara_1": Blocks(
-        "CANARA", rf"\b({_DMY})\b.*\d", r"(\d[\d,]*\.\d{2})()", (rf"\b{_DMY}\b", _DECIMALS, r"(?i)(\bDR\b|\bCR\b)\s*$"), credit=r"(?i)\bCR\b", debit=r"(?i)\bDR\b",
+        "CANARA", rf"\b({_DMY})\b.*\d", r"(-?\d[\d,]*\.\d{2})()", (rf"\b{_DMY}\b", rf"-?{_DECIMALS}", r"(?i)(\bDR\b|\bCR\b)\s*$"), credit=r"(?i)\bCR\b", debit=r"(?i)\bDR\b",
         noise=r"(?i)^(DATE PARTICULARS|PAGE )", started=r"(?i)^DATE PARTICULARS",
     ),
-    "canara": Blocks("CANARA", rf"\b({_DMY})\b.*\d", r"(\d[\d,]*\.\d{2})()", (rf"\b{_DMY}\b", _DECIMALS), credit=r"(?i)\b(BY|DEPOSIT|CREDIT)\b", debit=r"(?i)\b(TO|WITHDRAWAL|DEBIT)\b", noise=r"(?i)^(DATE PARTICULARS|PAGE )"),
+    "canara": Blocks("CANARA", rf"\b({_DMY})\b.*\d", r"(-?\d[\d,]*\.\d{2})()", (rf"\b{_DMY}\b", rf"-?{_DECIMALS}"), credit=r"(?i)\b(BY|DEPOSIT|CREDIT)\b", debit=r"(?i)\b(TO|WITHDRAWAL|DEBIT)\b", noise=r"(?i)^(DATE PARTICULARS|PAGE )"),
     "bandhan_1": Blocks(
         "BANDHAN", r"([A-Za-z]{3}\s*\d{1,2},\s*\d{4})", r"(?i)INR\s*([\d,]+\.\d{2})\s*(Dr|Cr)?", (r"[A-Za-z]{3}\s*\d{1,2},\s*\d{4}", r"(?i)INR\s*[\d,]+\.\d{2}\s*(Dr|Cr)?"),
         tail=r"(?i)(statement summary|opening balance|total credits|total debits|closing balance|statement generated|insurance|customer care|end of statement)", cut=180,
@@ -139,10 +139,10 @@ def words_to_cells(words: DataFrame, bounds: list[float], line: str = "line") ->
     """file, seq and cells of words (file, line, text, x0, x1): each word goes to the column that its middle lies in, in order of x0."""
     column = bound((F.col("x0") + F.col("x1")) / 2, lambda middle: reduce(lambda n, edge: n + (middle >= F.lit(float(edge))).cast("int"), bounds, F.lit(-1)))
     inside = words.withColumn("_c", column).where(F.col("_c").between(0, len(bounds) - 2))
-    return _lines_of_cells(inside.withColumnRenamed(line, "seq"), len(bounds) - 1)
+    return lines_of_cells(inside.withColumnRenamed(line, "seq"), len(bounds) - 1)
 
 
-def _lines_of_cells(words: DataFrame, width: int) -> DataFrame:
+def lines_of_cells(words: DataFrame, width: int) -> DataFrame:
     """file, seq and cells of words with their column number _c; one shuffle by line serves both steps."""
     dealt = words.select("file", "seq", "_c", "x0", "text").repartition("file", "seq")
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
@@ -163,7 +163,7 @@ def words_to_header_cells(words: DataFrame, labels: list[str]) -> DataFrame:
     both = words.join(header_bounds(words, labels), "file").where(F.col("line") > F.col("header"))
     column = bound((F.col("x0") + F.col("x1")) / 2, lambda middle: F.size(F.filter("edges", lambda e: e <= middle)) - 1)
     both = both.withColumn("_c", column).where("_c >= 0")
-    return _lines_of_cells(both.withColumnRenamed("line", "seq"), len(labels))
+    return lines_of_cells(both.withColumnRenamed("line", "seq"), len(labels))
 
 
 def statement(name: str, rows: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def cell_statement(rows: DataFrame, layout: Cells) -> DataFrame:
         parts = parts.withColumn("_noise", noise)
     parts = parts.withColumns({"txn_date": parse_date(F.col("date")), "balance": _signed(F.col("end")), **_narrations(F.col("narration"), F.col("reference"), layout.cut, layout.between)})
     out, in_ = _amount(F.col("out")), _amount(F.col("in"))
-    before = F.lag("balance").over(_order())
+    before = F.last("balance", ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
     change = F.col("balance") - F.coalesce(before, F.lit(0))
     if layout.side == "delta":
         amount = F.greatest(F.coalesce(out, F.lit(0)), F.coalesce(in_, F.lit(0)))

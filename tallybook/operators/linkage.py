@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallybook.functions.scalars import alias_key, digits, squeezed
-from tallybook.operators.relational import cascading, one_per_key
+from tallybook.operators.relational import one_per_key
 
 
 def email_owners(rows: DataFrame, id_: str, primary: str, extras: str) -> DataFrame:
@@ -79,29 +79,43 @@ def scored_owned_accounts(messages: DataFrame, accounts: DataFrame) -> DataFrame
     messages: message_id, client_id, tokens (digits), recipients and receivers (text arrays); accounts: account_id, client_id,
     account_no, mail_id, bank. Score as above; ties go to an account whose mail id is a recipient of an attachment, then a
     receiver, then to the greater bank name, number and account. An account without any matching token is no match.
+
+    Tokens meet accounts by client and key. Of the accounts that share client, key, score and mail id only the greatest can win, so the others are gone before the join.
     """
-    number, mail = digits(F.col("account_no")), F.lower(F.trim("mail_id"))
-    token = F.explode(F.array_distinct("tokens")).alias("token")
-    hits = messages.select("message_id", "client_id", "recipients", "receivers", token).join(accounts.withColumn("number", number), "client_id")
-    score = F.when(F.col("token") == F.col("number"), 3).when(F.col("token") == F.right("number", F.lit(4)), 2).when(F.col("token") == F.right("number", F.lit(2)), 1)
-    named = lambda c: F.coalesce(F.array_contains(c, mail), F.lit(False))
-    ranked = hits.withColumn("score", score).where("score is not null").withColumns({"_r": named("recipients"), "_v": named("receivers")})
-    order = F.struct("score", "_r", "_v", F.coalesce("bank", F.lit("")).alias("bank"), "number", "account_id")
-    best = ranked.groupBy("message_id").agg(F.max_by(F.struct("account_id", "score"), order).alias("b"))
-    return best.select("message_id", "b.account_id", "b.score")
+    number = digits(F.col("account_no"))
+    last = lambda n: F.right(number, F.lit(n))
+    keys = F.array(F.struct(number.alias("token"), F.lit(3).alias("score")), F.struct(last(4).alias("token"), F.lit(2).alias("score")), F.struct(last(2).alias("token"), F.lit(1).alias("score")))
+    sides = accounts.select("client_id", F.lower(F.trim("mail_id")).alias("mail"), F.struct(F.coalesce("bank", F.lit("")).alias("bank"), number.alias("number"), "account_id").alias("_rank"), F.explode(keys).alias("k"))
+    sides = sides.groupBy("client_id", "k.token", "k.score", "mail").agg(F.max("_rank").alias("_rank"))
+    tokens = messages.select("message_id", "client_id", "recipients", "receivers", F.explode(F.array_distinct("tokens")).alias("token"))
+    named = lambda c: F.coalesce(F.array_contains(c, F.col("mail")), F.lit(False))
+    hits = tokens.join(sides, ["client_id", "token"]).select("message_id", "score", named("recipients").alias("_r"), named("receivers").alias("_v"), "_rank")
+    best = hits.groupBy("message_id").agg(F.max(F.struct("score", "_r", "_v", "_rank")).alias("b"))
+    return best.select("message_id", "b._rank.account_id", "b.score")
+
+
+#: Characters by which a part of a number is looked up.
+PART = 4
 
 
 def found_account(wanted: DataFrame, accounts: DataFrame) -> DataFrame:
     """key, account_id and tier of the account that a typed number means, among those of its client.
 
     wanted: key, client_id, typed. 1: equal; 2: but for case; 3: the number contains what was typed; 4: it ends with it; 5: the
-    digits are equal. The smallest account of the first tier that has one.
+    digits are equal. The smallest account of the first tier that has one. A suffix is contained as well, so 4 never comes first.
+
+    Every tier has its key beside the client: the number, its digits, or for parts the first PART characters of what was typed, against all parts of numbers of that length.
     """
-    typed, number = F.trim("typed"), F.col("account_no")
-    both = wanted.join(accounts.select("client_id", "account_id", "account_no"), "client_id").where(typed != "")
-    small, have = F.lower(typed), F.lower(number)
-    tiers = [number == typed, have == small, F.contains(have, small), F.endswith(have, small), digits(number) == digits(typed)]
-    return cascading(both, ["key"], tiers, [F.col("account_id")]).select("key", "account_id", "tier")
+    w = wanted.select("key", "client_id", F.trim("typed").alias("typed")).where("typed <> ''").withColumn("small", F.lower("typed"))
+    a = accounts.select("client_id", "account_id", "account_no", F.lower("account_no").alias("have"))
+    whole = w.join(a.withColumnRenamed("have", "small"), ["client_id", "small"]).select("key", "account_id", F.when(F.col("account_no") == F.col("typed"), 1).otherwise(2).alias("tier"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("have"), F.lit(1)))
+    parts = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.array(*map(F.lit, range(1, PART + 1))), lambda n: F.substring(F.col("have"), i, n)))))
+    held = a.select("client_id", "account_id", "have", F.explode(parts).alias("_part"))
+    within = w.withColumn("_part", F.substring("small", 1, PART)).join(held, ["client_id", "_part"]).where(F.contains("have", "small")).select("key", "account_id", F.lit(3).alias("tier"))
+    same = w.withColumn("_digits", digits(F.col("typed"))).join(a.withColumn("_digits", digits(F.col("account_no"))), ["client_id", "_digits"]).select("key", "account_id", F.lit(5).alias("tier"))
+    best = whole.unionByName(within).unionByName(same).groupBy("key").agg(F.min(F.struct("tier", "account_id")).alias("b"))
+    return best.select("key", "b.account_id", "b.tier")
 
 
 # Words that name a bank in a message, and the part of the bank's name that each stands for, in order.
@@ -125,8 +139,10 @@ def fallback_accounts(messages: DataFrame, accounts: DataFrame) -> DataFrame:
     sole = m.join(one(a, "client_id"), "client_id").select("message_id", "account_id", F.lit(2).alias("tier"), F.lit(0).alias("place"), F.lit("").alias("word"))
     said = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(w).alias("said"), F.lit(p).alias("part")) for i, (w, p) in enumerate(BANK_WORDS.items())))
     named = F.filter(said, lambda s: F.contains(F.lower("hint"), s["said"]))
-    by_bank = m.select("message_id", "client_id", F.explode(named).alias("b")).select("message_id", "client_id", "b.place", "b.part").join(a, "client_id").where(F.contains("bank", "part"))
-    by_bank = one(by_bank, "message_id", "place")
+    # An account is known by the parts that its bank's name has, and only where it is its client's only one with the part.
+    parts = F.array(*map(F.lit, dict.fromkeys(BANK_WORDS.values())))
+    of_bank = one(a.select("account_id", "client_id", F.explode(F.filter(parts, lambda p: F.contains("bank", p))).alias("part")), "client_id", "part")
+    by_bank = m.select("message_id", "client_id", F.explode(named).alias("b")).select("message_id", "client_id", "b.place", "b.part").join(of_bank, ["client_id", "part"])
     by_tail = m.select("message_id", "client_id", F.explode(F.array_distinct("tails")).alias("word")).join(one(a.withColumn("word", F.right("number", F.lit(4))), "client_id", "word"), ["client_id", "word"])
     found = by_mail.select("message_id", "account_id", F.lit(1).alias("tier"), "place", F.lit("").alias("word")).unionByName(sole)
     found = found.unionByName(by_bank.select("message_id", "account_id", F.lit(3).alias("tier"), "place", F.lit("").alias("word")))

@@ -109,9 +109,10 @@ def ledger_sheet(rows: DataFrame, bank: Column, account_no: Column, ledger: Colu
 
 
 def mailbox_totals(outcomes: DataFrame) -> DataFrame:
-    """inserted, updated and existing of each mailbox (mailbox, outcome), and a row `all` with the sums."""
+    """inserted, updated and existing of each mailbox (mailbox, outcome), and a row `all` with the sums. Rows without a mailbox are a mailbox null of their own."""
     count = lambda k: F.count(F.when(F.col("outcome") == k, 1)).alias(k)
-    return outcomes.rollup("mailbox").agg(*map(count, ("inserted", "updated", "existing"))).withColumn("mailbox", F.coalesce("mailbox", F.lit("all")))
+    sums = outcomes.rollup("mailbox").agg(*map(count, ("inserted", "updated", "existing")), F.grouping_id().alias("_all"))
+    return sums.withColumn("mailbox", F.when(F.col("_all") == 1, "all").otherwise(F.col("mailbox"))).drop("_all")
 
 
 def preview(rows: DataFrame, key: str, seq: str, n: int) -> DataFrame:

@@ -22,11 +22,11 @@ HEADER_WORDS = {
 }
 
 
-def header_kind(cell: Column) -> Column:
+def header_kind(cell: Column, words: dict[str, str] = HEADER_WORDS) -> Column:
     """Kind of a header cell; unknown if no word fits."""
     text = F.lower(collapse(F.coalesce(cell, F.lit(""))))
     out = F.lit("unknown")
-    for kind, pattern in reversed(list(HEADER_WORDS.items())):
+    for kind, pattern in reversed(list(words.items())):
         out = F.when(text.rlike(pattern), kind).otherwise(out)
     return out
 
@@ -42,7 +42,7 @@ def header_score(kinds: Column) -> Column:
 
 def best_header(rows: DataFrame, keys: list[str], seq: str, cells: str, first: int = 6) -> DataFrame:
     """The row with the best header score among the first rows of each table, the earliest of equals; it has to exceed -1."""
-    scored = rows.where(F.col(seq) < first).withColumn("score", header_score(F.transform(cells, header_kind))).where("score > -1")
+    scored = rows.where(F.col(seq) < first).withColumn("score", header_score(F.transform(cells, lambda c: header_kind(c)))).where("score > -1")
     best = scored.groupBy(*keys).agg(F.max_by(F.struct(seq, "score"), F.struct("score", -F.col(seq))).alias("b"))
     return best.select(*keys, F.col(f"b.{seq}").alias(seq), F.col("b.score").alias("score"))
 
@@ -152,14 +152,17 @@ def parser(name: str) -> Callable:
 
 
 def _statement_rows(cells: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    rows = cells.select("file", "seq", *(c.alias(n) for n, c in fields.items())).where("txn_date is not null")
+    """Rows with a date. The fields stand behind a generator, below which the filter on the date is not pushed, so each is computed once."""
+    rows = cells.select("file", "seq", F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in fields.items()))))).where("txn_date is not null")
     zero = F.lit(0).cast("decimal(18,2)")
     return rows.withColumns({"withdrawal": F.coalesce("withdrawal", zero), "deposit": F.coalesce("deposit", zero)})
 
 
 def _delimited(lines: DataFrame, separator: str, at: dict[str, int]) -> DataFrame:
-    cells = lines.withColumn("c", F.transform(F.split("line", separator), lambda x: collapse(x)))
-    get = lambda k: F.get("c", at[k])
+    # Only lines that reach to the date and have a number are looked at closely.
+    likely = F.col("line").rlike(rf"^(?:[^{separator}]*{separator}){{{at["date"]}}}") & F.col("line").rlike(r"\d")
+    cells = lines.where(likely).select("file", "seq", F.explode_outer(F.array(F.split("line", separator))).alias("c"))
+    get = lambda k: collapse(F.get("c", at[k]))
     return _statement_rows(cells, {"txn_date": parse_date(get("date")), "narration": get("narration"), "withdrawal": parse_money(get("withdrawal")), "deposit": parse_money(get("deposit")), "balance": parse_money(get("balance"))})
 
 

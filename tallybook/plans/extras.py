@@ -201,10 +201,10 @@ def grouped_picker(spark, sf):
 # Reports
 
 
-@query(f"""WITH {ENTRIES}, {ACCOUNTS}, r AS (SELECT e.*, CASE WHEN priority IN ('1-URGENT', '2-HIGH') THEN row_number() OVER (PARTITION BY account_id, priority IN ('1-URGENT', '2-HIGH') ORDER BY amount, id) END AS n FROM entries e)
+@query(f"""WITH {ENTRIES}, {ACCOUNTS}, r AS (SELECT e.*, CASE WHEN priority IN ('1-URGENT', '2-HIGH') THEN row_number() OVER (PARTITION BY account_id, fy, priority IN ('1-URGENT', '2-HIGH') ORDER BY amount, id) END AS n FROM entries e)
 SELECT r.id, a.name, CASE WHEN n IS NULL THEN 'Original' ELSE 'Revised(' || n || ')' END AS kind, coalesce(trim(status), 'Pending') AS stage FROM r JOIN accounts a USING (account_id) WHERE r.fy = '1995_96'""")
 def report_returns(spark, sf):
-    e = L.revision_numbers(entries(spark, sf), ["account_id"], [F.col("amount"), F.col("id")], F.col("priority").isin("1-URGENT", "2-HIGH")).where("fy = '1995_96'")
+    e = L.revision_numbers(entries(spark, sf, ["1995_96"]), ["account_id", "fy"], [F.col("amount"), F.col("id")], F.col("priority").isin("1-URGENT", "2-HIGH"))
     kind = F.when(F.col("revision").isNull(), "Original").otherwise(F.concat(F.lit("Revised("), F.col("revision").cast("string"), F.lit(")")))
     return e.join(accounts(spark, sf).select("account_id", "name"), "account_id").select("id", "name", kind.alias("kind"), F.coalesce(F.trim("status"), F.lit("Pending")).alias("stage"))
 

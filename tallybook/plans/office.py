@@ -140,10 +140,10 @@ def fallback_pick(spark, sf):
     return K.fallback_accounts(m, a)
 
 
-@query(f"WITH {ACCTS} SELECT c_custkey AS message_id, account_id, 2 AS score FROM customer JOIN accts ON client_id = c_custkey AND bank = 'BETA'")
+@query(f"WITH {ACCTS} SELECT c_custkey AS message_id, account_id, 2 AS score FROM customer JOIN accts ON client_id = c_custkey AND (bank = 'BETA' OR client_id % 4 = 0)")
 def scored_match_ties(spark, sf):
-    """Tails of all of a client's accounts are in the mail; the attachment's recipient settles it."""
-    a = accts(spark, sf).where("client_id % 4 <> 0")
+    """Tails of all of a client's accounts are in the mail; the attachment's recipient settles it where there are several."""
+    a = accts(spark, sf)
     a = a.select("account_id", "client_id", "account_no", F.when(F.col("bank_word") == "beta", F.concat(F.lit("B"), F.col("client_id").cast("string"))).alias("mail_id"), F.col("bank_word").alias("bank"))
     k = F.col("c_custkey")
     tails = F.array(*(F.right(number_of(k * 3 + i), F.lit(4)) for i in range(3)))
@@ -151,6 +151,33 @@ def scored_match_ties(spark, sf):
     return K.scored_owned_accounts(m, a)
 
 
+@query("SELECT c_custkey AS message_id, c_custkey * 3 + CASE c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 0 ELSE 2 END AS account_id, 2 AS score FROM customer")
+def scored_tie_breakers(spark, sf):
+    """Three accounts of a client end alike; a recipient, a receiver, the bank's name, the number or the account settles it, by the kind of client."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer")
+    a = c.select(k.alias("client_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("j"))
+    of = lambda kind, *values: F.when(F.col("client_id") % 5 == kind, F.element_at(F.array(*map(F.lit, values)), F.col("j") + 1))
+    tail = F.lpad((F.col("client_id") % 10000).cast("string"), 4, "0")
+    mail = F.concat(F.lit(" Mail"), F.col("j").cast("string"), F.lit("@"), F.col("client_id").cast("string"))
+    a = a.select("client_id", (F.col("client_id") * 3 + F.col("j")).alias("account_id"), F.concat(F.coalesce(of(3, "9-", "5-", "7-"), of(4, "1", "1", "1"), F.lit("44")), tail).alias("account_no"), mail.alias("mail_id"), F.coalesce(of(2, "A", "C", "B"), F.lit("ONE")).alias("bank"))
+    to = lambda j: F.concat(F.lit(f"mail{j}@"), k.cast("string"))
+    m = c.select(k.alias("message_id"), k.alias("client_id"), F.array(F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("x")).alias("tokens"), F.array(F.when(k % 5 == 0, to(0)).otherwise("q")).alias("recipients"), F.array(F.when(k % 5 < 2, to(1)).otherwise("q")).alias("receivers"))
+    return K.scored_owned_accounts(m, a)
+
+
+@query("SELECT c_custkey AS key, c_custkey * 3 + CASE c_custkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS account_id, CASE c_custkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 5 END AS tier FROM customer")
+def account_finder(spark, sf):
+    """Which of a client's three accounts a typed number means: equal, equal but for case, a part of all three, a part of one, equal digits."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer")
+    middle = (k + 5000000).cast("string")
+    held = c.select(k.alias("client_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("j"), middle.alias("middle"))
+    held = held.select("client_id", (F.col("client_id") * 3 + F.col("j")).alias("account_id"), F.concat(F.lit("AB-"), "middle", F.lit("-x"), F.col("j").cast("string")).alias("account_no"))
+    typed = F.when(k % 5 == 0, F.concat(F.lit(" AB-"), middle, F.lit("-x1 "))).when(k % 5 == 1, F.concat(F.lit("ab-"), middle, F.lit("-X2"))).when(k % 5 == 2, F.concat(F.lit("b-"), middle)).when(k % 5 == 3, F.concat(middle, F.lit("-X2"))).otherwise(F.concat(middle, F.lit("/1")))
+    return K.found_account(c.select(k.alias("key"), k.alias("client_id"), typed.alias("typed")), held)
+
+
 # Sheets
 
 
@@ -182,11 +209,11 @@ def ledger_sheet_columns(spark, sf):
     return out.withColumns({c: F.round(F.col(c) * 100).cast("long") for c in ("Withdrawals", "Deposits", "CashWithdrawals", "CashDeposits", "Balance")})
 
 
-@query("""SELECT 'box' || user_id % 7 AS mailbox, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS inserted, count(CASE WHEN event_type = 'click' THEN 1 END) AS updated, count(CASE WHEN event_type NOT IN ('purchase', 'click') THEN 1 END) AS existing FROM events GROUP BY 1
+@query("""SELECT CASE WHEN user_id % 7 < 6 THEN 'box' || user_id % 7 END AS mailbox, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS inserted, count(CASE WHEN event_type = 'click' THEN 1 END) AS updated, count(CASE WHEN event_type NOT IN ('purchase', 'click') THEN 1 END) AS existing FROM events GROUP BY 1
 UNION ALL SELECT 'all', count(CASE WHEN event_type = 'purchase' THEN 1 END), count(CASE WHEN event_type = 'click' THEN 1 END), count(CASE WHEN event_type NOT IN ('purchase', 'click') THEN 1 END) FROM events""")
 def mailbox_totals(spark, sf):
     outcome = F.when(F.col("event_type") == "purchase", "inserted").when(F.col("event_type") == "click", "updated").otherwise("existing")
-    return O.mailbox_totals(table(spark, sf, "events").select(F.concat(F.lit("box"), (F.col("user_id") % 7).cast("string")).alias("mailbox"), outcome.alias("outcome")))
+    return O.mailbox_totals(table(spark, sf, "events").select(F.when(F.col("user_id") % 7 < 6, F.concat(F.lit("box"), (F.col("user_id") % 7).cast("string"))).alias("mailbox"), outcome.alias("outcome")))
 
 
 @query(f"WITH {ENTRIES} SELECT account_id, id, coalesce(status, '') AS status, priority FROM entries QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY id) <= 3")
@@ -211,10 +238,9 @@ def narrations(spark, sf):
     return table(spark, sf, "orders").select(k.alias("k"), packed["first"].alias("first"), packed["second"].alias("second"), S.own_narration(ran).alias("own"), S.without_footer(noisy).alias("clean"), S.rightmost_amount(amounts).cast("double").alias("amount"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN length(t) <= 400 THEN t ELSE left(t, 380 - position(' ' IN reverse(left(t, 381))) + 1) END AS first_part FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations) WHERE length(t) <= 400 OR contains(left(t, 381), ' ')""")
+@query("""SELECT conv_id, turn, CASE WHEN length(t) <= 400 THEN t WHEN contains(left(t, 381), ' ') THEN left(t, 380 - position(' ' IN reverse(left(t, 381))) + 1) ELSE left(t, 380) END AS first_part FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations)""")
 def long_narrations(spark, sf):
-    c = table(spark, sf, "conversations").withColumn("t", S.collapse(F.col("text")))
-    c = c.where((F.length("t") <= 400) | F.contains(F.substring("t", 1, 381), F.lit(" ")))
+    c = table(spark, sf, "conversations")
     return c.select("conv_id", "turn", S.split_long_narration(F.col("text"))["first"].alias("first_part"))
 
 

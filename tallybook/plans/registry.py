@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallybook.plans import coverage, extras, ledgers, office, reports, statements
+from tallybook.plans import coverage, extras, files, ledgers, office, pages, reports, statements
 
-_MODULES: list = [coverage, reports, ledgers, extras, statements, office]
+_MODULES: list = [coverage, reports, ledgers, extras, statements, office, pages, files]
 
 
 def queries() -> dict:

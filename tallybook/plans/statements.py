@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallybook.operators import layouts as L
+from tallybook.operators import pages as P
 from tallybook.operators import statements as T
 from tallybook.session import table
 
 QUERIES, ORACLES = {}, {}
+#: How each layout's files are printed: cells, lines or words.
+PRINTED: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 LONG = " INVOICES OF MONTH AND GOODS SENT ON WITH LOT NUMBERS NINETY ONE NINETY TWO NINETY THREE NINETY FOUR"
 TX = f"""tx AS (SELECT o_custkey AS file, row_number() OVER w AS n, count(*) OVER (PARTITION BY o_custkey) AS total, o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderstatus = 'F' AS dr,
@@ -74,13 +77,20 @@ def lines(tx: DataFrame, *texts: Column | tuple) -> DataFrame:
     return cells(tx, *rows).select("file", "seq", F.get("cells", 0).alias("line"))
 
 
-def words(rows: DataFrame, bounds: list[float]) -> DataFrame:
-    """The words of cells with places inside their columns, as a page would have them."""
-    each = rows.select("file", "seq", F.posexplode("cells").alias("c", "cell")).where("cell <> ''").select("file", "seq", "c", F.posexplode(F.split("cell", " ")).alias("i", "text"), F.size(F.split("cell", " ")).alias("m"))
+def words(rows: DataFrame, bounds: list[float], labels: list[str] | None = None) -> DataFrame:
+    """The words of cells as a page gives them: 15 entries to a page, 12 units from line to line, words of a line not quite level, no line numbers.
+
+    Words stand inside their columns; labels, which are a header's, at the left of theirs.
+    """
+    each = rows.select("file", "seq", F.posexplode("cells").alias("c", "cell")).where("cell <> ''").select("file", "seq", "c", "cell", F.posexplode(F.split("cell", " ")).alias("i", "text"), F.size(F.split("cell", " ")).alias("m"))
     edges = F.array(*map(F.lit, map(float, bounds)))
     left, right = F.get(edges, F.col("c")), F.get(edges, F.col("c") + 1)
     x = left + (F.least(right, left + 200.0) - left) * (F.col("i") + 1) / (F.col("m") + 1)
-    return each.select("file", F.col("seq").alias("line"), "text", x.alias("x0"), x.alias("x1"))
+    if labels:
+        x = F.when(F.col("cell").isin(labels), left).otherwise(x)
+    entry = F.expr("seq DIV 10 - 1")
+    top = (entry % 15) * 60 + (F.col("seq") % 10) * 12 + ((F.col("c") + F.col("i")) % 3) * 0.6
+    return each.select("file", F.expr("cast(1 + (seq DIV 10 - 1) DIV 15 as int)").alias("page"), "text", x.alias("x0"), x.alias("x1"), top.cast("double").alias("top"))
 
 
 def layout(name: str, sql: str) -> Callable:
@@ -88,11 +98,12 @@ def layout(name: str, sql: str) -> Callable:
 
     def register(function: Callable[[DataFrame], DataFrame]) -> Callable:
         def run(spark, sf) -> DataFrame:
-            out = L.statement(name, function(transactions(spark, sf)))
+            printed = function(transactions(spark, sf))
+            out = P.words_statement(name, printed) if name in P.WORDS else L.statement(name, printed)
             cents = lambda c: F.round(F.col(c) * 100).cast("long").alias(c)
             return out.select("file", "txn_date", "narration1", "narration2", *map(cents, ("withdrawal", "deposit", "balance")))
 
-        QUERIES[f"statement_{name}"], ORACLES[f"statement_{name}"] = run, sql
+        QUERIES[f"statement_{name}"], ORACLES[f"statement_{name}"], PRINTED[name] = run, sql, function
         return function
 
     return register
@@ -131,7 +142,15 @@ def _(tx):
 
 @layout("bob_1", expected())
 def _(tx):
-    return L.words_to_cells(words(cells(tx, [day("dd-MM-yyyy"), F.col("narr"), F.col("ref"), OUT("-"), IN("-"), BALANCE()]), L.BOUNDS["bob_6"]), L.BOUNDS["bob_6"])
+    head = lambda *texts: (F.col("n") == 1, list(texts))
+    end = [F.col("narr"), F.col("ref"), OUT("-"), IN("-"), BALANCE()]
+    own = [
+        ("bob_6", [head("DATE", "NARRATION", "CHQ.NO.", "", "", ""), [day("dd-MM-yyyy"), *end]]),
+        ("bob_7", [head("TRAN DATE", "VALUE DATE", "NARRATION", "", "", "", ""), [day("dd-MM-yyyy"), day("dd-MM-yyyy"), *end]]),
+        ("bob_8", [head("Serial", "Transaction", "Value", "Description", "", "", "", ""), [F.col("n").cast("string"), day("dd-MM-yyyy"), day("dd-MM-yyyy"), *end]]),
+    ]
+    made = [words(cells(tx.where(F.col("file") % 3 == i), *rows), L.BOUNDS[key]) for i, (key, rows) in enumerate(own)]
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
 
 @layout("bob_2", expected(**cut()))
@@ -147,49 +166,44 @@ def _(tx):
 @layout("kalupur_1", expected(n2="''"))
 def _(tx):
     bounds = L.BOUNDS["kalupur"]
-    return L.words_to_cells(words(cells(tx, ["Date", "Value", "Mode", "Particulars", "Debit", "Credit", "Balance"], [day("dd/MM/yyyy"), day("dd/MM/yyyy"), "TR", F.col("narr"), OUT(), IN(), BALANCE()]), bounds), bounds)
+    return words(cells(tx, ["Date", "Value", "Mode", "Particulars", "Debit", "Credit", "Balance"], [day("dd/MM/yyyy"), day("dd/MM/yyyy"), "TR", F.col("narr"), OUT(), IN(), BALANCE()]), bounds)
 
 
 @layout("spcb_2", expected())
 def _(tx):
-    bounds = L.BOUNDS["spcb_2"]
-    return L.words_to_cells(words(cells(tx, [day("dd-MMM-yyyy"), day("dd-MMM-yyyy"), F.col("narr"), F.col("ref"), OUT(), IN(), BALANCE()]), bounds), bounds)
+    return words(cells(tx, [day("dd-MMM-yyyy"), day("dd-MMM-yyyy"), F.col("narr"), F.col("ref"), OUT(), IN(), BALANCE()]), L.BOUNDS["spcb_2"])
 
 
 @layout("kotak_1", expected(n1="narr || ' MORE'"))
 def _(tx):
-    bounds, amount = L.BOUNDS["kotak_1"], F.concat(money(), F.when(F.col("dr"), "(Dr)").otherwise("(Cr)"))
+    amount = F.concat(money(), F.when(F.col("dr"), "(Dr)").otherwise("(Cr)"))
     printed = cells(tx, [day("dd-MM-yyyy"), F.col("narr"), F.col("ref"), amount, F.concat(money("bal"), F.when(F.col("bal") < 0, "(Dr)").otherwise("(Cr)"))], ["", "MORE", "", "", ""])
-    return L.words_to_cells(words(printed, bounds), bounds)
+    return words(printed, L.BOUNDS["kotak_1"])
 
 
 @layout("kotak_2", expected(n2="CASE WHEN dr AND k % 5 = 0 THEN '' ELSE ref END"))
 def _(tx):
-    bounds, slid = L.BOUNDS["kotak_2"], F.col("dr") & (F.col("k") % 5 == 0)
-    printed = cells(tx, [day("dd MMM yyyy"), F.col("narr"), F.when(slid, money()).otherwise(F.col("ref")), F.when(~slid, OUT()).otherwise(""), IN(), MINUS()])
-    return L.words_to_cells(words(printed, bounds), bounds)
+    labels, slid = list(P.WORDS["kotak_2"].labels), F.col("dr") & (F.col("k") % 5 == 0)
+    printed = cells(tx, (F.col("n") == 1, labels), [day("dd MMM yyyy"), F.col("narr"), F.when(slid, money()).otherwise(F.col("ref")), F.when(~slid, OUT()).otherwise(""), IN(), MINUS()])
+    return words(printed, L.BOUNDS["kotak_2"], labels)
 
 
 @layout("sbi_2", expected(n1="narr || ' MORE'"))
 def _(tx):
-    labels = ["Date", "Details", "Ref", "Debit", "Credit", "Balance"]
+    labels = list(P.WORDS["sbi_2"].labels)
     printed = cells(tx, (F.col("n") == 1, ["BANK", "OF", "", "", "", ""]), (F.col("n") == 1, labels), [day("d/M/yyyy"), F.col("narr"), F.col("ref"), OUT(), IN(), MINUS()], ["", "MORE", "", "", "", ""])
-    return L.words_to_header_cells(_at_left(words(printed, [20, 110, 420, 520, 600, 700, 900]), labels), labels)
-
-
-def _at_left(rows: DataFrame, labels: list[str]) -> DataFrame:
-    """Header words stand at the left of their columns."""
-    edges = dict(zip((x.upper() for x in labels), [20.0, 110.0, 420.0, 520.0, 600.0, 700.0]))
-    left = F.create_map(*(c for k, v in edges.items() for c in (F.lit(k), F.lit(v))))
-    at = F.coalesce(F.try_element_at(left, F.upper("text")), F.col("x0"))
-    return rows.withColumns({"x0": at, "x1": at})
+    return words(printed, [20, 110, 420, 520, 600, 700, 900], labels)
 
 
-@layout("pnb_1", expected())
+@layout("pnb_1", expected(n1="CASE WHEN n = 1 THEN 'TO SELF ' ELSE '' END || narr || CASE WHEN k % 9 = 0 THEN ' BY CASH' ELSE '' END"))
 def _(tx):
-    swapped = F.col("k") % 6 == 0
+    labels, first, swapped = list(P.WORDS["pnb_1"].labels), F.col("n") == 1, F.col("k") % 6 == 0
     out, in_ = F.when(swapped, IN()).otherwise(OUT()), F.when(swapped, OUT()).otherwise(IN())
-    return cells(tx, (F.col("n") == 1, [day("dd-MM-yyyy"), "", "", "", "0.00", "OPENING BALANCE"]), [day("dd-MM-yyyy"), F.col("ref"), out, in_, BALANCE(), F.col("narr")])
+    printed = cells(
+        tx, (first, labels), (first, [day("dd-MM-yyyy"), "", "", "", "0.00", "OPENING BALANCE"]), (first, [day("dd-MM-yyyy"), "", "", "", "", "TO SELF"]),
+        ["", "", "", "", "", F.substring("narr", 1, 4)], [day("dd-MM-yyyy"), F.col("ref"), out, in_, BALANCE(), F.expr("substring(narr, 6)")], (F.col("k") % 9 == 0, [day("dd-MM-yyyy"), "", "", "", "", "BY CASH"]),
+    )
+    return words(printed, [20, 110, 200, 300, 400, 520, 900], labels)
 
 
 @layout("spcb_1", expected(**cut()))
@@ -230,21 +244,27 @@ def _(tx):
     return lines(tx, F.lit("Sr. Date Description Amount Type"), F.concat_ws(" ", F.concat(F.col("n").cast("string"), F.lit(".")), day("dd-MMM-yy"), "narr", money(), F.when(F.col("dr"), "Dr").otherwise("Cr")))
 
 
-@layout("canara_1", expected(n2="''", bal="abs(bal)"))
+# Entries that no tag or word tells the side of, so that the change of the balance has to.
+BARE, BARE_SQL = lambda: (F.col("k") % 5 == 0) & (F.col("n") > 1), "k % 5 = 0 AND n > 1"
+
+
+@layout("canara_1", expected(n2="''"))
 def _(tx):
     tag = F.when(F.col("dr"), "DR").otherwise("CR")
     first = F.col("n") == 1
-    return lines(tx, (first, F.lit("01-01-1990 printed 5")), (first, F.lit("Date Particulars Deposits Withdrawals Balance")), F.concat_ws(" ", day("dd-MM-yyyy"), money(), money("bal")), F.col("narr"), tag, F.lit("page 3"))
+    return lines(tx, (first, F.lit("01-01-1990 printed 5")), (first, F.lit("Date Particulars Deposits Withdrawals Balance")), F.concat_ws(" ", day("dd-MM-yyyy"), money(), MINUS()), F.col("narr"), (~BARE(), tag), F.lit("page 3"))
 
 
-@layout("canara", expected(n1="CASE WHEN dr THEN 'TO ' ELSE 'BY ' END || narr", n2="''", bal="abs(bal)"))
+@layout("canara", expected(n1=f"CASE WHEN {BARE_SQL} THEN '' WHEN dr THEN 'TO ' ELSE 'BY ' END || narr", n2="''"))
 def _(tx):
-    return lines(tx, F.concat_ws(" ", day("dd-MM-yyyy"), money(), money("bal")), F.concat(F.when(F.col("dr"), "TO ").otherwise("BY "), F.col("narr")))
+    said = F.when(BARE(), "").when(F.col("dr"), "TO ").otherwise("BY ")
+    return lines(tx, F.concat_ws(" ", day("dd-MM-yyyy"), money(), MINUS()), F.concat(said, F.col("narr")))
 
 
-@layout("bandhan_1", expected(n2="''", bal="abs(bal)"))
+@layout("bandhan_1", expected(n2="''"))
 def _(tx):
-    return lines(tx, F.concat_ws(" ", day("MMM d, yyyy"), "narr"), F.concat_ws(" ", F.lit("INR"), money(), F.when(F.col("dr"), "Dr").otherwise("Cr"), F.lit("INR"), money("bal")), F.lit("Statement Summary 12"))
+    own = F.when(BARE(), "").when(F.col("dr"), " Dr").otherwise(" Cr")
+    return lines(tx, F.concat_ws(" ", day("MMM d, yyyy"), "narr"), F.concat(F.lit("INR "), money(), own, F.lit(" INR "), BALANCE()), F.lit("Statement Summary 12"))
 
 
 @layout("sbi_3", expected(n1="CASE WHEN dr THEN 'TO ' ELSE 'BY ' END || narr", n2="'UPI/' || CASE WHEN dr THEN 'DR/' ELSE 'CR/' END || k", bal="abs(bal)"))

@@ -52,14 +52,17 @@ def scratch_root(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    by: columns that the table's folders are laid out by, so that a filter on them reads those folders only.
+    """
     spark = df.sparkSession
     path = os.path.join(scratch_root(spark), f"tallybook-{name}-{uuid.uuid4().hex}")
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from email.utils import getaddresses, parsedate_to_datetime
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.operators.relational import one_per_key
@@ -21,10 +21,18 @@ def csv_lower(spark: SparkSession, path: str, separator: str = ",") -> DataFrame
 
 def header_row(rows: DataFrame, seq: str, cells: str, words: list[str], first: int = 15) -> DataFrame:
     """The first of the first rows whose cells name all words, else row 0: one row with `seq`."""
+    return rows.where(F.col(seq) < first).agg(F.coalesce(F.min(F.when(_names_all(cells, words), F.col(seq))), F.lit(0)).alias(seq))
+
+
+def header_rows(rows: DataFrame, key: str, seq: str, cells: str, words: list[str], first: int = 15) -> DataFrame:
+    """header_row() of every sheet (key) at once: key and `seq`."""
+    return rows.where(F.col(seq) < first).groupBy(key).agg(F.coalesce(F.min(F.when(_names_all(cells, words), F.col(seq))), F.lit(0)).alias(seq))
+
+
+def _names_all(cells: str, words: list[str]) -> Column:
     lowered = F.transform(cells, lambda c: F.lower(F.coalesce(c, F.lit(""))))
     has = lambda w: F.exists(lowered, lambda c: F.contains(c, F.lit(w)))
-    hit = reduce(lambda a, b: a & b, map(has, words), F.lit(True))
-    return rows.where(F.col(seq) < first).agg(F.coalesce(F.min(F.when(hit, F.col(seq))), F.lit(0)).alias(seq))
+    return reduce(lambda a, b: a & b, map(has, words), F.lit(True))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:

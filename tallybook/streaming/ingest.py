@@ -48,3 +48,29 @@ def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: st
 def deduplicated_stream(stream: DataFrame, keys: list[str], time: str, late: str = "2 days") -> DataFrame:
     """Drop repeats of a key that come within the watermark; state is bounded by it."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
+#: State that outgrows an executor's memory lies in files beside it.
+_STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def ingest_keyed(spark: SparkSession, source: str, schema, target: str, checkpoint: str, keys: list[str], time: str, files_per_batch: int = 1) -> DataFrame:
+    """Read all files that are there as a stream into the target, one row for each fiscal year and key; returns the target.
+
+    The keys that came before are the stream's state, by fiscal year and key in a state store: a batch costs what it brings, however large the target is. The
+    first delivered row of a key counts, of one batch any. A batch that is run again and files that come again change nothing, also after a restart
+    from the same checkpoint; the target's own log makes the files of a batch count once.
+    """
+    before = spark.conf.get(_STATE_STORE[0], None)
+    spark.conf.set(*_STATE_STORE)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+        fresh = stream.withColumn("fy", fy_of(F.to_date(time))).dropDuplicates(["fy", *keys])
+        query = fresh.writeStream.format("parquet").partitionBy("fy").option("path", target).option("checkpointLocation", os.path.join(checkpoint, "keyed")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(_STATE_STORE[0])
+        else:
+            spark.conf.set(_STATE_STORE[0], before)
+    return spark.read.parquet(target)
