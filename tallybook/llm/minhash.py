@@ -12,8 +12,9 @@ into all its pairs while it holds together, and no pair of a bucket that could j
 
 Members of a bucket that no link joins would still meet each other all. Two exact bounds keep them apart. A shingle
 that one document alone has, of those still in question, is in no intersection; so documents with c and d other shingles
-have at most min(c, d) in common. And an odd sketch (each shingle flips one of SKETCH_BITS bits) differs in at most as
-many bits as the sets differ in shingles, which bounds what they have in common from above, too.
+have at most min(c, d) in common. And an odd sketch (each shingle flips one of its bits) differs in at most as
+many bits as the sets differ in shingles, which bounds what they have in common from above, too. Every set has a sketch of SKETCH_BITS
+bits; one of more than WIDE shingles has another of twice as many bits as shingles at least, as a short sketch of a long text tells nothing.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ BANDS, ROWS = 32, 4
 SHINGLE_WORDS, PER_CENT = 5, 75
 #: Centres of a bucket in round r: about GROWTH**r, so a bucket of 65,536 members takes four rounds at most.
 GROWTH = 16
-SKETCH_BITS = 1024
-#: Pairs of one centre that a task checks at least before they are dealt to several, and hot centres at most.
-CHUNK, HOT = 256, 10_000
+SKETCH_BITS, WIDE = 1024, 512
+#: Pairs of one document that a task checks at least before they are dealt to several, and documents with so many at most.
+CHUNK, HOT = 256, 20_000
+#: Members of a bucket that one task compares with its centres.
+PART = 4096
 
 _SIGMA = np.uint64(0x5851F42D4C957F2D)
 _PI1, _PI2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -80,17 +83,28 @@ def band_keys(coordinates: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
     return keys.view(np.int64)
 
 
-def odd_sketch(shingles: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS bits as 64-bit numbers: for each place whether an odd number of shingles falls on it."""
-    place = (shingles >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
-    return np.packbits(np.bincount(place, minlength=SKETCH_BITS).astype(np.uint8) & 1).view(np.int64)
+def odd_sketch(shingles: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """`bits` bits (a power of 2, 64 at least) as 64-bit numbers: for each place whether an odd number of shingles falls on it.
+
+    A shingle's place is its lowest bits, so half a sketch xor its other half is the sketch of half as many bits.
+    """
+    place = (shingles & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
+def wide_sketch(shingles: np.ndarray) -> np.ndarray | None:
+    return odd_sketch(shingles, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) > WIDE else None
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
 
 
 def signature_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, n (shingles), two order-free sums of the set, its odd sketch and the band keys (none for an empty set)."""
+    """id, n (shingles), two order-free sums of the set, its odd sketches (wide: of long texts only) and the band keys (none for an empty set)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, one, two, odd, bands = [], [], [], [], []
+        sizes, one, two, odd, wide, bands = [], [], [], [], [], []
         for _, _, data, offsets in slices(batch.column(1)):
             sets = shingle_sets(data, offsets, SHINGLE_WORDS)
             full = [s for s in sets if len(s)]
@@ -100,34 +114,70 @@ def signature_table(docs: DataFrame, key: str, text: str) -> DataFrame:
                 one.append(int(s.sum().view(np.int64)) if len(s) else 0)
                 two.append(int(mix(s).sum().view(np.int64)) if len(s) else 0)
                 odd.append(odd_sketch(s))
+                wide.append(wide_sketch(s))
                 bands.append(next(keys) if len(s) else np.zeros(0, np.int64))
         return pa.record_batch(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
-            names=["id", "n", "one", "two", "odd", "bands"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
+            names=["id", "n", "one", "two", "odd", "wide", "bands"],
         )
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    return map_batches(rows, run, f"id {docs.schema[key].dataType.simpleString()}, n long, one long, two long, odd array<long>, bands array<long>")
+    return map_batches(rows, run, f"id {docs.schema[key].dataType.simpleString()}, n long, one long, two long, odd array<long>, wide array<long>, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose full shingle sets have 100 * intersection >= 75 * union.
+def with_both(pairs: DataFrame, rows: DataFrame, total: int) -> DataFrame:
+    """pairs (a, b) with the value of either end: a, b, value_a, value_b; rows: id, value, one for each id.
 
-    A centre is the a of many pairs. Those of a hot one are dealt to parts by b, and its text is sent to each part: a centre is
-    hot beyond CHUNK pairs and beyond 1 / HOT of all pairs, so there are HOT hot ones at most, which are broadcast.
+    Either end can be that of very many pairs. Those of a hot one are dealt to parts by their other end, and its value is sent to each part: an end is
+    hot beyond CHUNK pairs and beyond 2 / HOT of all `total` pairs, so there are HOT hot ones at most, which are broadcast.
     """
+    limit = max(CHUNK, -(-2 * total // HOT))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") > limit)
+    hot = written(ends.select("id", F.ceil(F.col("pairs") / limit).cast("int").alias("parts")), "hot")
+    dealt = pairs.select("a", "b")
+    for end, other in (("b", "a"), ("a", "b")):
+        # The parts of a pair are settled before any value is joined, as values are wide.
+        dealt = dealt.join(F.broadcast(hot.withColumnRenamed("id", end)), end, "left").withColumn(f"part_{end}", F.coalesce(F.pmod(F.xxhash64(other), "parts").cast("int"), F.lit(0))).drop("parts")
+    for end in ("b", "a"):
+        each = rows.select(F.col("id").alias(end), F.col("value").alias(f"value_{end}")).join(F.broadcast(hot.withColumnRenamed("id", end)), end, "left")
+        each = each.withColumn(f"part_{end}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        dealt = dealt.join(each, [end, f"part_{end}"])
+    return dealt.select("a", "b", "value_a", "value_b")
+
+
+def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """pairs (a, b, n, m: sizes) without those whose wide sketches prove that they are no link; pairs with a set of WIDE shingles or fewer stay."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    long = (F.col("n") > WIDE) & (F.col("m") > WIDE)
+    large = written(pairs.where(long).select("a", "b"), "large")
+    total = large.count()
+    if not total:
+        return pairs.select("a", "b")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            (n, s), (m, t) = ((v["n"].as_py(), v["wide"].values.to_numpy()) for v in (x, y))
+            if not n or not m:  # an id of several sets
+                keep.append(True)
+                continue
+            size = min(len(s), len(t))
+            apart = int(np.bitwise_count((folded(s, size) ^ folded(t, size)).view(np.uint64)).sum())
+            most = (n + m - apart) // 2
+            keep.append(100 * most >= PER_CENT * (n + m - most))
+        return pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = with_both(large, sketches.select("id", F.struct("n", "wide").alias("value")), total)
+    return pairs.where(~long).select("a", "b").unionByName(map_batches(both, run, f"a {kind}, b {kind}"))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose full shingle sets have 100 * intersection >= 75 * union."""
     kind = pairs.schema["a"].dataType.simpleString()
     total = pairs.count()
     if not total:
         return pairs.select("a", "b")
-    limit = max(CHUNK, total // HOT)
-    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") > limit)
-    hot = F.broadcast(hot.select("a", F.ceil(F.col("pairs") / limit).cast("int").alias("parts")))
-    left = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    right = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(hot, "a", "left")
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    dealt = pairs.join(hot, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), "parts").cast("int"), F.lit(0))).drop("parts")
-    both = dealt.join(left, "b").join(right, ["a", "part"]).select("a", "b", "text_a", "text_b")
+    both = with_both(pairs, texts.select("id", F.col("text").alias("value")), total)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sides = []
@@ -181,6 +231,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).where("size > 1")
     members = written(banded.join(sizes.drop("size"), "bucket"), "buckets")
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(members.select("id").distinct(), "id", "left_semi")
+    # Of rows that share an id any text will do where they are one set; others were never in question by that id alone.
+    texts = written(texts, "texts")
 
     first = members.where("id <> least").groupBy("id").agg(F.min(F.col("least")).alias("a")).select("a", F.col("id").alias("b"))
     checked = written(first, "pairs")
@@ -189,10 +241,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = written(confirmed(checked, texts).unionByName(shared), "links")
     found = written(components(links), "components")
     open_ = written(_torn(members, found), "open")
-    alone = shared_shingles(texts.join(open_.select("id").distinct(), "id", "left_semi"))
+    # The bounds are those of a set; an id that several sets share is never kept apart by them.
+    several = written(mine.groupBy("id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("id"), "several")
+    alone = shared_shingles(texts.join(open_.select("id").distinct(), "id", "left_semi")).join(several, "id", "left_anti")
     open_ = open_.join(alone, "id", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).where(100 * F.col("c") >= PER_CENT * F.col("n"))
     words = [f"w{i}" for i in range(SKETCH_BITS // 64)]
-    sketch = mine.groupBy("id").agg(F.first("odd").alias("odd")).select("id", *(F.col("odd")[i].alias(w) for i, w in enumerate(words)))
+    sketch = mine.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.first("odd")).alias("odd")).select("id", *(F.col("odd")[i].alias(w) for i, w in enumerate(words)))
+    sketches = written(mine.where("wide is not null").join(open_.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"), F.first("wide").alias("wide")), "sketches")
+    sketches = sketches.join(several.withColumn("_any", F.lit(True)), "id", "left").select("id", F.when(F.col("_any"), 0).otherwise(F.col("n")).alias("n"), "wide")
     members = written(open_.select("bucket", "id", "n", "c").join(sketch, "id"), "buckets")
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_"))) for w in words), F.lit(0))
     most = F.least("c", "d", F.floor((F.col("n") + F.col("m") - apart) / 2))
@@ -202,13 +258,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         rounds += 1
         # A fixed place of each member in [0, 1): centres are the lowest ones, all members once GROWTH**rounds reaches the size.
         place = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-        centres = open_.where(place * F.col("size") < float(GROWTH**rounds)).select("bucket", F.col("id").alias("centre"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other"), *(F.col(w).alias(f"{w}_") for w in words))
-        pairs = open_.join(centres, "bucket").where(possible & (F.col("component") != F.col("other"))).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        # A large bucket's members are dealt to parts, each of which meets all its centres.
+        parts = F.ceil(F.col("size") / PART).cast("int")
+        centres = open_.where(place * F.col("size") < float(GROWTH**rounds)).select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("centre"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other"), *(F.col(w).alias(f"{w}_") for w in words))
+        ends = [F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m")]
+        met = open_.withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), parts).cast("int")).join(centres, ["bucket", "part"]).where(possible & (F.col("component") != F.col("other")))
+        met = written(met.select(*ends).distinct().join(checked, ["a", "b"], "left_anti"), "met")
+        pairs = written(bounded(met, sketches), "pairs")
+        checked = checked.unionByName(met.select("a", "b"))
         fresh = None if pairs.isEmpty() else written(confirmed(pairs, texts), "links")
         more = not open_.where(F.col("size") > float(GROWTH**rounds)).isEmpty()
         if fresh is not None:
-            checked = checked.unionByName(pairs)
             if not fresh.isEmpty():
                 found = written(joined(found, fresh), "components")
                 open_ = written(_torn(members, found), "open") if more else open_

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -102,6 +103,56 @@ def test_hot_centres_are_dealt_to_parts(spark, monkeypatch):
     check(spark, [(i, " ".join(words[:30] + [f"u{i}"] + words[31:])) for i in range(70)] + [(100 + i, f"x{i} y z a b c") for i in range(20)])
 
 
+def test_hot_ends_on_both_sides_are_dealt(spark, monkeypatch):
+    """One document is the b of very many pairs, another the a of many; no task gets all pairs of either."""
+    monkeypatch.setattr(minhash, "CHUNK", 64)
+    rows = spark.range(6000).selectExpr("id", "concat('v', id) as value")
+    pairs = spark.range(5000).selectExpr("id as a", "5999L as b").unionByName(spark.range(1, 1000).selectExpr("0L as a", "id as b")).distinct()
+    out = minhash.with_both(pairs, rows, pairs.count())
+    assert out.where("value_a = concat('v', a) and value_b = concat('v', b)").count() == out.count() == pairs.count() == out.select("a", "b").distinct().count()
+    keys = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "SortMergeJoin" in line or "Exchange hashpartitioning" in line]
+    assert any("part_b" in k for k in keys) and any("part_a" in k for k in keys)
+
+
+def test_long_texts_that_share_buckets_are_kept_apart_without_their_texts(spark, monkeypatch):
+    """Similarity 0.33 in 4,000 words: nearly all pairs share a bucket, and hardly any of them is compared by its texts."""
+    checked = []
+    real = minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, texts: (checked.append(pairs.count()), real(pairs, texts))[1])
+    common = [f"c{i}" for i in range(2000)]
+    rows = [(i, " ".join(common + [f"u{i}_{k}" for k in range(2000)])) for i in range(80)]
+    rows += [(200, rows[3][1] + " more words at the end of it"), (201, " ".join(common[:600])), (202, " ".join(common[:500]))]
+    check(spark, rows)
+    assert sum(checked) < 83 * 82 / 2 / 10
+
+
+def test_wide_sketches_bound_differences():
+    rng = np.random.default_rng(4)
+    for n, m in ((600, 600), (600, 5000), (4000, 4100)):
+        common = rng.integers(0, 1 << 63, n // 2, np.uint64)
+        s, t = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, k - n // 2, np.uint64)])) for k in (n, m))
+        a, b = minhash.wide_sketch(s), minhash.wide_sketch(t)
+        size = min(len(a), len(b))
+        apart = int(np.bitwise_count((minhash.folded(a, size) ^ minhash.folded(b, size)).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(s, t)) and (n != m or apart > 0.5 * len(np.setxor1d(s, t)))
+        assert (minhash.folded(a, size) == minhash.odd_sketch(s, size * 64)).all()
+    assert minhash.wide_sketch(s[: minhash.WIDE]) is None
+
+
+def test_an_id_of_several_long_sets(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "WIDE", 8)
+    one, two = ([f"{w}{i}" for i in range(60)] for w in "ab")
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(one[:55])), (3, " ".join(two[:56])), (4, " ".join(f"z{i}" for i in range(50)))]
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert out == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_large_buckets_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART", 16)
+    words = [f"t{i}" for i in range(60)]
+    check(spark, [(i, " ".join(words[:30] + [f"u{i}"] + words[31:])) for i in range(70)] + [(100 + i, " ".join(words[:20] + [f"y{i}_{k}" for k in range(12)])) for i in range(60)])
+
+
 def test_empty_null_keys_and_repeats(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     out = minhash.near_duplicates(frame(spark, [(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")])).collect()
