@@ -24,7 +24,7 @@ class Cells:
     """A table layout. at: for each width the places of date, narration, reference, withdrawal, deposit and balance (None: absent).
 
     side: `columns`; `delta` (one amount, by the balance); `sign` (one amount, Dr is a withdrawal); `tag` (Cr or Dr in the amount, else the
-    balance's change). joined: what is put between a row and rows without a date after it; None leaves those out. cut: characters
+    balance's change); `spilled`, `repaired` and `rescued`: see cell_statement(). joined: what is put between a row and rows without a date after it; None leaves those out. cut: characters
     of the first narration; between: what stands before the reference in the second.
     """
 
@@ -39,6 +39,7 @@ class Cells:
     dates: str = ""
     distinct: bool = False
     tolerance: float = 0.05
+    split_dates: bool = False
 
 
 @dataclass(frozen=True)
@@ -105,7 +106,7 @@ LAYOUTS: dict[str, Cells | Lines | Blocks] = {
     "kotak_2": Cells("KOTAK", {6: (0, 1, 2, 3, 4, 5)}, side="spilled", cut=0),
     "sbi_2": Cells("SBI Bank", {6: (0, 1, 2, 3, 4, 5)}, joined=" ", cut=0),
     "pnb_1": Cells("PNB", {6: (0, 5, 1, 2, 3, 4)}, side="repaired", joined=" ", cut=0, skip=_OPENING),
-    "spcb_1": Cells("SPCB", {6: (0, 1, 2, 3, 4, 5)}, side="repaired", joined=" "),
+    "spcb_1": Cells("SPCB", {6: (0, 1, 2, 3, 4, 5)}, side="rescued", joined=" ", split_dates=True),
     "indian_1": Cells("INDIAN", {5: (0, 1, None, 2, 3, 4)}, joined=" ", cut=0, distinct=True),
     "union_1": Cells("UNION", {6: (1, 3, None, 4, None, 5)}, side="tag", skip=_OPENING, distinct=True),
     "union_text": Lines("UNION", rf"(?i)^\s*\d{{1,4}}\s+({_DMY})\s+[A-Z0-9]+\s+(.+?)\s+({_DECIMALS})\s+\((Cr|Dr)\)\s+({_DECIMALS}\s+\((?:Cr|Dr)\))\s*$", ("amount", "tag", "balance")),
@@ -172,6 +173,7 @@ def statement(name: str, rows: DataFrame) -> DataFrame:
     Rows and lines that fit nothing are left out; an amount that is missing is 0, a balance that is not printed null.
     """
     layout = LAYOUTS[name]
+    rows = with_years(rows) if name == "sbi_3" else rows
     return {Cells: cell_statement, Lines: line_statement, Blocks: block_statement}[type(layout)](rows, layout)
 
 
@@ -188,6 +190,16 @@ def _signed(text: Column) -> Column:
     return parse_money(F.regexp_replace(text, r"\(\s*((?i)cr|dr)\s*\)", "$1"))
 
 
+def likely_amount(cell: Column, change: Column, tolerance: float = 0.005) -> Column:
+    """Of the numbers in a cell the one that the balance's change agrees with, else the last with decimals, the last with separators, the last of four digits or fewer."""
+    healed = F.regexp_replace(F.regexp_replace(cell, r"(\d)\s*,\s*(\d{3})", "$1,$2"), r"(\d)\s*\.\s*(\d{2})\b", "$1.$2")
+    every = lambda pattern: F.transform(F.regexp_extract_all(healed, F.lit(pattern), F.lit(0)), lambda t: F.regexp_replace(t, ",", "").try_cast("decimal(18,2)"))
+    numbers = every(r"\d[\d,]*(?:\.\d+)?")
+    agreeing = F.filter(numbers, lambda v: F.abs(v - F.abs(change)) <= tolerance)
+    last = lambda pattern: F.try_element_at(every(pattern), F.lit(-1))
+    return F.coalesce(F.get(agreeing, 0), last(r"(?<![\d.,])\d[\d,]*\.\d+"), last(r"(?<![\d.,])\d{1,3}(?:,\d{2,3})+(?![\d.])"), last(r"(?<![\d.,])\d{1,4}(?![\d.,])"))
+
+
 def _filled(rows: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("decimal(18,2)")
     return rows.withColumns({"withdrawal": F.coalesce("withdrawal", zero), "deposit": F.coalesce("deposit", zero)}).select("file", "seq", "txn_date", "narration1", "narration2", "withdrawal", "deposit", "balance")
@@ -201,13 +213,22 @@ def _narrations(narration: Column, reference: Column, cut: int, between: str) ->
 
 
 def cell_statement(rows: DataFrame, layout: Cells) -> DataFrame:
-    """Rows of cells in order of seq; a file's rows may have any of the layout's widths."""
+    """Rows of cells in order of seq; a file's rows may have any of the layout's widths.
+
+    spilled: an amount that slid into the reference is a withdrawal. repaired: one amount on the side that the balance contradicts changes
+    sides; without any, the change of the balance is the amount. rescued: the same, and of several numbers in an amount's cell the one that the balance agrees
+    with counts. split_dates: a day and month whose year stands in the row below are one date.
+    """
     get = lambda i: F.get("cells", i) if i is not None else F.lit(None).cast("string")
     width = F.size("cells")
     place = lambda k: reduce(lambda out, it: F.when(width == it[0], get(it[1][k])).otherwise(out), layout.at.items(), F.lit(None).cast("string"))
     names = ["date", "narration", "reference", "out", "in", "end"]
     parts = rows.where(width.isin(list(layout.at))).select("file", "seq", *(strip(F.coalesce(place(k), F.lit(""))).alias(n) for k, n in enumerate(names)))
     parts = parts.where(reduce(lambda a, b: a | b, (F.col(n) != "" for n in names)))
+    if layout.split_dates:
+        day, year = r"^\d{1,2}-([A-Za-z]{3}|\d{1,2})-$", r"^\d{4}$"
+        below, above = F.lead("date").over(_order()), F.lag("date").over(_order())
+        parts = parts.withColumn("date", F.when(F.col("date").rlike(day) & below.rlike(year), F.concat("date", below)).when(F.col("date").rlike(year) & above.rlike(day), F.lit("")).otherwise(F.col("date")))
     dated = parse_date(F.col("date")).isNotNull() & (F.col("date").rlike(f"^{layout.dates}$") if layout.dates else F.lit(True))
     if layout.joined is None:
         parts = parts.where(dated)
@@ -238,9 +259,13 @@ def cell_statement(rows: DataFrame, layout: Cells) -> DataFrame:
     elif layout.side == "spilled":  # an amount that slid into the reference belongs to the withdrawals
         slid = (F.col("out") == "") & F.col("reference").rlike(rf"^-?{_DECIMALS}$")
         parts = parts.withColumns({"withdrawal": F.when(slid, _amount(F.col("reference"))).otherwise(out), "deposit": in_, "narration2": F.when(slid, F.lit("")).otherwise(F.col("narration2"))})
-    elif layout.side == "repaired":  # one amount on the side that the balance contradicts changes sides; without any, the change is the amount
-        w, d = F.coalesce(out, F.lit(0)), F.coalesce(in_, F.lit(0))
+    elif layout.side in ("repaired", "rescued"):
         known = F.when(before.isNotNull(), F.col("balance") - before)
+        if layout.side == "rescued":
+            parts = parts.withColumn("_known", known)
+            known = F.col("_known")
+            out, in_ = likely_amount(F.col("out"), known), likely_amount(F.col("in"), known)
+        w, d = F.coalesce(out, F.lit(0)), F.coalesce(in_, F.lit(0))
         wrong = ((known > 0) & (w > 0) & (d == 0)) | ((known < 0) & (d > 0) & (w == 0))
         none = (w == 0) & (d == 0)
         kind = "decimal(18,2)"
@@ -324,6 +349,37 @@ def block_statement(lines: DataFrame, layout: Blocks) -> DataFrame:
     return _filled(found.select("file", "seq", parse_date(date).alias("txn_date"), *(c.alias(k) for k, c in named.items()), F.when(F.col("_side") == "debit", F.col("_amount")).alias("withdrawal"), F.when(F.col("_side") == "credit", F.col("_amount")).alias("deposit"), "balance").where("txn_date is not null"))
 
 
+_MONTHS = {m: i for i, m in enumerate("JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split(), 1)}
+# A period that a statement prints, and lines whose dates have no year.
+PRINTED_PERIOD = r"(?i)Account Statement from .*?([A-Za-z]{3})[a-z]* (\d{4}).*?to .*?\d{4}"
+SHORT_DATES = r"^(\d{1,2}) ([A-Za-z]{3}) (\d{1,2}) ([A-Za-z]{3}) (?!\d{4}\b)(.+)$"
+FULL_DATES = r"^\d{1,2} ([A-Za-z]{3}) (\d{4})\b"
+
+
+def with_years(lines: DataFrame) -> DataFrame:
+    """Lines (file, seq, line) whose two short dates (10 Apr 11 Apr ...) got their years.
+
+    The year is carried along a file: from the period that its head prints, one more whenever the month falls back, and anew from every line with a whole
+    date. A value date more than half a year away from its entry is in the year beside. Years that stand before a line that goes on are dropped;
+    files without any year keep their lines.
+    """
+    month = lambda c: F.try_element_at(F.create_map(*(F.lit(x) for pair in _MONTHS.items() for x in pair)), F.upper(c))
+    part = lambda p, i: F.nullif(F.regexp_extract("line", p, i), F.lit(""))
+    lines = lines.withColumn("line", F.regexp_replace(collapse(F.col("line")), r"^20\d{2} 20\d{2} ", ""))
+    lines = lines.withColumns({"_m": F.coalesce(month(part(SHORT_DATES, 2)), month(part(FULL_DATES, 1))), "_full": part(FULL_DATES, 2).try_cast("int"), "_head_m": month(part(PRINTED_PERIOD, 1)), "_head_y": part(PRINTED_PERIOD, 2).try_cast("int")})
+    so_far = _order().rowsBetween(Window.unboundedPreceding, 0)
+    earlier = F.last("_m", ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.withColumn("_turn", F.coalesce((F.col("_m") < earlier).cast("int"), F.lit(0)))
+    lines = lines.withColumn("_turns", F.sum("_turn").over(so_far))
+    base = F.last(F.col("_full") - F.col("_turns"), ignorenulls=True).over(so_far)
+    first, head_m, head_y = (F.first(c, ignorenulls=True).over(so_far) for c in ("_m", "_head_m", "_head_y"))
+    year = F.col("_turns") + F.coalesce(base, head_y + (first < head_m).cast("int"))
+    lines = lines.withColumns({"_y": year, "_vm": month(part(SHORT_DATES, 4))})
+    beside = F.col("_y") + F.when(F.col("_vm") - F.col("_m") > 6, -1).when(F.col("_m") - F.col("_vm") > 6, 1).otherwise(0)
+    whole = F.concat_ws(" ", part(SHORT_DATES, 1), part(SHORT_DATES, 2), F.col("_y").cast("string"), part(SHORT_DATES, 3), part(SHORT_DATES, 4), beside.cast("string"), part(SHORT_DATES, 5))
+    return lines.withColumn("line", F.when(F.col("_vm").isNotNull() & F.col("_y").isNotNull(), whole).otherwise(F.col("line"))).select("file", "seq", "line")
+
+
 def keyword_rows(rows: DataFrame, words: list[str], least: int = 3) -> DataFrame:
     """file, seq and word of rows of at least so many cells that name one of the words, the first of those it names."""
     text = F.lower(F.array_join("cells", " "))

@@ -115,6 +115,23 @@ def mailbox_totals(outcomes: DataFrame) -> DataFrame:
     return sums.withColumn("mailbox", F.when(F.col("_all") == 1, "all").otherwise(F.col("mailbox"))).drop("_all")
 
 
+def month_summary(status: DataFrame, group: str, key: str, months: list[str], value: str = "status") -> DataFrame:
+    """One row for each key with a column for each month, and the spans in which a sheet would merge equal cells.
+
+    status: group, key, month (one of months) and value. group_rows is the number of a group's rows on its first row (the least key) and 0 on others; runs has
+    (value, span) of equal neighbours from left to right, a missing month being a value null. The months are given, so nothing is read to learn them; a
+    group's size comes from counts, not from gathering its rows.
+    """
+    wide = status.groupBy(group, key).pivot("month", months).agg(F.max(value))
+    cells = F.array(*(F.col(m) for m in months))
+    starts = F.filter(F.sequence(F.lit(0), F.lit(len(months) - 1)), lambda i: (i == 0) | ~F.get("_cells", i).eqNullSafe(F.get("_cells", i - 1)))
+    runs = F.transform("_starts", lambda s, n: F.struct(F.get("_cells", s).alias("value"), (F.coalesce(F.get("_starts", n + 1), F.lit(len(months))) - s).alias("span")))
+    wide = wide.withColumn("_cells", cells).withColumn("_starts", starts).withColumn("runs", runs).drop("_cells", "_starts")
+    sizes = wide.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"), F.min(key).alias("_first")).withColumnRenamed(group, "_group")
+    out = wide.join(sizes, F.col(group).eqNullSafe(F.col("_group")))
+    return out.select(group, key, F.when(F.col(key) == F.col("_first"), F.col("_rows")).otherwise(0).alias("group_rows"), *months, "runs")
+
+
 def preview(rows: DataFrame, key: str, seq: str, n: int) -> DataFrame:
     """The first n rows of each sheet, every cell as text and null as empty; Spark keeps n rows of a key before the shuffle."""
     head = F.row_number().over(Window.partitionBy(key).orderBy(seq))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions import fiscal
 from tallybook.operators import intervals as I
+from tallybook.operators import office as O
 from tallybook.plans.fixtures import ACCOUNTS, DENSE, ENTRIES, HIGH, LOW, accounts, clamped_sql, day, dense, entries, fy_sql, gaps_sql, islands_sql
 from tallybook.session import table
 
@@ -113,6 +114,31 @@ def month_status_matrix(spark, sf):
     return I.month_status(entries(spark, sf), accounts(spark, sf), ["account_id"], low(), high(), F.col("done_date").isNotNull())
 
 
+MONTHS = [f"{y}-{m:02d}" for y, m in [*((1997, m) for m in range(4, 13)), *((1998, m) for m in range(1, 4))]]
+
+
+def report_month_summary(spark, sf):
+    """The window's months side by side for each account, accounts under their group, with the spans of equal cells as value*span."""
+    grid = month_status_matrix(spark, sf).select("account_id", F.date_format("month_start", "yyyy-MM").alias("month"), "status")
+    grid = grid.join(accounts(spark, sf).select("account_id", "group_id"), "account_id")
+    out = O.month_summary(grid, "group_id", "account_id", MONTHS)
+    runs = F.array_join(F.transform("runs", lambda r: F.concat(r["value"], F.lit("*"), r["span"].cast("string"))), ",")
+    return out.select("group_id", "account_id", F.col("group_rows").cast("long").alias("group_rows"), *(F.col(m).alias(f"m{m.replace('-', '_')}") for m in MONTHS), runs.alias("runs"))
+
+
+QUERIES["report_month_summary"] = report_month_summary
+ORACLES["report_month_summary"] = f"""
+WITH m AS ({ORACLES['month_status_matrix']}), {ACCOUNTS},
+g AS (SELECT m.*, strftime(month_start, '%Y-%m') AS month, lag(status) OVER (PARTITION BY account_id ORDER BY month_start) IS DISTINCT FROM status AS new FROM m),
+r AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY account_id ORDER BY month_start ROWS UNBOUNDED PRECEDING) AS run FROM g),
+s AS (SELECT account_id, run, any_value(status) || '*' || count(*) AS part FROM r GROUP BY account_id, run),
+j AS (SELECT account_id, string_agg(part, ',' ORDER BY run) AS runs FROM s GROUP BY account_id),
+p AS (SELECT account_id, {', '.join(f"max(CASE WHEN month = '{m}' THEN status END) AS m{m.replace('-', '_')}" for m in MONTHS)} FROM g GROUP BY account_id)
+SELECT group_id, p.account_id, CAST(CASE WHEN p.account_id = min(p.account_id) OVER (PARTITION BY group_id) THEN count(*) OVER (PARTITION BY group_id) ELSE 0 END AS BIGINT) AS group_rows, p.* EXCLUDE (account_id), runs
+FROM p JOIN j ON j.account_id = p.account_id JOIN accounts a ON a.account_id = p.account_id
+"""
+
+
 @query(f"""WITH {ENTRIES}, {ACCOUNTS}, {clamped_sql('entries', 'account_id')},
 months AS (SELECT unnest(generate_series(DATE '{LOW}', DATE '{HIGH}', INTERVAL 1 MONTH))::DATE AS month_start),
 touched AS (SELECT DISTINCT account_id, unnest(generate_series(date_trunc('month', from_date), date_trunc('month', last_date), INTERVAL 1 MONTH))::DATE AS month_start FROM clamped),

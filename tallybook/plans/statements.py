@@ -208,8 +208,12 @@ def _(tx):
 
 @layout("spcb_1", expected(**cut()))
 def _(tx):
-    blank = (F.col("k") % 7 == 0) & (F.col("n") > 1)
-    return cells(tx, [day("dd-MMM-yyyy"), F.col("narr"), F.col("ref"), F.when(~blank, OUT()).otherwise(""), F.when(~blank, IN()).otherwise(""), BALANCE()])
+    """Amounts left out, amounts behind a number that slid into their cell, and dates whose year stands a line lower."""
+    later, split = F.col("n") > 1, F.col("k") % 3 == 0
+    blank, slid = (F.col("k") % 7 == 0) & later, (F.col("k") % 4 == 1) & later
+    shown = lambda c: F.when(blank, "").when(slid & (c != ""), F.concat(F.lit("191101.00 "), c, F.lit(" 7"))).otherwise(c)
+    date = F.when(split, day("dd-MMM-")).otherwise(day("dd-MMM-yyyy"))
+    return cells(tx, [date, F.col("narr"), F.col("ref"), shown(OUT()), shown(IN()), BALANCE()], (split, [day("yyyy"), "", "", "", "", ""]))
 
 
 @layout("indian_1", expected(n2="''"))
@@ -269,9 +273,17 @@ def _(tx):
 
 @layout("sbi_3", expected(n1="CASE WHEN dr THEN 'TO ' ELSE 'BY ' END || narr", n2="'UPI/' || CASE WHEN dr THEN 'DR/' ELSE 'CR/' END || k", bal="abs(bal)"))
 def _(tx):
+    """Every second file prints dates without a year wherever the period at its head and the turns of the calendar tell it."""
     said = F.when(F.col("dr"), "TO").otherwise("BY")
     upi = F.concat(F.lit("UPI/"), F.when(F.col("dr"), "DR/").otherwise("CR/"), F.col("k").cast("string"))
-    return lines(tx, F.concat_ws(" ", day("d MMM yyyy"), day("d MMM yyyy"), said, "narr", upi), F.concat_ws(" ", money(), money("bal")), F.lit("Txn Date Value Date"))
+    before = F.lag("d").over(Window.partitionBy("file").orderBy("n"))
+    turns = F.year("d") - F.year(before)
+    plain = before.isNull() | ((turns == 0) & (F.month("d") >= F.month(before))) | ((turns == 1) & (F.month("d") < F.month(before)))
+    short = plain & (F.col("file") % 2 == 0)
+    tx = tx.withColumn("short", short)
+    date = F.when(F.col("short"), F.concat_ws(" ", day("d MMM"), day("d MMM"))).otherwise(F.concat_ws(" ", day("d MMM yyyy"), day("d MMM yyyy")))
+    head = F.concat(F.lit("Account Statement from "), day("d MMM yyyy"), F.lit(" to 31 Dec 2009"))
+    return lines(tx, (F.col("n") == 1, head), F.concat_ws(" ", date, said, "narr", upi), F.concat_ws(" ", F.when(F.col("k") % 2 == 0, "2025 2025"), money(), money("bal")), F.lit("Txn Date Value Date"))
 
 
 @layout("spcb_3", expected(n1="trim(left(narr, 85))", n2="trim(substr(narr, 86))", day="make_date(2000 + year(d) % 100, month(d), day(d))"))

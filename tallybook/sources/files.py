@@ -15,10 +15,33 @@ from pyspark.sql import functions as F
 OUTCOME = "path string, done boolean, reason string"
 
 
+LISTED = "path string, name string, size long, modified timestamp"
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, size and modified of every file below a folder; no content is read. Local paths are written with three slashes, like others with a host."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return found.select(F.regexp_replace("path", "^file:/(?!/)", "file:///").alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    """path, name, size and modified of every file below a folder, empty ones too; no content is read, a folder that is not there has no rows.
+
+    The driver looks at the folder's own entries only; what is below each of them is listed by tasks.
+    """
+    from pyarrow import fs
+
+    system, root = opened(path)
+    before = path[: len(path) - len(root)]
+    entries = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    folders = spark.createDataFrame([(before + e.path,) for e in entries] or [(before + root + "/",)], "path string")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for place in frame["path"]:
+                system, at = opened(place)
+                here = system.get_file_info(at.rstrip("/"))
+                found = [here] if here.is_file else system.get_file_info(fs.FileSelector(at.rstrip("/"), recursive=True, allow_not_found=True))
+                rows = [(before + f.path, f.base_name, f.size, f.mtime) for f in found if f.is_file]
+                out = pd.DataFrame(rows, columns=["path", "name", "size", "modified"])
+                out["modified"] = pd.to_datetime(out["modified"], utc=True)
+                yield out
+
+    return folders.repartition(max(1, min(len(entries), 1024)), "path").mapInPandas(run, LISTED)
 
 
 def first_existing(candidates: DataFrame, files: DataFrame, key: str) -> DataFrame:
