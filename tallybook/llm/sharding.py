@@ -2,14 +2,13 @@
 
 Only DataFrame functions. One aggregation by a 16-bit prefix gives byte counts; the directory is
 derived from that bounded histogram, and only prefixes that are still too large are looked at on
-their next 16 bits. The texts themselves are never shuffled.
+their next 16 bits. Texts are read once, for their lengths, and never shuffled: a narrow table of hashes and lengths stands for them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallybook.session import table, written
 
@@ -34,16 +33,15 @@ def extendible_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id", text
 
     A shard is named by its hash prefix in binary digits ("" when one shard holds everything). A prefix
     is split on the next bit exactly while its rows exceed max_bytes. Rows of one key can't be told apart
-    by hash: when a full hash is still too large, its rows are numbered and their hash goes on with that of
-    the number, so that repeated rows split too. A single row over the limit is a shard alone.
+    by hash: when a full hash is still too large, their hash goes on with that of the row's number in the narrow table, so that
+    repeated rows and rows without a key split too, however many there are. A single row over the limit is a shard alone.
     Null texts count 0 bytes; an empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(
-        F.col(key).alias("_key"), _bits(hash_hex(F.col(key))).alias("_bits"),
-        F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("_bytes"),
-    )
+    rows = docs.select(F.col(key).alias("_key"), hash_hex(F.col(key)).alias("_hex"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("_bytes"))
+    # Once the numbers are written, no task that runs again gives others.
+    rows = written(rows.withColumn("_number", F.monotonically_increasing_id()), "sizes").withColumn("_bits", _bits(F.col("_hex"))).drop("_hex")
     done, depth = None, 0
-    pending = rows.withColumn("_root", F.lit(""))
+    pending = rows
     while True:
         counted = pending.groupBy(F.substring("_bits", 1, depth + STEP_BITS).alias("_cell")).agg(F.sum("_bytes").alias("_sum"), F.count(F.lit(1)).alias("_n"))
         leaves = written(_directory(counted, depth, STEP_BITS, max_bytes), "directory")
@@ -57,10 +55,9 @@ def extendible_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id", text
         depth += STEP_BITS
         if leaves.where(over & many).isEmpty():
             break
-        pending = placed.where(over & many).select("_key", "_bits", "_bytes")
+        pending = placed.where(over & many).select("_key", "_bits", "_bytes", "_number")
         if depth % HASH_BITS == 0:
-            number = F.row_number().over(Window.partitionBy("_bits").orderBy("_bytes"))
-            pending = pending.withColumn("_bits", F.concat("_bits", _bits(hash_hex(number))))
+            pending = pending.withColumn("_bits", F.concat("_bits", _bits(hash_hex(F.concat_ws(":", F.lit(str(depth)), "_number")))))
     return done.select(F.col("_key").alias(key), F.col("_shard").alias("shard"), F.col("_depth").alias("depth"), F.col("_size").alias("shard_bytes"))
 
 

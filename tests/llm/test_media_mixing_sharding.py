@@ -161,3 +161,16 @@ def test_sharding_limits(spark):
     assert [r["count"] for r in shards if r.shard_bytes > 1000] == [1]
     assert sharding.extendible_shards(df, 10**9).select("shard").distinct().collect() == [("",)]
     assert sharding.extendible_shards(df.limit(0), 10).count() == 0
+
+
+def test_sharding_many_rows_of_one_hash(spark):
+    """Rows without a key and rows of one key split by their numbers; no window gathers them."""
+    df = spark.range(100_000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as doc_id", "repeat('x', cast(id % 9 as int)) as text", "-1 as _number", "'c' as _bits")
+    out = sharding.extendible_shards(df, 20_000)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    out = out.cache()
+    sizes = out.groupBy("shard").agg(F.max("shard_bytes").alias("b")).collect()
+    assert out.count() == 100_000 and all(r.b <= 20_000 for r in sizes) and sum(r.b for r in sizes) == df.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert out.where("doc_id is null").select("shard").distinct().count() > 5
+    names = sorted(r.shard for r in sizes)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
