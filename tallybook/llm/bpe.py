@@ -2,11 +2,14 @@
 
 From the merge list alone follows how many bytes to the right can still change a token boundary: a merge
 (a, b) can only be prevented by an earlier merge (s, x) whose s is on the right edge of b, which an earlier
-one can prevent in turn, and so on with falling ranks. The longest such chain is the lookahead. A word is
-read through a window; its tokens are emitted once the lookahead behind them is known, and tokenization goes
-on from there, since the pieces on both sides of a final boundary merge independently. Beside the text that Spark hands
-over, memory is constant: one window, one piece of tokens, the rule table and a cache of words of bounded bytes. The decoder is a
-state machine that takes the tokens piece by piece as the encoder emits them.
+one can prevent in turn, and so on with falling ranks. The longest such chain that begins at a token's right edge is the lookahead that suffices behind
+it; the longest of all bounds the window. Every word goes through the transducer, its bytes as they come: tokens leave
+once the lookahead behind them is known, which for long words is before the word ends, and tokenization goes
+on from there, since the pieces on both sides of a final boundary merge independently. A cache of words spares the second time.
+
+Texts are normalised and cut into words piece by piece, and a word may go on from piece to piece. So beside the text that Spark hands
+over, memory is constant: one piece and its tokens, one window, the rule table and a cache of words of bounded bytes. (Only a run of apostrophes without any other
+character is one piece however long it is.) The decoder is a state machine that takes the tokens as the encoder emits them.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,10 @@ from tallybook.session import table
 
 #: Bytes of the cache of words before it is emptied, counting ENTRY for what Python adds to each word.
 CACHE_BYTES, ENTRY = 64 << 20, 160
-#: Characters of a text handled at once; pieces are cut at white space, which no word crosses. Without any, words are read one by one.
-PIECE, WORDS = 1 << 20, 1 << 12
+#: Characters of a text handled at once; pieces are cut at white space, which no word crosses. Without any, they are cut inside words.
+PIECE = 1 << 20
+#: Characters of the longest word that is kept whole, and bytes of a longer one that are taken in at once to begin with.
+WHOLE, STEP = 128, 64
 
 # Fixed values of the tokenizer's format: contractions, and white space as its regular expressions know it.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -66,23 +70,26 @@ def word_pattern(text: str):
     return _LATIN
 
 
-def word_lists(text: str) -> Iterator[list[str]]:
-    """The words of a normalised text, in lists of bounded size."""
-    at = 0
-    while len(text) - at > PIECE:
-        blank = _BLANK.search(text, at + PIECE, at + 2 * PIECE)
-        if not blank:
+#: How a run of letters and a run of neither letters, digits nor white space go on.
+_RUNS = [regex.compile(r"\p{L}+"), regex.compile(rf"[^{_SPACE}\p{{L}}\p{{N}}]+")]
+_SHORT = re.compile(_CONTRACTIONS)
+#: Characters before which a text can be normalised in two parts: none of them is ever joined to what is before it.
+_APART = regex.compile(r"[\x00-\u02FF\u3400-\u9FFF\uAC00-\uD7A3]")
+
+
+def text_pieces(text: str, start: int = 0, end: int | None = None) -> Iterator[str]:
+    """Normalised pieces of text[start:end], of about PIECE characters: cut before white space, or without any before a character that nothing joins, and not inside a contraction."""
+    end = len(text) if end is None else end
+    while end - start > PIECE:
+        blank = _BLANK.search(text, start + PIECE, min(end, start + 2 * PIECE))
+        cut = blank.start() if blank else start + PIECE
+        while not blank and cut < end and not (_APART.match(text, cut) and ("'" not in text[cut - 2 : cut] or _SHORT.fullmatch(text, cut - 2, cut))):
+            cut += 1
+        if cut >= end:
             break
-        yield word_pattern(part := text[at : blank.start()]).findall(part)
-        at = blank.start()
-    rest = text[at:] if at else text
-    pattern = word_pattern(rest)
-    if len(rest) <= 2 * PIECE:
-        yield pattern.findall(rest)
-        return
-    found = pattern.finditer(rest)
-    while some := [m[0] for m in islice(found, WORDS)]:
-        yield some
+        yield normalised(text[start:cut])
+        start = cut
+    yield normalised(text[start:end])
 
 
 def normalised(text: str) -> str:
@@ -122,25 +129,36 @@ class Transducer:
             made = vocab[a + b]
             self.rules[vocab[a] << 20 | vocab[b]] = rank << 20 | made
             self.parts.setdefault(made, (vocab[a], vocab[b]))
-        self.lookahead = self._lookahead(merges, vocab)
+        self.reach = self._reach(merges, vocab)
+        self.lookahead = max(self.reach.values(), default=0) + 1
         self.window = max(256, 4 * self.lookahead)
+        self.behind: dict[int, int] = {}
         self.cache: dict[str, bytes] = {}
         self.cached = 0
         self._cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
-    def _lookahead(self, merges: list, vocab: dict[str, int]) -> int:
-        """Bytes behind a boundary that can decide whether a merge crosses it."""
-        reach: dict[int, int] = {}  # symbol -> most bytes behind it that a rule with it on the left depends on
+    def _reach(self, merges: list, vocab: dict[str, int]) -> dict[int, int]:
+        """For each symbol the most bytes behind it that a rule with it on the left depends on."""
+        reach: dict[int, int] = {}
         for a, b in merges:
             left, right = vocab[a], vocab[b]
-            need, edge = 0, right
-            while True:
-                need = max(need, reach.get(edge, 0))
-                if edge not in self.parts:
-                    break
-                edge = self.parts[edge][1]
-            reach[left] = max(reach.get(left, 0), len(self.raw[right].rstrip(b" ")) + need)
-        return max(reach.values(), default=0) + 1
+            reach[left] = max(reach.get(left, 0), len(self.raw[right].rstrip(b" ")) + self._edge(right, reach))
+        return reach
+
+    def _edge(self, symbol: int, reach: dict[int, int]) -> int:
+        """The most that `reach` says of the symbols on the right edge of a symbol, itself included."""
+        need = 0
+        while True:
+            need = max(need, reach.get(symbol, 0))
+            if symbol not in self.parts:
+                return need
+            symbol = self.parts[symbol][1]
+
+    def _behind(self, symbol: int) -> int:
+        """The bytes that have to be known behind a token before it can leave: one at least, as a word's last byte is another symbol."""
+        if symbol not in self.behind:
+            self.behind[symbol] = max(1, self._edge(symbol, self.reach))
+        return self.behind[symbol]
 
     def _merged(self, ids: list[int]) -> list[int]:
         """The merge process on the symbols of a window: always the earliest rule, from the left."""
@@ -176,35 +194,51 @@ class Transducer:
         ids[-1] = self.final[data[-1]]
         return np.array(self._merged(ids), "<u4").tobytes()
 
-    def long_word(self, word: str) -> Iterator[bytes]:
-        """The same for a word of any length, as soon as tokens are stable."""
-        data, inner, at = word.encode("utf-8", "replace"), self.inner, 0
-        while len(data) - at > self.window:
-            ids, length, out = self._merged([inner[b] for b in data[at : at + self.window]]), 0, []
+    def transduce(self, parts: Iterator[bytes]) -> Iterator[bytes]:
+        """The ids of one word that comes in parts, as soon as they are stable; memory is that of a part and the lookahead."""
+        held = b""
+        following = next(parts, None)
+        while following is not None:
+            held, following = held + following, next(parts, None)
+            if following is None:
+                break
+            ids, length, out = self._merged([self.inner[b] for b in held]), 0, []
             for i in ids:
-                if length + len(self.raw[i]) + self.lookahead > self.window:
+                if len(held) - length - len(self.raw[i]) < self._behind(i):
                     break
                 length += len(self.raw[i])
                 out.append(i)
-            yield np.array(out, "<u4").tobytes()
-            at += length
-        ids = [inner[b] for b in data[at:]]
-        ids[-1] = self.final[data[-1]]
-        yield np.array(self._merged(ids), "<u4").tobytes()
+            if out:
+                yield np.array(out, "<u4").tobytes()
+                held = held[length:]
+        if held:
+            ids = [self.inner[b] for b in held]
+            ids[-1] = self.final[held[-1]]
+            yield np.array(self._merged(ids), "<u4").tobytes()
+
+    def stepped(self, texts: Iterator[str]) -> Iterator[bytes]:
+        """The bytes of a long word in parts that grow from STEP to the window, as little is gained by steps far below the lookahead."""
+        size = STEP
+        for text in texts:
+            at = 0
+            while at < len(text):
+                yield text[at : at + size].encode("utf-8", "replace")
+                at += size
+                size = min(2 * size, self.window // 4)
 
     def _words(self, words: list[str]) -> Iterator[bytes]:
-        cache, most = self.cache, self.window // 4  # a character has four bytes at most
+        cache = self.cache
         fresh = set(words).difference(cache)
-        long_ = {w for w in fresh if len(w) > most}
+        long_ = {w for w in fresh if len(w) > WHOLE}
         for w in fresh - long_:
-            cache[w] = ids = self.word(w)
+            cache[w] = ids = b"".join(self.transduce(iter((w.encode("utf-8", "replace"),))))
             self.cached += len(w) + len(ids) + ENTRY
         if not long_:
             yield b"".join([cache[w] for w in words])
         else:
             for w in words:
                 if w in long_:
-                    yield from self.long_word(w)
+                    yield from self.transduce(self.stepped(iter((w,))))
                 else:
                     yield cache[w]
         if self.cached > CACHE_BYTES:
@@ -213,13 +247,43 @@ class Transducer:
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Yield the ids of a text piece by piece, as packed bytes; special strings in it are their own ids."""
-        cut = [text] if self._cut is None else re.split(f"({self._cut.pattern})", text)
-        for k, part in enumerate(cut):
-            if k % 2:
-                yield self.special[part].to_bytes(4, "little")
-                continue
-            for words in word_lists(normalised(part)):
+        at = 0
+        for special in self._cut.finditer(text) if self._cut is not None else ():
+            yield from self._span(text, at, special.start())
+            yield self.special[special[0]].to_bytes(4, "little")
+            at = special.end()
+        yield from self._span(text, at, len(text))
+
+    def _span(self, text: str, start: int, end: int) -> Iterator[bytes]:
+        pieces = text_pieces(text, start, end)
+        piece, following = next(pieces, ""), next(pieces, None)
+        while piece or following is not None:
+            words = word_pattern(piece).findall(piece)
+            last = words[-1] if words else ""
+            if following is None or not piece.endswith(last) or not last or _BLANK.match(following) or _SHORT.fullmatch(last):
                 yield from self._words(words)
+                piece, following = following or "", next(pieces, None)
+                continue
+            # The last word may go on in the pieces to come.
+            yield from self._words(words[:-1])
+            run = next((r for r in _RUNS if r.match(last)), None)
+            rest: list[str] = []
+
+            def going_on() -> Iterator[str]:
+                nonlocal following
+                yield last
+                while following is not None:
+                    goes = run.match(following) if run else None
+                    upto = goes.end() if goes else 0
+                    yield following[:upto]
+                    if upto < len(following):
+                        rest.append(following[upto:])
+                        following = next(pieces, None)
+                        return
+                    following = next(pieces, None)
+
+            yield from self.transduce(self.stepped(going_on()))
+            piece = rest[0] if rest else ""
 
 
 class Decoder:

@@ -3,8 +3,8 @@
 Centroids come from hierarchical balanced clustering of a bounded sample. A vector joins the list of its nearest
 centroid and, near boundaries, those of others almost as near unless a chosen one covers them. The centroids
 are found through a neighbour graph held in memory, however few they are; a query reads the lists whose centroids are within a
-ratio of the nearest one's distance, as many as a sample of the queries needs to find what comparing it with all vectors
-finds. A query whose lists hold too few vectors reads all lists. Lists are cut into blocks of bounded size, so a hot list is many
+ratio of the nearest one's distance. The ratio is fitted on a sample of the queries that is compared with all vectors, so that it finds what they
+have to; queries with one centroid much nearer than the others read few lists, and a number bounds those of the rest. A query whose lists hold too few vectors reads all lists. Lists are cut into blocks of bounded size, so a hot list is many
 tasks' work. Equal vectors are one class: no result needs more than the smallest few ids of a class, and equal queries are
 searched once.
 """
@@ -24,8 +24,8 @@ from tallybook.session import table, written
 SAMPLE, LIST_ROWS, MOST_LISTS = 20000, 256, 8192
 #: Lists that a vector joins at most, and how much farther than the nearest their centroids may be.
 REPLICAS, BOUNDARY = 4, 1.15
-#: Lists that a query reads at least (if there are so many), and how much farther than the nearest their centroids may be.
-PROBES, PRUNE = 32, 1.4
+#: Lists from which on it is tried how many a query has to read at most.
+PROBES = 8
 #: Queries that are compared with all vectors, and the part of their neighbours that the lists read have to hold.
 CHECKED, RECALL = 256, 0.95
 #: Rows of a block at most (about), on either side.
@@ -187,8 +187,11 @@ def true_neighbours(candidates: DataFrame, sample: pa.Table, k: int) -> DataFram
     return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).select("query", "id")
 
 
-def probes_needed(graph: CentroidGraph, x: np.ndarray, held: list[tuple[int, list[int]]]) -> tuple[int, float | None]:
-    """How many lists, within which ratio, queries like the rows of x have to read; held: row and the lists of each true neighbour."""
+def probes_needed(graph: CentroidGraph, x: np.ndarray, held: list[tuple[int, list[int]]]) -> tuple[int, float]:
+    """How many lists at most, within which ratio, queries like the rows of x have to read; held: row and the lists of each true neighbour.
+
+    The number is twice that by which the nearest lists alone would hold RECALL of the neighbours; within it the ratio is the least that does.
+    """
     n = len(graph.c)
     row = np.repeat([r for r, _ in held], [len(ls) for _, ls in held]).astype(int)
     list_ = np.array([i for _, ls in held for i in ls], int)
@@ -199,12 +202,19 @@ def probes_needed(graph: CentroidGraph, x: np.ndarray, held: list[tuple[int, lis
         read[graph.lists(x, most, ratio, False)] = True
         return float(np.logical_or.reduceat(read[row, list_], first).mean())
 
-    most = min(PROBES, n)
     if not held:
-        return most, PRUNE
+        return n, 1e9
+    most = min(PROBES, n)
     while recall(most, None) < RECALL and most < n:
         most = min(n, most + most // 4 + 1)
-    return most, PRUNE if recall(most, PRUNE) >= RECALL else None
+    most = min(n, 2 * most)
+    away = np.sqrt(np.maximum(0, 2 - 2 * (x.astype(np.float32) @ graph.c.T).astype(float)))
+    away = away / np.maximum(away.min(axis=1, keepdims=True), 1e-9)
+    nearest_held = np.sort(np.minimum.reduceat(away[row, list_], first))  # by which ratio each neighbour is reached
+    at = min(len(nearest_held) - 1, max(0, int(np.ceil(RECALL * len(nearest_held))) - 1))
+    while at < len(nearest_held) - 1 and recall(most, float(nearest_held[at])) < RECALL:  # what the graph or the number misses
+        at = min(len(nearest_held) - 1, at + 1 + len(nearest_held) // 256)
+    return most, float(nearest_held[at])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -49,19 +49,68 @@ def test_same_as_the_library(transducer, library, monkeypatch):
 
 
 def test_pieces_of_bounded_size(transducer, library, monkeypatch):
-    for name, value in (("PIECE", 500), ("WORDS", 7), ("CACHE_BYTES", 2000)):
+    for name, value in (("PIECE", 500), ("CACHE_BYTES", 2000)):
         monkeypatch.setattr(bpe, name, value)
-    for s in ("a1b2-c3!" * 900, "x" * 9000, "word " * 800 + "y1" * 3000, "été1" * 2000 + " end"):
+    for s in ("a1b2-c3!" * 900, "x" * 9000, "e\u0301" * 4000, "!'s" * 2000, "don't" * 900, "x'll've" * 900, "'" * 3000, "\u1100\u1161\u11a8" * 900, "a" * 499 + "\u0301" * 900 + "b", "-" * 1200 + "z" * 1200 + "7" * 30, "İΣ" * 900, "word " * 800 + "y1" * 3000, "été1" * 2000 + " end"):
         pieces = list(transducer.encode(s))
         assert np.frombuffer(b"".join(pieces), "<u4").tolist() == library.encode(s, add_special_tokens=False).ids
         assert max(map(len, pieces)) <= 4 * 2 * 500 + 4 * transducer.window and transducer.cached <= 2000 + 500 * (2 * bpe.ENTRY)
 
 
-def test_window_and_whole_word_agree(transducer):
+@pytest.mark.parametrize("size", [1, 2, 7, 64, 1000])
+def test_word_in_parts_and_whole_word_agree(transducer, size):
+    """Whatever parts a word comes in, its tokens are those of merging it whole, which the transducer never does."""
     rnd = random.Random(8)
-    for _ in range(20):
-        w = "".join(rnd.choice("etaoinshr") for _ in range(5000))
-        assert b"".join(transducer.long_word(w)) == transducer.word(w)
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 900))) for letters in ("etaoinshr", "ab", "a", "the and of ing", "!?.-", "é日a") for _ in range(6)]
+    for w in words:
+        data = w.replace(" ", "").encode()
+        parts = [data[i : i + size] for i in range(0, len(data), size)]
+        assert b"".join(transducer.transduce(iter(parts))) == transducer.word(data.decode())
+
+
+def test_tokens_leave_before_the_word_ends(transducer):
+    """Tokens are out once the lookahead behind them is known, while the rest of their word is still to come."""
+    word = "internationalisationsverständigungen" * 60
+    taken, left = 0, []
+
+    def parts():
+        nonlocal taken
+        for i in range(0, len(word.encode()), 40):
+            taken += 40
+            yield word.encode()[i : i + 40]
+
+    for packed in transducer.transduce(parts()):
+        left.append((taken, len(packed) // 4))
+    assert left[0][0] <= transducer.lookahead + 80 and sum(n for t, n in left if t < len(word.encode()) * 0.8) > sum(n for _, n in left) / 2
+    assert b"".join(transducer.transduce(iter([word.encode()]))) == transducer.word(word)
+
+
+def test_cache_gives_what_the_transducer_gives(transducer, library):
+    text = "some words come again and some words do not: " * 3
+    transducer.cache.clear()
+    first, again = (b"".join(transducer.encode(text)) for _ in range(2))
+    assert first == again and all(ids == transducer.word(w) for w, ids in transducer.cache.items())
+
+
+def test_memory_is_constant(transducer, monkeypatch):
+    """Texts without white space, of a few characters again and again or of one: the peak doesn't grow with the text."""
+    import tracemalloc
+
+    monkeypatch.setattr(bpe, "PIECE", 1 << 12)
+
+    def peak(text):
+        tracemalloc.start()
+        for _ in transducer.encode(text):
+            pass
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        return most
+
+    transducer.cache.clear()
+    small, large = (peak("ab1-" * n) for n in (1 << 13, 1 << 16))
+    assert large < small * 1.2 + 1e5 and large < 2e6
+    small, large = (peak("日" * n) for n in (1 << 13, 1 << 15))
+    assert large < small * 1.2 + 1e5
 
 
 def test_incremental_decoding(transducer):

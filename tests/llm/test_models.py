@@ -288,6 +288,27 @@ def test_recall_with_many_lists(spark, monkeypatch):
     assert len(rows) == 600 and sum(r.vec_id in want[r.query_id] for r in rows) / 600 >= 0.9
 
 
+def test_easy_queries_read_fewer_lists():
+    """The fitted ratio reads different numbers of lists for different queries, and holds the recall it was fitted for on others, too."""
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(60, 12)) * 3
+    make = lambda n: neighbours.normalised(np.vstack([middle[rng.integers(0, 60, n // 2)] + rng.normal(size=(n // 2, 12)) * 0.3, rng.normal(size=(n - n // 2, 12))]))
+    x, q, other = make(6000), make(200), make(200)
+    graph = neighbours.CentroidGraph(neighbours.balanced_centroids(x[:3000], 120))
+    row, list_ = graph.lists(x, neighbours.REPLICAS, neighbours.BOUNDARY, True)
+    lists = {}
+    for r, i in zip(row.tolist(), list_.tolist()):
+        lists.setdefault(r, []).append(i)
+    near = lambda q: [(i, lists[j]) for i, v in enumerate(q @ x.T) for j in np.argsort(-v)[:5].tolist()]
+    most, ratio = neighbours.probes_needed(graph, q, near(q))
+    r, at = graph.lists(other, most, ratio, False)
+    read = {i: set(at[r == i].tolist()) for i in range(200)}
+    sizes = sorted(map(len, read.values()))
+    assert sizes[20] * 3 <= sizes[180] <= most < 120
+    assert np.mean([bool(read[i] & set(ls)) for i, ls in near(other)]) >= 0.92
+    assert neighbours.probes_needed(graph, q, [])[0] == len(graph.c)
+
+
 def test_copies_ties_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(0, 20)] + [(50, [2.0, 4.0]), (51, [0.0, 0.0]), (52, None), (53, [1.0, None]), (54, [nan, 1.0]), (55, [inf, 1.0]), (56, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (57, []), (100, [-1.0, 0.5])]

@@ -73,7 +73,7 @@ def test_mix_order_survives_the_stored_table(spark, tmp_path):
     assert mixed.dtypes == docs.dtypes and len(mixed.inputFiles()) > 1
     assert sorted(map(str, map(tuple, mixed.collect()))) == sorted(map(str, map(tuple, docs.collect())))
     out = P.bpe_tokens(spark, mixed, "").orderBy("position").collect()
-    assert [r.position for r in out] == list(range(len(rows)))
+    assert len({r.position for r in out}) == len(rows) and "Exchange" not in P.positions(mixed)._jdf.queryExecution().executedPlan().toString()
     assert [r.doc_id for r in out] != [r.doc_id for r in docs.collect()]
     again = [r.doc_id for r in P.positions(mixed).orderBy("position").collect()]
     assert again == [r.doc_id for r in out]
