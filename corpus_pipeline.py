@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallybook.llm import bpe, minhash, mixing, quality, suffixes
 from tallybook.session import ship_package, table, written
@@ -78,26 +77,24 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def positions(docs: DataFrame) -> DataFrame | None:
-    """doc_id and text of docs with position: 0, 1, ... in the order of its files by their number and of the rows in each; None where it doesn't come from files.
+    """doc_id and text of docs with position, a number that sorts rows as their files by number and as the rows in each; None where docs doesn't come from files.
 
-    Only the number of rows of each file is gathered, in one row for each file.
+    It is made of the file's part number, its number within the part and the row's place, so that nothing is counted, joined or shuffled.
     """
     placed = stored_places(docs)
     if placed is None:
         return None
-    number = F.regexp_extract("_file", r"part-(\d+)", 1).try_cast("long")
-    sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).withColumn("_order", F.struct(number, "_file"))
-    before = Window.orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    starts = sizes.select(F.col("_file").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    number = lambda p: F.coalesce(F.regexp_extract("_file", p, 1).try_cast("long"), F.lit(0))
+    position = F.shiftleft(number(r"part-(\d+)"), 44) + F.shiftleft(number(r"-c(\d+)\."), 34) + F.col("_at")
     key, text = (F.col(f"c{docs.columns.index(c)}").alias(c) for c in ("doc_id", "text"))
-    return placed.join(starts, F.col("_file") == F.col("_of")).select(key, text, (F.col("_start") + F.col("_at")).alias("position"))
+    return placed.select(key, text, position.alias("position"))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with checksums of the ids and of their decoding, and the text's position in the mix.
+    """Token ids of every text, with checksums of the ids and of their decoding, and a position that sorts texts as the mix does.
 
-    One row for each row, repeated and keyless ones too; a null text has no tokens; an empty table gives no rows. The position is that in the stored table;
-    it is null where the documents don't come from files.
+    One row for each row, repeated and keyless ones too; a null text has no tokens; an empty table gives no rows. The position is that in the stored table
+    (see positions(); gaps between numbers mean nothing); it is null where the documents don't come from files.
     """
     ship_package(spark)
     placed = positions(docs)
