@@ -105,15 +105,18 @@ def found_account(wanted: DataFrame, accounts: DataFrame) -> DataFrame:
     digits are equal. The smallest account of the first tier that has one. A suffix is contained as well, so 4 never comes first.
 
     Every tier has its key beside the client: the number, its digits, or for parts the first PART characters of what was typed, against all parts of numbers of that length.
+    Parts are made of those lengths only that a client's typed numbers begin with. The joins are sort-merge joins by hint, as the planner counts the rows that parts
+    are made of, not the parts, and would send them all through the driver.
     """
     w = wanted.select("key", "client_id", F.trim("typed").alias("typed")).where("typed <> ''").withColumn("small", F.lower("typed"))
     a = accounts.select("client_id", "account_id", "account_no", F.lower("account_no").alias("have"))
-    whole = w.join(a.withColumnRenamed("have", "small"), ["client_id", "small"]).select("key", "account_id", F.when(F.col("account_no") == F.col("typed"), 1).otherwise(2).alias("tier"))
+    whole = w.join(a.withColumnRenamed("have", "small").hint("merge"), ["client_id", "small"]).select("key", "account_id", F.when(F.col("account_no") == F.col("typed"), 1).otherwise(2).alias("tier"))
+    lengths = w.groupBy("client_id").agg(F.collect_set(F.least(F.length("small"), F.lit(PART))).alias("_lengths"))
     starts = F.sequence(F.lit(1), F.greatest(F.length("have"), F.lit(1)))
-    parts = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.array(*map(F.lit, range(1, PART + 1))), lambda n: F.substring(F.col("have"), i, n)))))
-    held = a.select("client_id", "account_id", "have", F.explode(parts).alias("_part"))
-    within = w.withColumn("_part", F.substring("small", 1, PART)).join(held, ["client_id", "_part"]).where(F.contains("have", "small")).select("key", "account_id", F.lit(3).alias("tier"))
-    same = w.withColumn("_digits", digits(F.col("typed"))).join(a.withColumn("_digits", digits(F.col("account_no"))), ["client_id", "_digits"]).select("key", "account_id", F.lit(5).alias("tier"))
+    parts = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform("_lengths", lambda n: F.substring(F.col("have"), i, n)))))
+    held = a.join(lengths.hint("merge"), "client_id").select("client_id", "account_id", "have", F.explode(parts).alias("_part"))
+    within = w.withColumn("_part", F.substring("small", 1, PART)).join(held.hint("merge"), ["client_id", "_part"]).where(F.contains("have", "small")).select("key", "account_id", F.lit(3).alias("tier"))
+    same = w.withColumn("_digits", digits(F.col("typed"))).join(a.withColumn("_digits", digits(F.col("account_no"))).hint("merge"), ["client_id", "_digits"]).select("key", "account_id", F.lit(5).alias("tier"))
     best = whole.unionByName(within).unionByName(same).groupBy("key").agg(F.min(F.struct("tier", "account_id")).alias("b"))
     return best.select("key", "b.account_id", "b.tier")
 
