@@ -80,16 +80,19 @@ def scored_owned_accounts(messages: DataFrame, accounts: DataFrame) -> DataFrame
     account_no, mail_id, bank. Score as above; ties go to an account whose mail id is a recipient of an attachment, then a
     receiver, then to the greater bank name, number and account. An account without any matching token is no match.
 
-    Tokens meet accounts by client and key. Of the accounts that share client, key, score and mail id only the greatest can win, so the others are gone before the join.
+    Tokens meet accounts by client and key. Of the accounts that share client, key, score and mail id only the greatest can win, so the others are gone before the join,
+    a sort-merge join by hint: the planner counts the rows that keys and tokens are made of and would hold all of them in every task.
     """
     number = digits(F.col("account_no"))
     last = lambda n: F.right(number, F.lit(n))
     keys = F.array(F.struct(number.alias("token"), F.lit(3).alias("score")), F.struct(last(4).alias("token"), F.lit(2).alias("score")), F.struct(last(2).alias("token"), F.lit(1).alias("score")))
-    sides = accounts.select("client_id", F.lower(F.trim("mail_id")).alias("mail"), F.struct(F.coalesce("bank", F.lit("")).alias("bank"), number.alias("number"), "account_id").alias("_rank"), F.explode(keys).alias("k"))
+    # Accounts are dealt before keys are made of them, so that the groups in a task are as many as a shuffle partition's accounts have, not a file's.
+    dealt = accounts.repartition("client_id", "account_id")
+    sides = dealt.select("client_id", F.lower(F.trim("mail_id")).alias("mail"), F.struct(F.coalesce("bank", F.lit("")).alias("bank"), number.alias("number"), "account_id").alias("_rank"), F.explode(keys).alias("k"))
     sides = sides.groupBy("client_id", "k.token", "k.score", "mail").agg(F.max("_rank").alias("_rank"))
     tokens = messages.select("message_id", "client_id", "recipients", "receivers", F.explode(F.array_distinct("tokens")).alias("token"))
     named = lambda c: F.coalesce(F.array_contains(c, F.col("mail")), F.lit(False))
-    hits = tokens.join(sides, ["client_id", "token"]).select("message_id", "score", named("recipients").alias("_r"), named("receivers").alias("_v"), "_rank")
+    hits = tokens.join(sides.hint("merge"), ["client_id", "token"]).select("message_id", "score", named("recipients").alias("_r"), named("receivers").alias("_v"), "_rank")
     best = hits.groupBy("message_id").agg(F.max(F.struct("score", "_r", "_v", "_rank")).alias("b"))
     return best.select("message_id", "b._rank.account_id", "b.score")
 

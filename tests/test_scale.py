@@ -15,3 +15,11 @@ def test_parts_of_numbers_are_not_broadcast(spark):
     out = K.found_account(wanted, c)
     assert "Broadcast" not in plan(out)
     assert out.where("account_id = key and tier = 3").count() == 50
+
+
+def test_scored_owned_accounts_are_not_broadcast(spark):
+    a = spark.range(60).selectExpr("id div 3 as client_id", "id as account_id", "'44' || lpad(id div 3, 4, '0') as account_no", "'m' || id as mail_id", "'ONE' as bank")
+    m = spark.range(20).selectExpr("id as message_id", "id as client_id", "array(lpad(id, 4, '0'), 'x') as tokens", "array('m' || id * 3) as recipients", "array('q') as receivers")
+    out = K.scored_owned_accounts(m, a)
+    assert "Broadcast" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == [(i, 3 * i, 2) for i in range(20)]
