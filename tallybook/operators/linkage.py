@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tallybook.functions.scalars import alias_key, digits, squeezed
 from tallybook.operators.relational import one_per_key
+from tallybook.session import written
 
 
 def email_owners(rows: DataFrame, id_: str, primary: str, extras: str) -> DataFrame:
@@ -156,6 +157,10 @@ def fallback_accounts(messages: DataFrame, accounts: DataFrame) -> DataFrame:
     return one_per_key(found, ["message_id"], [F.col("tier"), F.col("place"), F.col("word")]).select("message_id", "account_id", "tier")
 
 
+#: Aliases of so many different words are sent to every task; texts meet more of them by shuffles.
+FEW = 50_000
+
+
 def longest_alias(texts: DataFrame, aliases: DataFrame, least: int = 6) -> DataFrame:
     """text_id, owner_id, score: the longest alias whose words occur in the text (score: its length), or that occurs when all
     blanks are squeezed out (length - 1); `least` at least, ties to the smaller owner.
@@ -163,15 +168,17 @@ def longest_alias(texts: DataFrame, aliases: DataFrame, least: int = 6) -> DataF
     Aliases are found by their first word or first four squeezed characters, so that each text meets few of them.
     """
     a = aliases.select("owner_id", alias_key(F.col("alias")).alias("words")).where(F.length("words") >= 4).groupBy("words").agg(F.min("owner_id").alias("owner_id"))
-    a = a.withColumn("tight", squeezed(F.col("words")))
+    a = written(a.withColumn("tight", squeezed(F.col("words"))), "aliases")
+    # Texts are joined by sort-merge, or meet aliases that are known to be few: the planner takes words and pieces of texts to be no more than the texts.
+    side = F.broadcast if a.count() <= FEW else lambda df: df.hint("merge")
     t = texts.select("text_id", alias_key(F.col("text")).alias("body"))
     # Keys are looked up without the texts; only texts that meet an alias are fetched for the comparison.
     words = t.select("text_id", F.explode(F.array_distinct(F.split("body", " "))).alias("k"))
-    by_word = words.join(a.withColumn("k", F.element_at(F.split("words", " "), 1)), "k").select("text_id", "owner_id", "words", "tight")
+    by_word = words.join(side(a.withColumn("k", F.element_at(F.split("words", " "), 1))), "k").select("text_id", "owner_id", "words", "tight")
     tight = squeezed(F.col("body"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(tight) - 3, F.lit(1))), lambda i: F.substring(tight, i, F.lit(4))))
-    by_gram = t.select("text_id", F.explode(grams).alias("k")).join(a.withColumn("k", F.substring("tight", 1, 4)), "k").select("text_id", "owner_id", "words", "tight")
-    met = by_word.unionByName(by_gram).distinct().join(t, "text_id")
+    by_gram = t.select("text_id", F.explode(grams).alias("k")).join(side(a.withColumn("k", F.substring("tight", 1, 4))), "k").select("text_id", "owner_id", "words", "tight")
+    met = by_word.unionByName(by_gram).distinct().join(t.hint("merge"), "text_id")
     whole = F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "words", F.lit(" ")))
     score = F.when(whole, F.length("words")).when(F.contains(tight, F.col("tight")), F.length("words") - 1)
     every = met.withColumn("score", score).where(F.col("score") >= least).select("text_id", "owner_id", "score")

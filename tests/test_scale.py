@@ -23,3 +23,16 @@ def test_scored_owned_accounts_are_not_broadcast(spark):
     out = K.scored_owned_accounts(m, a)
     assert "Broadcast" not in plan(out)
     assert sorted(map(tuple, out.collect())) == [(i, 3 * i, 2) for i in range(20)]
+
+
+def test_texts_are_not_broadcast_to_find_aliases(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "the old plate co"), (2, "oldplate"), (3, "new bolt"), (4, None)], "text_id int, text string")
+    aliases = spark.createDataFrame([(7, "Old Plate"), (5, "old-plate"), (9, "bolt new")], "owner_id int, alias string")
+    want = [(1, 5, 9), (2, 5, 8)]
+    few = K.longest_alias(texts, aliases)
+    assert sorted(map(tuple, few.select("text_id", "owner_id", "score").collect())) == want
+    assert plan(few).count("BroadcastHashJoin") <= 2  # the aliases, in either lookup
+    monkeypatch.setattr(K, "FEW", 0)
+    many = K.longest_alias(texts, aliases)
+    assert "Broadcast" not in plan(many)
+    assert sorted(map(tuple, many.select("text_id", "owner_id", "score").collect())) == want
