@@ -1,5 +1,7 @@
 """Plans and results that hold when tables grow: nothing that rows are multiplied into goes through the driver."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tallybook.operators import linkage as K
@@ -36,3 +38,14 @@ def test_texts_are_not_broadcast_to_find_aliases(spark, monkeypatch):
     many = K.longest_alias(texts, aliases)
     assert "Broadcast" not in plan(many)
     assert sorted(map(tuple, many.select("text_id", "owner_id", "score").collect())) == want
+
+
+def test_revisions_are_numbered_over_all_years(spark, tmp_path):
+    from tallybook.plans.extras import QUERIES
+
+    at = lambda y: datetime(y, 6, 1)
+    orders = [(1, 5, "O", 10.0, at(1993), "2-HIGH"), (2, 5, "O", 20.0, at(1995), "2-HIGH"), (3, 5, "O", 5.0, at(1995), "5-LOW"), (4, 5, "F", 30.0, at(1995), "1-URGENT")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(5, "X", 1, 0.0, "M")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    out = {r.id: r.kind for r in QUERIES["report_returns"](spark, str(tmp_path)).collect()}
+    assert out == {2: "Revised(2)", 3: "Original", 4: "Revised(3)"}
