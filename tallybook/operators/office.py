@@ -10,7 +10,7 @@ from tallybook.functions.fiscal import fy_of, month_dimension
 from tallybook.functions.scalars import account_numbers, digits, first_filled, is_cash, masked_tails, message_id, with_period
 from tallybook.operators.intervals import month_gaps
 from tallybook.operators.ledger import reconcile, voucher_serial
-from tallybook.operators.linkage import fallback_accounts, tiered_accounts
+from tallybook.operators.linkage import fallback_accounts
 from tallybook.operators.relational import one_per_key
 
 
@@ -23,22 +23,44 @@ def mail_entries(mails: DataFrame, emails: DataFrame, accounts: DataFrame) -> Da
     account. A mail without a message id gets one from its own id. The period is the one in the subject, else the month before.
     """
     text = F.concat_ws(" ", "subject", "attached")
-    each = mails.select("mail_id", F.posexplode("recipients").alias("place", "email")).withColumn("email", F.lower(F.trim("email")))
-    met = each.join(emails, "email").groupBy("mail_id", "client_id").agg(F.min("place").alias("place"))
-    first = F.min("place").over(Window.partitionBy("mail_id"))
-    candidates = met.withColumn("_first", first).where("place = _first").select("mail_id", "client_id")
+    owned = emails.select("email", "client_id").distinct()
+    # Mails never meet all clients of an address: an address has its smallest client, and for each number or tail the one that would win.
+    known = owned.groupBy("email").agg(F.min("client_id").alias("_least"))
     told = mails.select("mail_id", account_numbers(text).alias("full"), masked_tails(text).alias("tails"), F.upper(text).alias("words"), "recipients", text.alias("hint"))
-    m = candidates.join(told, "mail_id").withColumn("message_id", F.struct("mail_id", "client_id"))
-    found = tiered_accounts(m.withColumn("heads", F.array().cast("array<string>")), accounts).where("tier < 6")
-    hits = candidates.join(found.select("message_id.mail_id", "message_id.client_id", F.col("account_id").alias("_hit")), ["mail_id", "client_id"], "left")
-    chosen = one_per_key(hits, ["mail_id"], [F.col("_hit").isNull(), F.col("client_id")])
-    lost = m.join(chosen.where("_hit is null").select("mail_id", "client_id"), ["mail_id", "client_id"], "left_semi")
-    rest = fallback_accounts(lost.drop("message_id").withColumnRenamed("mail_id", "message_id"), accounts).select(F.col("message_id").alias("mail_id"), F.col("account_id").alias("_rest"))
+    each = told.select("mail_id", F.posexplode("recipients").alias("place", "email")).withColumn("email", F.lower(F.trim("email")))
+    first = each.join(known, "email").groupBy("mail_id").agg(F.min(F.struct("place", "email", "_least")).alias("_f")).select("mail_id", "_f.email", "_f._least")
+    m = told.join(first.hint("merge"), "mail_id")
+    tokens = m.select("mail_id", "email", "words", F.explode(F.array_distinct(F.concat(F.transform("full", lambda t: F.struct(F.lit("full").alias("kind"), t.alias("token"))), F.transform("tails", lambda t: F.struct(F.lit("tail").alias("kind"), t.alias("token")))))).alias("_t"))
+    tokens = tokens.select("mail_id", "email", "words", "_t.kind", "_t.token")
+    hits = tokens.join(_winners(owned, accounts).hint("merge"), ["email", "kind", "token"]).where("bank_word is null or contains(words, bank_word)")
+    # The smallest client that any token finds is the smallest of that token too, so nothing that could win is missing among the winners.
+    hit = hits.groupBy("mail_id").agg(F.min(F.struct("client_id", "tier", "token", "account_id")).alias("_h")).select("mail_id", F.col("_h.client_id").alias("_client"), F.col("_h.account_id").alias("_hit"))
+    chosen = m.join(hit.hint("merge"), "mail_id", "left").withColumn("client_id", F.coalesce("_client", "_least"))
+    lost = chosen.where("_hit is null").select(F.col("mail_id").alias("message_id"), "client_id", "recipients", "hint", "tails")
+    rest = fallback_accounts(lost, accounts).select(F.col("message_id").alias("mail_id"), F.col("account_id").alias("_rest"))
+    chosen = chosen.select("mail_id", "client_id", "_hit")
     out = with_period(mails, "subject", "received").join(chosen, "mail_id").join(rest, "mail_id", "left")
     own = F.coalesce(message_id(F.col("msg_id")), F.concat(F.lit("maillog-"), F.col("mail_id").cast("string")))
     return out.select("mail_id", own.alias("msg_id"), fy_of(F.col("received")).alias("fy"), "client_id", F.coalesce("_hit", "_rest").alias("account_id"), "start", "end", "received")
 
 
+def _winners(owned: DataFrame, accounts: DataFrame) -> DataFrame:
+    """email, kind, token, bank_word, client_id, tier, account_id: of the clients of an address the smallest whose account the token is, with that account.
+
+    Tiers are those of tiered_accounts. bank_word is set where several accounts of the client have the tail, so that the mail has to name the bank.
+    """
+    a = accounts.select("client_id", "account_id", digits(F.col("account_no")).alias("number"), F.upper("bank_word").alias("bank_word")).where("number <> ''")
+    full = a.select("client_id", F.lit("full").alias("kind"), F.col("number").alias("token"), F.lit(1).alias("tier"), F.lit(None).cast("string").alias("bank_word"), "account_id")
+    tail = F.right("number", F.lit(4))
+    once = a.groupBy("client_id", tail.alias("token")).agg(F.count(F.lit(1)).alias("_n"), F.min("account_id").alias("account_id"))
+    sole = once.where("_n = 1").select("client_id", F.lit("tail").alias("kind"), "token", F.lit(2).alias("tier"), F.lit(None).cast("string").alias("bank_word"), "account_id")
+    several = a.where("bank_word is not null").withColumn("token", tail).join(once.where("_n > 1").select("client_id", "token"), ["client_id", "token"], "left_semi")
+    several = several.select("client_id", F.lit("tail").alias("kind"), "token", F.lit(3).alias("tier"), "bank_word", "account_id")
+    every = full.unionByName(sole).unionByName(several)
+    best = owned.hint("merge").join(every, "client_id").groupBy("email", "kind", "token", "bank_word").agg(F.min(F.struct("client_id", "tier", "account_id")).alias("_b"))
+    return best.select("email", "kind", "token", "bank_word", "_b.*")
+
+
 def new_entries(found: DataFrame, have: DataFrame) -> DataFrame:
     """Of the entries those whose message id their fiscal year does not have yet, the earliest of each: a second run adds nothing."""
     fresh = one_per_key(found, ["fy", "msg_id"], [F.col("received"), F.col("mail_id")])
