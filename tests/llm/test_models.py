@@ -348,3 +348,29 @@ def test_graph_finds_the_nearest_centroids():
     want = np.argsort(-(x @ c.T), axis=1)[:, :8]
     assert np.mean([len(set(a) & set(b)) / 8 for a, b in zip(ids[:, :32].tolist(), want.tolist())]) > 0.9
     assert (np.diff(s, axis=1) <= 1e-6).all()
+
+
+def test_quality_is_fitted_on_every_labelled_row(spark, monkeypatch):
+    from tallybook.llm import quality as Q
+
+    docs = frame(spark, [(i, "BUY $$$ now !!! " * (1 + i % 4) if i % 9 == 0 else f"plain words number {i} about fields", "en") for i in range(7000)])
+    labels = spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(7000)], "doc_id long, quality int")
+    seen, fit = [], Q.fit
+    monkeypatch.setattr(Q, "fit", lambda rows, *a: (seen.append(rows.count()), fit(rows, *a))[1])
+    Q.train(docs, labels)
+    assert seen == [7000]
+
+
+def test_quality_threshold_is_the_exact_quantile(spark, monkeypatch):
+    from tallybook.llm import quality as Q
+
+    rnd = np.random.default_rng(2)
+    s, label = np.round(rnd.normal(size=3000), 3), (rnd.random(3000) > 0.2).astype(int)
+    weight = {1: 0.8 / (label == 1).sum(), 0: 0.2 / (label == 0).sum()}
+    order = np.lexsort((label, s))
+    sums = np.cumsum([weight[y] for y in label[order]])
+    rows = spark.createDataFrame(list(zip(s.tolist(), label.tolist())), "s double, label int")
+    for few in (50, 20000):
+        monkeypatch.setattr(Q, "FEW", few)
+        at = int(np.searchsorted(sums, 0.2 + 1e-12))
+        assert Q.quantile(rows, 0.2, weight) in (s[order][at], (s[order][at] + s[order][at - 1]) / 2)
