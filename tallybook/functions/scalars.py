@@ -158,6 +158,12 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def computed_once(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """df with fields behind a generator: filters are not pushed below it and their uses are not replaced by what they are made of."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in fields]
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in fields.items())))))
+
+
 def parse_money(column: Column, scale: int = 2) -> Column:
     """Amounts with thousands in any grouping, currency words, (x) and a Dr mark negative, '-' zero; else null."""
     kind = f"decimal(18,{scale})"
@@ -171,24 +177,25 @@ def parse_money(column: Column, scale: int = 2) -> Column:
 
 
 # Shapes of dates: day, month and year between equal marks; year first; month name first.
-_DAY_FIRST = r"^(\d{1,2})([-/. ])(\d{1,2}|[A-Z]{3}),?\2(\d{4}|\d{2})$"
+_DAY_FIRST = r"(?iu)^(\d{1,2})([-/. ])(\d{1,2}|[A-Z]{3}),?\2(\d{4}|\d{2})$"
 _YEAR_FIRST = r"^\d{4}-\d{1,2}-\d{1,2}$"
-_MONTH_FIRST = r"^([A-Z]{3}) ?(\d{1,2}), ?(\d{4})$"
-_MONTH_NUMBERS = {MONTHS[3 * i : 3 * i + 3]: i + 1 for i in range(12)} | {f"{i}": i for i in range(1, 13)} | {f"0{i}": i for i in range(1, 10)}
+_MONTH_FIRST = r"(?iu)^([A-Z]{3}) ?(\d{1,2}), ?(\d{4})$"
+_MONTH_NUMBERS = {f"0{i}": i for i in range(1, 10)} | {f"{i}": i for i in range(1, 13)} | {form(MONTHS[3 * i : 3 * i + 3]): i + 1 for form in (str.title, str.upper) for i in range(12)}
 
 
 def parse_date(column: Column) -> Column:
     """Dates as y-m-d, d-m-y (or / or . or blanks between), d-Mon-y and Mon d, y; day first, two-digit years are 20yy.
 
-    Impossible dates and other shapes are null. One pattern tells the shape, its parts are read only where it fits, and no branch costs an
-    exception; all of it is generated code.
+    Impossible dates and other shapes are null. One pattern tells the shape, its parts are read only where it fits, only a month's name in
+    other letters is put in capitals, and no branch costs an exception; all of it is generated code.
     """
-    text = F.upper(strip(column))
+    text = strip(column)
     months = F.create_map(*(F.lit(x) for pair in _MONTH_NUMBERS.items() for x in (pair[0], str(pair[1]))))
+    number = lambda m: F.coalesce(F.try_element_at(months, m), F.try_element_at(months, F.upper(m)))
 
     def date(pattern: str, day: int, month: int, year: int) -> Column:
         part = lambda i: F.regexp_extract(text, pattern, i)
-        return F.concat(F.right(F.concat(F.lit("20"), part(year)), F.lit(4)), F.lit("-"), F.try_element_at(months, part(month)), F.lit("-"), part(day)).try_cast("date")
+        return F.concat(F.right(F.concat(F.lit("20"), part(year)), F.lit(4)), F.lit("-"), number(part(month)), F.lit("-"), part(day)).try_cast("date")
 
     return F.when(text.rlike(_DAY_FIRST), date(_DAY_FIRST, 1, 3, 4)).when(text.rlike(_YEAR_FIRST), text.try_cast("date")).when(text.rlike(_MONTH_FIRST), date(_MONTH_FIRST, 2, 1, 3))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallybook.functions.scalars import collapse, pack_narration, parse_date, parse_money, strip
+from tallybook.functions.scalars import collapse, computed_once, pack_narration, parse_date, parse_money, strip
 from tallybook.operators import layouts as L
 from tallybook.operators.ledger import fill_balance
 from tallybook.operators.pages import Header, banded, lined
@@ -67,7 +67,7 @@ def table_rows(rows: DataFrame) -> DataFrame:
     body = numbered.join(at, "file").where("_i > header")
     cell = lambda k: strip(F.coalesce(F.get("cells", F.col(f"at_{k}")), F.lit("")))
     text = F.array_join("cells", " ")
-    body = body.withColumns({"_date": parse_date(cell("date")), "_text": text, "_lead": collapse(cell("description"))})
+    body = computed_once(body, {"_date": parse_date(cell("date")), "_text": text, "_lead": collapse(cell("description"))})
     block = F.sum(F.col("_date").isNotNull().cast("int")).over(_SO_FAR())
     body = body.withColumn("_block", block).where("_block > 0")
     over = F.max(F.col("_text").rlike(SUMMARY).cast("int")).over(Window.partitionBy("file", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
@@ -118,10 +118,7 @@ def settled(entries: DataFrame) -> DataFrame:
 
 def header_rows(words: DataFrame, how: Header) -> DataFrame:
     """Statement rows of words under header words (date, narration, withdrawal, deposit, balance); rows are bands half way between dates."""
-    placed = lined(words)
-    edges = L.header_bounds(placed, list(how.labels))
-    below = placed.join(edges, "file").where(F.col("line") > F.col("header"))
-    below = below.withColumn("_c", F.size(F.filter("edges", lambda e: e <= (F.col("x0") + F.col("x1")) / 2)) - 1).where("_c >= 0")
+    below = L.words_below_header(lined(words), list(how.labels))
     bands = banded(below, (F.col("_c") == 0) & parse_date(F.col("text")).isNotNull())
     cells = L.lines_of_cells(bands.withColumn("x0", F.struct("line", "x0")), len(how.labels))
     get = lambda i: F.get("cells", i)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallybook.functions.scalars import bound, collapse, parse_date, parse_money, strip
+from tallybook.functions.scalars import collapse, computed_once, parse_date, parse_money, strip
 from tallybook.operators.ledger import line_blocks
 
 
@@ -138,33 +138,56 @@ LAYOUTS: dict[str, Cells | Lines | Blocks] = {
 
 def words_to_cells(words: DataFrame, bounds: list[float], line: str = "line") -> DataFrame:
     """file, seq and cells of words (file, line, text, x0, x1): each word goes to the column that its middle lies in, in order of x0."""
-    column = bound((F.col("x0") + F.col("x1")) / 2, lambda middle: reduce(lambda n, edge: n + (middle >= F.lit(float(edge))).cast("int"), bounds, F.lit(-1)))
-    inside = words.withColumn("_c", column).where(F.col("_c").between(0, len(bounds) - 2))
+    inside = words.withColumn("_c", column_of((F.col("x0") + F.col("x1")) / 2, bounds)).where(F.col("_c").between(0, len(bounds) - 2))
     return lines_of_cells(inside.withColumnRenamed(line, "seq"), len(bounds) - 1)
 
 
+def column_of(middle: Column, bounds: list[float]) -> Column:
+    """Number of the column that a place lies in; -1 left of all, the number of columns right of all."""
+    return reduce(lambda n, edge: n + (middle >= F.lit(float(edge))).cast("int"), bounds, F.lit(-1))
+
+
+def cells_of(placed: Column, width: int) -> Column:
+    """The cells of a line's words (_c, text) in order: of each column the texts between blanks."""
+    cell = lambda i: F.array_join(F.transform(F.filter(placed, lambda w: w["_c"] == i), lambda w: w["text"]), " ")
+    return F.array(*map(cell, range(width)))
+
+
 def lines_of_cells(words: DataFrame, width: int) -> DataFrame:
-    """file, seq and cells of words with their column number _c; one shuffle by line serves both steps."""
-    dealt = words.select("file", "seq", "_c", "x0", "text").repartition("file", "seq")
-    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
-    cells = dealt.groupBy("file", "seq", "_c").agg(texts.alias("text"))
-    lines = cells.groupBy("file", "seq").agg(F.map_from_entries(F.collect_list(F.struct("_c", "text"))).alias("_at"))
-    return lines.select("file", "seq", F.array(*(F.coalesce(F.try_element_at("_at", F.lit(i)), F.lit("")) for i in range(width))).alias("cells"))
+    """file, seq and cells of words with their column number _c: one group for each line, from which its cells are taken."""
+    lines = words.groupBy("file", "seq").agg(F.sort_array(F.collect_list(F.struct("x0", "text", "_c"))).alias("_w"))
+    return computed_once(lines, {"cells": cells_of(F.col("_w"), width)}).select("file", "seq", "cells")
+
+
+def headed_lines(words: DataFrame, labels: list[str], margin: float = 5.0) -> DataFrame:
+    """file, line, edges and _w, its words from left to right, of the lines below each file's header, the first line that has all labels.
+
+    edges: the left edges of the header's columns, each by `margin` before its word, and a far right edge. Words meet the header as lists of their
+    lines, by a window over the file, so nothing is joined and words are made once.
+    """
+    names = [x.upper() for x in labels]
+    upper = F.upper("text")
+    hit = F.when(upper.isin(names), F.struct(upper.alias("label"), "x0"))
+    lines = words.where("line is not null").groupBy("file", "line").agg(F.sort_array(F.collect_list(F.struct("x0", "text", "x1", "top", "page"))).alias("_w"), F.collect_list(hit).alias("_h"))
+    at = lambda name: F.array_min(F.transform(F.filter("_h", lambda h: h["label"] == name), lambda h: h["x0"])) - margin
+    whole = F.size(F.array_distinct(F.transform("_h", lambda h: h["label"]))) == len(names)
+    lines = lines.withColumn("_own", F.when((F.size("_h") >= len(names)) & whole, F.array(*map(at, names), F.lit(1e9))))
+    edges = F.first("_own", ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    return lines.withColumn("edges", edges).where("edges is not null").select("file", "line", "edges", "_w")
 
 
-def header_bounds(words: DataFrame, labels: list[str], margin: float = 5.0) -> DataFrame:
-    """file and edges: the left edges of the first header line that has all labels, each by `margin` before its word, and a far right edge."""
-    hits = words.where(F.upper("text").isin([x.upper() for x in labels])).groupBy("file", "line").agg(F.map_from_entries(F.collect_list(F.struct(F.upper("text"), "x0"))).alias("_at"))
-    whole = hits.where(F.size("_at") == len(labels)).groupBy("file").agg(F.min_by("_at", "line").alias("_at"), F.min("line").alias("header"))
-    return whole.select("file", "header", F.array(*(F.col("_at")[x.upper()] - margin for x in labels), F.lit(1e9)).alias("edges"))
+def words_below_header(words: DataFrame, labels: list[str]) -> DataFrame:
+    """Words (file, page, line, text, x0, x1, top) below each file's header with the number of their column, _c; words left of all columns go."""
+    below = headed_lines(words, labels).select("file", "line", "edges", F.inline("_w"))
+    return below.withColumn("_c", F.size(F.filter("edges", lambda e: e <= (F.col("x0") + F.col("x1")) / 2)) - 1).where("_c >= 0").drop("edges")
 
 
 def words_to_header_cells(words: DataFrame, labels: list[str]) -> DataFrame:
-    """file, seq and cells of the words below each file's header, by the header's own columns."""
-    both = words.join(header_bounds(words, labels), "file").where(F.col("line") > F.col("header"))
-    column = bound((F.col("x0") + F.col("x1")) / 2, lambda middle: F.size(F.filter("edges", lambda e: e <= middle)) - 1)
-    both = both.withColumn("_c", column).where("_c >= 0")
-    return lines_of_cells(both.withColumnRenamed("line", "seq"), len(labels))
+    """file, seq and cells of the words below each file's header, by the header's own columns; lines without words in them go."""
+    column = lambda w: F.size(F.filter("edges", lambda e: e <= (w["x0"] + w["x1"]) / 2)) - 1
+    placed = computed_once(headed_lines(words, labels), {"_w": F.transform("_w", lambda w: F.struct(column(w).alias("_c"), w["text"].alias("text")))})
+    placed = placed.where(F.exists("_w", lambda w: w["_c"] >= 0))
+    return computed_once(placed, {"cells": cells_of(F.col("_w"), len(labels))}).select("file", F.col("line").alias("seq"), "cells")
 
 
 def statement(name: str, rows: DataFrame) -> DataFrame:
@@ -223,7 +246,7 @@ def cell_statement(rows: DataFrame, layout: Cells) -> DataFrame:
     width = F.size("cells")
     place = lambda k: reduce(lambda out, it: F.when(width == it[0], get(it[1][k])).otherwise(out), layout.at.items(), F.lit(None).cast("string"))
     names = ["date", "narration", "reference", "out", "in", "end"]
-    parts = rows.where(width.isin(list(layout.at))).select("file", "seq", *(strip(F.coalesce(place(k), F.lit(""))).alias(n) for k, n in enumerate(names)))
+    parts = computed_once(rows.where(width.isin(list(layout.at))).select("file", "seq", "cells"), {n: strip(F.coalesce(place(k), F.lit(""))) for k, n in enumerate(names)}).drop("cells")
     parts = parts.where(reduce(lambda a, b: a | b, (F.col(n) != "" for n in names)))
     if layout.split_dates:
         day, year = r"^\d{1,2}-([A-Za-z]{3}|\d{1,2})-$", r"^\d{4}$"
@@ -241,8 +264,9 @@ def cell_statement(rows: DataFrame, layout: Cells) -> DataFrame:
     if layout.skip:
         noise = F.concat_ws(" ", "narration", "reference").rlike(layout.skip)
         parts = parts.withColumn("_noise", noise)
-    parts = parts.withColumns({"txn_date": parse_date(F.col("date")), "balance": _signed(F.col("end")), **_narrations(F.col("narration"), F.col("reference"), layout.cut, layout.between)})
-    out, in_ = _amount(F.col("out")), _amount(F.col("in"))
+    parts = computed_once(parts, {"txn_date": parse_date(F.col("date"))} | _narrations(F.col("narration"), F.col("reference"), layout.cut, layout.between))
+    parts = computed_once(parts, {"balance": _signed(F.col("end")), "_out": _amount(F.col("out")), "_in": _amount(F.col("in"))})
+    out, in_ = F.col("_out"), F.col("_in")
     before = F.last("balance", ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
     change = F.col("balance") - F.coalesce(before, F.lit(0))
     if layout.side == "delta":
@@ -319,16 +343,17 @@ def block_statement(lines: DataFrame, layout: Blocks) -> DataFrame:
         kept = kept.withColumn("_begun", begun).where("_begun").drop("_begun")
     kept = kept.where(~F.col("line").rlike(layout.noise)) if layout.noise else kept
     blocks = line_blocks(kept, ["file"], "seq", F.col("line").rlike(layout.start)).withColumnRenamed("block", "seq")
-    text = collapse(F.col("text"))
+    text = collapse(F.col("text"))  # each step below is computed once, as filters and later columns use it
     if layout.tail:
         text = strip(F.get(F.split(text, layout.tail, 2), 0))
-    blocks = blocks.select("file", "seq", text.alias("text"))
-    found = blocks.withColumns({"_v": F.regexp_extract_all("text", F.lit(layout.amount), F.lit(1)), "_t": F.regexp_extract_all("text", F.lit(layout.amount), F.lit(2))}).where("size(_v) > 0")
+    blocks = computed_once(blocks, {"text": text}).select("file", "seq", "text")
+    found = computed_once(blocks, {"_v": F.regexp_extract_all("text", F.lit(layout.amount), F.lit(1)), "_t": F.regexp_extract_all("text", F.lit(layout.amount), F.lit(2))}).where("size(_v) > 0")
     n = F.size("_v")
     last, tag = F.get("_v", n - 1), F.lower(F.get("_t", n - 1))
     amount = F.when(n > 1, parse_money(F.get("_v", n - 2)))
     own = F.lower(F.when(n > 1, F.get("_t", n - 2)))
-    found = found.withColumns({"balance": F.when(tag == "dr", -parse_money(last)).otherwise(parse_money(last)), "_amount": amount, "_tag": own})
+    end = parse_money(last)
+    found = computed_once(found, {"_end": end, "_amount": amount, "_tag": own, "_last_tag": tag}).withColumn("balance", F.when(F.col("_last_tag") == "dr", -F.col("_end")).otherwise(F.col("_end")))
     change = F.col("balance") - F.lag("balance").over(_order())
     says = lambda p: F.col("text").rlike(p) if p else F.lit(False)
     yes, no = says(layout.credit), says(layout.debit)

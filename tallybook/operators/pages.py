@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallybook.functions.scalars import collapse
+from tallybook.functions.scalars import collapse, computed_once
 from tallybook.operators import layouts as L
 from tallybook.session import written
 
@@ -146,9 +146,7 @@ def words_to_rows(name: str, words: DataFrame) -> DataFrame:
         return _chosen(placed, how)
     if how.ahead is None and not how.halves:
         return L.words_to_header_cells(placed, list(how.labels))
-    edges = L.header_bounds(placed, list(how.labels))
-    below = placed.join(edges, "file").where(F.col("line") > F.col("header"))
-    below = below.withColumn("_c", F.size(F.filter("edges", lambda e: e <= (F.col("x0") + F.col("x1")) / 2)) - 1).where("_c >= 0")
+    below = L.words_below_header(placed, list(how.labels))
     bands = banded(below, (F.col("_c") == 0) & F.col("text").rlike(how.date), None if how.halves else how.ahead)
     # Within a band's cell words go line by line.
     across = F.struct(F.col("line"), F.col("x0"))
@@ -156,13 +154,25 @@ def words_to_rows(name: str, words: DataFrame) -> DataFrame:
 
 
 def _chosen(placed: DataFrame, how: Fixed) -> DataFrame:
-    """Cells by the edges that each file's own header asks for."""
-    texts = line_texts(placed)
-    which = F.coalesce(*(F.when(F.col("line").rlike(p), i) for i, (_, p) in enumerate(how.choices)))
-    first = texts.withColumn("_i", which).where("_i is not null").groupBy("file").agg(F.min_by("_i", "seq").alias("_i"))
-    found = placed.join(first, "file", "left").withColumn("_i", F.coalesce("_i", F.lit(0)))
-    out = [L.words_to_cells(found.where(F.col("_i") == i), L.BOUNDS[key]) for i, (key, _) in enumerate(how.choices)]
-    return reduce(DataFrame.unionByName, out)
+    """Cells by the edges that each file's own header asks for.
+
+    Lines are lists of their words, so that a window over the file tells them its header and nothing is joined.
+    """
+    lines = placed.groupBy("file", F.col("line").alias("seq")).agg(F.sort_array(F.collect_list(F.struct("x0", "text", "x1"))).alias("_w"))
+    lines = computed_once(lines, {"_line": F.array_join(F.transform("_w", lambda w: w["text"]), " ")})
+    which = F.coalesce(*(F.when(F.col("_line").rlike(p), i) for i, (_, p) in enumerate(how.choices)))
+    lines = lines.withColumn("_i", which)
+    first = F.min_by("_i", F.when(F.col("_i").isNotNull(), F.col("seq"))).over(Window.partitionBy("file"))
+    lines = lines.select("file", "seq", "_w", F.coalesce(first, F.lit(0)).alias("_i"))
+    out = None
+    for i, (key, _) in enumerate(how.choices):
+        bounds = L.BOUNDS[key]
+        inside = F.filter(F.transform("_w", lambda w: F.struct(L.column_of((w["x0"] + w["x1"]) / 2, bounds).alias("_c"), w["text"].alias("text"))), lambda w: w["_c"].between(0, len(bounds) - 2))
+        out = (F if out is None else out).when(F.col("_i") == i, F.struct(inside.alias("w"), F.lit(i).alias("i")))
+    lines = computed_once(lines, {"_p": out}).where("size(_p.w) > 0")
+    widths = [len(L.BOUNDS[key]) - 1 for key, _ in how.choices]
+    cells = L.cells_of(F.col("_p.w"), max(widths))
+    return computed_once(lines, {"cells": F.slice(cells, F.lit(1), F.get(F.array(*map(F.lit, widths)), F.col("_p.i")))}).select("file", "seq", "cells")
 
 
 def words_statement(name: str, words: DataFrame) -> DataFrame:

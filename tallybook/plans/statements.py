@@ -33,8 +33,17 @@ def cut(n: int = 90, between: str = "  ", ref: str = "ref") -> dict[str, str]:
     return {"n1": f"trim(left(narr, {n}))", "n2": f"trim(CASE WHEN {ref} = '' OR {rest} = '' THEN {rest} || {ref} ELSE {rest} || '{between}' || {ref} END)"}
 
 
+#: Orders that one task prints and reads at most, but for chance and large files: what they print is some hundred times as large.
+ORDERS = 25_000
+
+
 def transactions(spark, sf) -> DataFrame:
+    """Entries of the orders, dealt by file to as many tasks as there are ORDERS of them; what follows keeps a file in its task.
+
+    The number is given, as orders are small and Spark would put many partitions of them together before they are printed.
+    """
     o = table(spark, sf, "orders")
+    o = o.repartition(max(spark.sparkContext.defaultParallelism, -(-o.count() // ORDERS)), "o_custkey")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     amount = F.col("o_totalprice").cast("decimal(18,2)")
     signed = F.when(F.col("o_orderstatus") == "F", -amount).otherwise(amount)

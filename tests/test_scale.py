@@ -112,3 +112,30 @@ def test_gaps_of_accounts_without_a_customer_are_those_of_the_sql(spark, tmp_pat
     want = sorted(db.sql(coverage.ORACLES["invert_ranges"]).fetchall())
     assert {r[0] for r in want} == {0, 1, 2, 3, 4, 9}
     assert sorted(map(tuple, coverage.QUERIES["invert_ranges"](spark, str(tmp_path)).collect())) == want
+
+
+def _orders(spark, tmp_path, rows):
+    from datetime import timedelta
+
+    made = [(k, k % 4, "FO"[k % 2], 10.0 + k, datetime(1997, 1, 5) + timedelta(days=k), "5-LOW") for k in range(1, rows + 1)]
+    spark.createDataFrame(made, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    return str(tmp_path)
+
+
+def test_statements_are_printed_by_more_tasks_as_orders_grow(spark, tmp_path, monkeypatch):
+    from tallybook.plans import statements as S
+
+    sf = _orders(spark, tmp_path, 60)
+    monkeypatch.setattr(S, "ORDERS", 5)
+    out = S.transactions(spark, sf)
+    assert "REPARTITION_BY_NUM" in plan(out) and out.rdd.getNumPartitions() == 12
+
+
+def test_words_of_a_file_are_shuffled_once_and_never_joined(spark, tmp_path):
+    from tallybook.plans import statements as S
+
+    sf = _orders(spark, tmp_path, 60)
+    for name in ("statement_pnb_1", "statement_kotak_2", "statement_sbi_2", "statement_kotak_1"):
+        steps = plan(S.QUERIES[name](spark, sf))
+        assert steps.count("Exchange hashpartitioning") == 1 and "Join" not in steps, name
+    assert "Join" not in plan(S.QUERIES["statement_bob_1"](spark, sf))
