@@ -31,8 +31,9 @@ from tallybook.session import table, written
 
 BANDS, ROWS = 32, 4
 SHINGLE_WORDS, PER_CENT = 5, 75
-#: Centres of a bucket in round r: about GROWTH**r, so a bucket of 65,536 members takes four rounds at most.
-GROWTH = 16
+#: Centres of a bucket in round r: about FIRST * GROWTH**(r - 1), so a bucket of 16,384 members takes four rounds at most. The first are few, as
+#: each member of a group of copies meets them in every bucket that they share, and mostly is in their component after that.
+FIRST, GROWTH = 4, 16
 SKETCH_BITS, WIDE = 1024, 512
 #: Pairs of one document that a task checks at least before they are dealt to several, and documents with so many at most.
 CHUNK, HOT = 256, 20_000
@@ -214,6 +215,12 @@ def shared_shingles(texts: DataFrame) -> DataFrame:
     return lone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
 
 
+def centres_of(members: DataFrame, rounds: int) -> DataFrame:
+    """The members that are centres of their buckets in a round: the lowest by a fixed place in [0, 1), all once the round's number reaches the size."""
+    place = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    return members.where(place * F.col("size") < float(FIRST * GROWTH ** (rounds - 1)))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id, kept.
 
@@ -256,18 +263,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rounds, open_ = 0, written(_torn(members, found), "open")
     while True:
         rounds += 1
-        # A fixed place of each member in [0, 1): centres are the lowest ones, all members once GROWTH**rounds reaches the size.
-        place = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
         # A large bucket's members are dealt to parts, each of which meets all its centres.
         parts = F.ceil(F.col("size") / PART).cast("int")
-        centres = open_.where(place * F.col("size") < float(GROWTH**rounds)).select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("centre"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other"), *(F.col(w).alias(f"{w}_") for w in words))
+        centres = centres_of(open_, rounds).select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("centre"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("component").alias("other"), *(F.col(w).alias(f"{w}_") for w in words))
         ends = [F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"), F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m")]
         met = open_.withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), parts).cast("int")).join(centres, ["bucket", "part"]).where(possible & (F.col("component") != F.col("other")))
         met = written(met.select(*ends).distinct().join(checked, ["a", "b"], "left_anti"), "met")
         pairs = written(bounded(met, sketches), "pairs")
         checked = checked.unionByName(met.select("a", "b"))
         fresh = None if pairs.isEmpty() else written(confirmed(pairs, texts), "links")
-        more = not open_.where(F.col("size") > float(GROWTH**rounds)).isEmpty()
+        more = not open_.where(F.col("size") > float(FIRST * GROWTH ** (rounds - 1))).isEmpty()
         if fresh is not None:
             if not fresh.isEmpty():
                 found = written(joined(found, fresh), "components")

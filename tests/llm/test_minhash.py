@@ -181,3 +181,9 @@ def test_new_links_join_found_components(spark, seed):
     link = lambda rows: spark.createDataFrame(rows, "a long, b long")
     got = {(r.id, r.component) for r in joined(components(link(first)), link(second)).collect()}
     assert got == {(r.id, r.component) for r in components(link(first + second)).collect()}
+
+
+def test_few_centres_at_first_and_every_member_at_last(spark):
+    members = spark.range(1000).selectExpr("id", "1 as bucket", "1000 as size")
+    counts = [minhash.centres_of(members, r).count() for r in (1, 2, 3)]
+    assert 1 <= counts[0] < 10 < counts[1] < 100 and counts[2] == 1000
