@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallybook.functions.scalars import collapse, normalize_pan, parse_date, parse_money, strip
+from tallybook.functions.scalars import bound, collapse, computed_once, normalize_pan, parse_date, parse_money, strip
 
 # Header words by kind, in order of preference.
 HEADER_WORDS = {
@@ -24,11 +24,13 @@ HEADER_WORDS = {
 
 def header_kind(cell: Column, words: dict[str, str] = HEADER_WORDS) -> Column:
     """Kind of a header cell; unknown if no word fits."""
-    text = F.lower(collapse(F.coalesce(cell, F.lit(""))))
-    out = F.lit("unknown")
-    for kind, pattern in reversed(list(words.items())):
-        out = F.when(text.rlike(pattern), kind).otherwise(out)
-    return out
+    def kind_of(text: Column) -> Column:
+        out = F.lit("unknown")
+        for kind, pattern in reversed(list(words.items())):
+            out = F.when(text.rlike(pattern), kind).otherwise(out)
+        return out
+
+    return bound(F.lower(collapse(F.coalesce(cell, F.lit("")))), kind_of)
 
 
 # The points of the header and acknowledgement scores below.
@@ -42,7 +44,8 @@ def header_score(kinds: Column) -> Column:
 
 def best_header(rows: DataFrame, keys: list[str], seq: str, cells: str, first: int = 6) -> DataFrame:
     """The row with the best header score among the first rows of each table, the earliest of equals; it has to exceed -1."""
-    scored = rows.where(F.col(seq) < first).withColumn("score", header_score(F.transform(cells, lambda c: header_kind(c)))).where("score > -1")
+    kinds = computed_once(rows.where(F.col(seq) < first), {"_kinds": F.transform(cells, lambda c: header_kind(c))})
+    scored = computed_once(kinds, {"score": header_score(F.col("_kinds"))}).where("score > -1")
     best = scored.groupBy(*keys).agg(F.max_by(F.struct(seq, "score"), F.struct("score", -F.col(seq))).alias("b"))
     return best.select(*keys, F.col(f"b.{seq}").alias(seq), F.col("b.score").alias("score"))
 

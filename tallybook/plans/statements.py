@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tallybook.operators import layouts as L
 from tallybook.operators import pages as P
 from tallybook.operators import statements as T
-from tallybook.session import table
+from tallybook.session import dealt, table
 
 QUERIES, ORACLES = {}, {}
 #: How each layout's files are printed: cells, lines or words.
@@ -38,12 +38,8 @@ ORDERS = 25_000
 
 
 def transactions(spark, sf) -> DataFrame:
-    """Entries of the orders, dealt by file to as many tasks as there are ORDERS of them; what follows keeps a file in its task.
-
-    The number is given, as orders are small and Spark would put many partitions of them together before they are printed.
-    """
-    o = table(spark, sf, "orders")
-    o = o.repartition(max(spark.sparkContext.defaultParallelism, -(-o.count() // ORDERS)), "o_custkey")
+    """Entries of the orders, dealt by file to as many tasks as there are ORDERS of them; what follows keeps a file in its task."""
+    o = dealt(table(spark, sf, "orders"), ORDERS, "o_custkey")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     amount = F.col("o_totalprice").cast("decimal(18,2)")
     signed = F.when(F.col("o_orderstatus") == "F", -amount).otherwise(amount)

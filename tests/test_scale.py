@@ -139,3 +139,19 @@ def test_words_of_a_file_are_shuffled_once_and_never_joined(spark, tmp_path):
         steps = plan(S.QUERIES[name](spark, sf))
         assert steps.count("Exchange hashpartitioning") == 1 and "Join" not in steps, name
     assert "Join" not in plan(S.QUERIES["statement_bob_1"](spark, sf))
+
+
+def _customers(spark, tmp_path, n):
+    spark.range(1, n + 1).selectExpr("id as c_custkey", "'X' as c_name", "1 as c_nationkey", "0.0D as c_acctbal", "'M' as c_mktsegment").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    return str(tmp_path)
+
+
+def test_headers_are_scored_by_more_tasks_as_tables_grow_and_each_cell_once(spark, tmp_path, monkeypatch):
+    from tallybook.plans import ledgers
+
+    sf = _customers(spark, tmp_path, 60)
+    monkeypatch.setattr(ledgers, "TABLES", 5)
+    out = ledgers.QUERIES["header_score"](spark, sf)
+    assert plan(out).count("Exchange hashpartitioning") == 1 and out.rdd.getNumPartitions() == 12
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("closing bal") == 1
+    assert out.count() == 54
