@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallybook.functions.scalars import collapse, computed_once
+from tallybook.functions.scalars import bound, collapse, computed_once
 from tallybook.operators import layouts as L
 from tallybook.session import written
 
@@ -237,13 +237,16 @@ def page_rule(text: Column, rules: list[Rule] = RULES) -> Column:
     """Place of the first rule that a page's text fits, else null."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), "[​ ]", " ")
 
-    def seen(p: str | tuple[str, int]) -> Column:
-        if isinstance(p, tuple):
-            return F.regexp_count(clean, F.lit(p[0])) >= p[1]
-        return clean.rlike(p if p.startswith("(?") else f"(?i){p}")
+    def first_rule(page: Column) -> Column:
+        def seen(p: str | tuple[str, int]) -> Column:
+            if isinstance(p, tuple):
+                return F.regexp_count(page, F.lit(p[0])) >= p[1]
+            return page.rlike(p if p.startswith("(?") else f"(?i){p}")
 
-    fits = [reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, map(seen, part)) for part in rule.parts)) for rule in rules]
-    return reduce(lambda out, it: F.when(it[1], it[0]).otherwise(out), reversed(list(enumerate(fits))), F.lit(None).cast("int"))
+        fits = [reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, map(seen, part)) for part in rule.parts)) for rule in rules]
+        return reduce(lambda out, it: F.when(it[1], it[0]).otherwise(out), reversed(list(enumerate(fits))), F.lit(None).cast("int"))
+
+    return bound(clean, first_rule)
 
 
 def file_layouts(files: DataFrame, pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -257,7 +260,8 @@ def file_layouts(files: DataFrame, pages: DataFrame, rules: list[Rule] = RULES)
     names = F.array(*(F.lit(r.layout) for r in rules))
     told = F.when(~F.coalesce("found", F.lit(False)), MISSING).when(~F.coalesce("opened", F.lit(False)), UNREADABLE).when(F.col("_text").isNull(), NO_PAGES)
     told = told.when(F.col("_rule").isNotNull(), F.get(names, F.col("_rule"))).when(~F.col("_text"), NO_TEXT).otherwise(UNKNOWN)
-    return files.join(best, "file", "left").select("file", told.alias("layout"))
+    # Both sides grow with the files, so neither is broadcast.
+    return files.join(best.hint("merge"), "file", "left").select("file", told.alias("layout"))
 
 
 def read_statements(layouts: DataFrame, cells: DataFrame, lines: DataFrame, words: DataFrame) -> DataFrame:

@@ -155,3 +155,14 @@ def test_headers_are_scored_by_more_tasks_as_tables_grow_and_each_cell_once(spar
     assert plan(out).count("Exchange hashpartitioning") == 1 and out.rdd.getNumPartitions() == 12
     assert out._jdf.queryExecution().optimizedPlan().toString().count("closing bal") == 1
     assert out.count() == 54
+
+
+def test_pages_are_matched_by_more_tasks_as_files_grow_and_cleaned_once(spark, tmp_path, monkeypatch):
+    from tallybook.plans import pages
+
+    sf = _customers(spark, tmp_path, 60)
+    monkeypatch.setattr(pages, "FILES", 5)
+    out = pages.QUERIES["detected_layouts"](spark, sf)
+    assert "Broadcast" not in plan(out) and out.rdd.getNumPartitions() == 12
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("[​ ]") == 1
+    assert {r.layout for r in out.collect()} == {*pages.NAMES, *pages.SPECIAL}
