@@ -165,15 +165,18 @@ def computed_once(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
 
 
 def parse_money(column: Column, scale: int = 2) -> Column:
-    """Amounts with thousands in any grouping, currency words, (x) and a Dr mark negative, '-' zero; else null."""
+    """Amounts with thousands in any grouping, currency words, (x) and a Dr mark negative, '-' zero; else null.
+
+    Texts without a digit are never cast, as each would cost an exception.
+    """
     kind = f"decimal(18,{scale})"
 
     def amount(text: Column) -> Column:
-        core = F.regexp_replace(text, r"(inr|rs\.?|₹|cr\.?$|dr\.?$|[,()\s+-])", "").try_cast(kind)
-        negative = text.rlike(r"^\(.*\)$|dr\.?$|^-\s*[\d.]")
-        return F.when(text.isin("-", "--", "nil"), F.lit(0).cast(kind)).otherwise((core * F.when(negative, -1).otherwise(1)).cast(kind))
+        core = F.regexp_replace(text, r"(?i)(inr|rs\.?|₹|cr\.?$|dr\.?$|[,()\s+-])", "").try_cast(kind)
+        negative = text.rlike(r"(?i)^\(.*\)$|dr\.?$|^-\s*[\d.]")
+        return F.when(text.rlike(r"\p{Nd}"), (core * F.when(negative, -1).otherwise(1)).cast(kind)).when(F.lower(text).isin("-", "--", "nil"), F.lit(0).cast(kind))
 
-    return bound(F.lower(strip(column)), amount)
+    return bound(strip(column), amount)
 
 
 # Shapes of dates: day, month and year between equal marks; year first; month name first.

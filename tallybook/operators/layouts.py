@@ -147,9 +147,14 @@ def column_of(middle: Column, bounds: list[float]) -> Column:
     return reduce(lambda n, edge: n + (middle >= F.lit(float(edge))).cast("int"), bounds, F.lit(-1))
 
 
+def column_below(middle: Column, width: int) -> Column:
+    """The same by the `edges` of a header of so many columns."""
+    return reduce(lambda n, i: n + F.coalesce((F.get("edges", i) <= middle).cast("int"), F.lit(0)), range(width + 1), F.lit(-1))
+
+
 def cells_of(placed: Column, width: int) -> Column:
     """The cells of a line's words (_c, text) in order: of each column the texts between blanks."""
-    cell = lambda i: F.array_join(F.transform(F.filter(placed, lambda w: w["_c"] == i), lambda w: w["text"]), " ")
+    cell = lambda i: F.array_join(F.filter(placed, lambda w: w["_c"] == i)["text"], " ")
     return F.array(*map(cell, range(width)))
 
 
@@ -179,12 +184,12 @@ def headed_lines(words: DataFrame, labels: list[str], margin: float = 5.0) -> Da
 def words_below_header(words: DataFrame, labels: list[str]) -> DataFrame:
     """Words (file, page, line, text, x0, x1, top) below each file's header with the number of their column, _c; words left of all columns go."""
     below = headed_lines(words, labels).select("file", "line", "edges", F.inline("_w"))
-    return below.withColumn("_c", F.size(F.filter("edges", lambda e: e <= (F.col("x0") + F.col("x1")) / 2)) - 1).where("_c >= 0").drop("edges")
+    return below.withColumn("_c", column_below((F.col("x0") + F.col("x1")) / 2, len(labels))).where("_c >= 0").drop("edges")
 
 
 def words_to_header_cells(words: DataFrame, labels: list[str]) -> DataFrame:
     """file, seq and cells of the words below each file's header, by the header's own columns; lines without words in them go."""
-    column = lambda w: F.size(F.filter("edges", lambda e: e <= (w["x0"] + w["x1"]) / 2)) - 1
+    column = lambda w: column_below((w["x0"] + w["x1"]) / 2, len(labels))
     placed = computed_once(headed_lines(words, labels), {"_w": F.transform("_w", lambda w: F.struct(column(w).alias("_c"), w["text"].alias("text")))})
     placed = placed.where(F.exists("_w", lambda w: w["_c"] >= 0))
     return computed_once(placed, {"cells": cells_of(F.col("_w"), len(labels))}).select("file", F.col("line").alias("seq"), "cells")
@@ -259,7 +264,7 @@ def cell_statement(rows: DataFrame, layout: Cells) -> DataFrame:
         block = F.sum(dated.cast("int")).over(_order().rowsBetween(Window.unboundedPreceding, 0))
         lists = F.sort_array(F.collect_list(F.struct("seq", *names)))
         whole = parts.withColumn("_block", block).where("_block > 0").groupBy("file", "_block").agg(lists.alias("_l"))
-        glue = lambda n: F.array_join(F.filter(F.transform("_l", lambda x: x[n]), lambda x: x != ""), layout.joined).alias(n)
+        glue = lambda n: F.array_join(F.array_remove(F.col("_l")[n], ""), layout.joined).alias(n)
         parts = whole.select("file", F.get("_l", 0)["seq"].alias("seq"), *(F.get("_l", 0)["date"].alias("date") if n == "date" else glue(n) for n in names))
     if layout.skip:
         noise = F.concat_ws(" ", "narration", "reference").rlike(layout.skip)

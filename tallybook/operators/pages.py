@@ -69,7 +69,7 @@ def banded(words: DataFrame, anchor: Column, ahead: float | None = None) -> Data
         marked = marked.withColumn("_from", F.when(F.col("_anchor"), F.coalesce((before + F.col("top")) / 2, F.lit(float("-inf")))))
     else:
         marked = marked.withColumn("_from", F.when(F.col("_anchor"), F.col("top") - ahead))
-    both = marked.select("*", F.explode(F.filter(F.array(F.struct(F.col("_from").alias("_y"), F.lit(0).alias("_is_word")), F.struct(F.col("top").alias("_y"), F.lit(1).alias("_is_word"))), lambda e: e["_y"].isNotNull())).alias("_e")).select("*", "_e.*").drop("_e")
+    both = marked.select("*", F.inline(F.array(F.struct(F.col("_from").alias("_y"), F.lit(0).alias("_is_word")), F.struct(F.col("top").alias("_y"), F.lit(1).alias("_is_word"))))).where("_y is not null")
     order = page.orderBy("_y", "_is_word").rowsBetween(Window.unboundedPreceding, 0)
     band = F.last(F.when(F.col("_is_word") == 0, F.col("top")), ignorenulls=True).over(order)
     placed = both.withColumn("_band", band).where("_is_word = 1 and _band is not null")

@@ -87,7 +87,7 @@ def words(rows: DataFrame, bounds: list[float], labels: list[str] | None = None)
 
     Words stand inside their columns; labels, which are a header's, at the left of theirs.
     """
-    each = rows.select("file", "seq", F.posexplode("cells").alias("c", "cell")).where("cell <> ''").select("file", "seq", "c", "cell", F.posexplode(F.split("cell", " ")).alias("i", "text"), F.size(F.split("cell", " ")).alias("m"))
+    each = rows.select("file", "seq", F.posexplode("cells").alias("c", "cell")).where("cell <> ''").select("*", F.size(F.split("cell", " ")).alias("m")).select("*", F.posexplode(F.split("cell", " ")).alias("i", "text"))
     edges = F.array(*map(F.lit, map(float, bounds)))
     left, right = F.get(edges, F.col("c")), F.get(edges, F.col("c") + 1)
     x = left + (F.least(right, left + 200.0) - left) * (F.col("i") + 1) / (F.col("m") + 1)

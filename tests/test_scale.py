@@ -166,3 +166,21 @@ def test_pages_are_matched_by_more_tasks_as_files_grow_and_cleaned_once(spark, t
     assert "Broadcast" not in plan(out) and out.rdd.getNumPartitions() == 12
     assert out._jdf.queryExecution().optimizedPlan().toString().count("[​ ]") == 1
     assert {r.layout for r in out.collect()} == {*pages.NAMES, *pages.SPECIAL}
+
+
+def test_amounts_without_a_digit_are_never_cast_and_read_as_before(spark):
+    from tallybook.functions.scalars import parse_money
+
+    want = {"1,23,456.78": "123456.78", "(12.00)": "-12.00", "-": "0.00", "--": "0.00", " NIL\n": "0.00", "12.50 Dr": "-12.50", "12.50 CR.": "12.50", "INR 5": "5.00", "Rs. - 7": "7.00", "- 7": "-7.00", "1E2": "100.00",
+            "٣": "3.00", "": None, "Dr": None, "nil ": None, "()": None, "x1": None, "1.2.3": None, "-.": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in want], "t string").select("t", parse_money(F.col("t")).alias("v"))
+    assert {r.t: r.v and str(r.v) if r.v != 0 else "0.00" for r in rows.collect()} == want
+    steps = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= steps.index("Nd}") < steps.index("cast(", steps.index("Nd}"))
+
+
+def test_words_of_a_cell_are_counted_once_a_cell(spark, tmp_path):
+    from tallybook.plans import statements as S
+
+    steps = S.PRINTED["spcb_2"](S.transactions(spark, _orders(spark, tmp_path, 8)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(split(" in steps.split("posexplode(split(")[1] and "size(split(" not in steps.split("posexplode(split(")[0]
