@@ -174,7 +174,7 @@ def parse_money(column: Column, scale: int = 2) -> Column:
     def amount(text: Column) -> Column:
         core = F.regexp_replace(text, r"(?i)(inr|rs\.?|₹|cr\.?$|dr\.?$|[,()\s+-])", "").try_cast(kind)
         negative = text.rlike(r"(?i)^\(.*\)$|dr\.?$|^-\s*[\d.]")
-        return F.when(text.rlike(r"\p{Nd}"), (core * F.when(negative, -1).otherwise(1)).cast(kind)).when(F.lower(text).isin("-", "--", "nil"), F.lit(0).cast(kind))
+        return F.when(text.rlike(r"\p{Nd}"), (core * F.when(negative, -1).otherwise(1)).cast(kind)).when(text.isin("-", "--") | text.rlike(r"(?i)^nil\z"), F.lit(0).cast(kind))
 
     return bound(strip(column), amount)
 
