@@ -184,3 +184,18 @@ def test_words_of_a_cell_are_counted_once_a_cell(spark, tmp_path):
 
     steps = S.PRINTED["spcb_2"](S.transactions(spark, _orders(spark, tmp_path, 8)))._jdf.queryExecution().optimizedPlan().toString()
     assert "size(split(" in steps.split("posexplode(split(")[1] and "size(split(" not in steps.split("posexplode(split(")[0]
+
+
+def test_statements_are_read_in_the_tasks_that_their_orders_are_dealt_to(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from tallybook.plans import statements as S
+
+    sf = _orders(spark, tmp_path, 60)
+    monkeypatch.setattr(S, "ORDERS", 5, raising=False)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet/*.parquet'")
+    for name in ("statement_icici_2", "statement_sbi_2"):
+        out = S.QUERIES[name](spark, sf)
+        assert plan(out).count("Exchange ") == 1 and out.rdd.getNumPartitions() == 12, name
+        assert sorted(map(tuple, out.collect())) == sorted(db.sql(S.ORACLES[name]).fetchall()), name
