@@ -167,14 +167,15 @@ def computed_once(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
 def parse_money(column: Column, scale: int = 2) -> Column:
     """Amounts with thousands in any grouping, currency words, (x) and a Dr mark negative, '-' zero; else null.
 
-    Texts without a digit are never cast, as each would cost an exception.
+    Texts without a digit are never cast, as each would cost an exception; plain numbers need one pattern only.
     """
     kind = f"decimal(18,{scale})"
 
     def amount(text: Column) -> Column:
         core = F.regexp_replace(text, r"(?i)(inr|rs\.?|₹|cr\.?$|dr\.?$|[,()\s+-])", "").try_cast(kind)
         negative = text.rlike(r"(?i)^\(.*\)$|dr\.?$|^-\s*[\d.]")
-        return F.when(text.rlike(r"\p{Nd}"), (core * F.when(negative, -1).otherwise(1)).cast(kind)).when(text.isin("-", "--") | text.rlike(r"(?i)^nil\z"), F.lit(0).cast(kind))
+        plain = F.translate(text, ",", "").try_cast(kind)
+        return F.when(text.rlike(r"^-?[0-9][0-9,]*(?:\.[0-9]+)?\z"), plain).when(text.rlike(r"\p{Nd}"), (core * F.when(negative, -1).otherwise(1)).cast(kind)).when(text.isin("-", "--") | text.rlike(r"(?i)^nil\z"), F.lit(0).cast(kind))
 
     return bound(strip(column), amount)
 
@@ -251,10 +252,13 @@ def split_long_narration(column: Column, whole: int = 400, width: int = 380) ->
 
 def pack_narration(lead: Column, tail: Column) -> Column:
     """Struct (first, second): a tail that is a reference, or has a word for one, stays apart, any other is joined to the lead."""
-    a, b = collapse(F.coalesce(lead, F.lit(""))), collapse(F.coalesce(tail, F.lit("")))
-    apart = b.rlike(REFERENCE_LIKE) | b.rlike(REFERENCE_WORD)
-    first = F.when(a == "", b).when(apart, a).otherwise(F.trim(F.concat_ws(" ", a, b)))
-    return F.struct(first.alias("first"), F.when((a != "") & apart, b).otherwise("").alias("second"))
+    def pack(parts: Column) -> Column:
+        a, b = parts["a"], parts["b"]
+        apart = b.rlike(REFERENCE_LIKE) | b.rlike(REFERENCE_WORD)
+        both = F.struct(F.trim(F.concat_ws(" ", a, b)).alias("first"), F.lit("").alias("second"))
+        return F.when(a == "", F.struct(b.alias("first"), F.lit("").alias("second"))).when(apart, F.struct(a.alias("first"), b.alias("second"))).otherwise(both)
+
+    return bound(F.struct(collapse(F.coalesce(lead, F.lit(""))).alias("a"), collapse(F.coalesce(tail, F.lit(""))).alias("b")), pack)
 
 
 def without_footer(column: Column) -> Column:

@@ -66,9 +66,16 @@ def banded(words: DataFrame, anchor: Column, ahead: float | None = None) -> Data
     marked = words.withColumn("_anchor", F.coalesce(anchor, F.lit(False)))
     if ahead is None:
         before = F.last(F.when(F.col("_anchor"), F.col("top")), ignorenulls=True).over(page.orderBy("top").rowsBetween(Window.unboundedPreceding, -1))
-        marked = marked.withColumn("_from", F.when(F.col("_anchor"), F.coalesce((before + F.col("top")) / 2, F.lit(float("-inf")))))
-    else:
-        marked = marked.withColumn("_from", F.when(F.col("_anchor"), F.col("top") - ahead))
+        marked = marked.withColumn("_before", before)
+        # Two anchors of one height are one band. Every band has its anchor in it, so the number of bands begun is that of a word's own.
+        new = (F.col("_before").isNull() | (F.col("_before") < F.col("top"))).cast("int")
+        begun = F.struct(F.coalesce((F.col("_before") + F.col("top")) / 2, F.lit(float("-inf"))).alias("_y"), F.lit(0).alias("_is_word"), new.alias("_new"))
+        both = marked.select("*", F.explode(F.array(F.when(F.col("_anchor") & F.col("top").isNotNull(), begun), F.struct(F.col("top").alias("_y"), F.lit(1).alias("_is_word"), F.lit(0).alias("_new")))).alias("_e"))
+        both = both.where("_e._y is not null").select(*words.columns, "_e.*")
+        number = F.sum("_new").over(page.orderBy("_y", "_is_word").rowsBetween(Window.unboundedPreceding, 0))
+        placed = both.withColumn("_number", number).where("_is_word = 1 and _number > 0")
+        return placed.withColumn("seq", F.col("page").cast("long") * PAGE + F.col("_number")).drop("_y", "_is_word", "_new", "_number")
+    marked = marked.withColumn("_from", F.when(F.col("_anchor"), F.col("top") - ahead))
     both = marked.select("*", F.inline(F.array(F.struct(F.col("_from").alias("_y"), F.lit(0).alias("_is_word")), F.struct(F.col("top").alias("_y"), F.lit(1).alias("_is_word"))))).where("_y is not null")
     order = page.orderBy("_y", "_is_word").rowsBetween(Window.unboundedPreceding, 0)
     band = F.last(F.when(F.col("_is_word") == 0, F.col("top")), ignorenulls=True).over(order)

@@ -23,12 +23,15 @@ HEADER_WORDS = {
 
 
 def header_kind(cell: Column, words: dict[str, str] = HEADER_WORDS) -> Column:
-    """Kind of a header cell; unknown if no word fits."""
+    """Kind of a header cell; unknown if no word fits, which one pattern of them all tells."""
+    known = "|".join(words.values())
+    known = rf"\b(?:{known})" if all(p.startswith(r"\b") for p in words.values()) else known
+
     def kind_of(text: Column) -> Column:
         out = F.lit("unknown")
         for kind, pattern in reversed(list(words.items())):
             out = F.when(text.rlike(pattern), kind).otherwise(out)
-        return out
+        return F.when(text.rlike(known), out).otherwise("unknown")
 
     return bound(F.lower(collapse(F.coalesce(cell, F.lit("")))), kind_of)
 

@@ -74,7 +74,8 @@ def cells(tx: DataFrame, *rows: list) -> DataFrame:
     for i, row in enumerate(rows):
         when, row = row if isinstance(row, tuple) else (F.lit(True), row)
         made.append(F.when(when, F.struct((F.col("n") * 10 + i).alias("seq"), F.array(*(c if isinstance(c, Column) else F.lit(c) for c in row)).alias("cells"))))
-    return tx.select("file", F.explode(F.filter(F.array(*made), lambda r: r.isNotNull())).alias("r")).select("file", "r.seq", "r.cells")
+    # Rows that are not printed are dropped behind the generator: a lambda inside it would keep all the printing out of generated code.
+    return tx.select("file", F.explode(F.array(*made)).alias("r")).where("r is not null").select("file", "r.seq", "r.cells")
 
 
 def lines(tx: DataFrame, *texts: Column | tuple) -> DataFrame:
@@ -87,10 +88,11 @@ def words(rows: DataFrame, bounds: list[float], labels: list[str] | None = None)
 
     Words stand inside their columns; labels, which are a header's, at the left of theirs.
     """
-    each = rows.select("file", "seq", F.posexplode("cells").alias("c", "cell")).where("cell <> ''").select("*", F.size(F.split("cell", " ")).alias("m")).select("*", F.posexplode(F.split("cell", " ")).alias("i", "text"))
+    each = rows.select("file", "seq", F.posexplode("cells").alias("c", "cell")).where("cell <> ''").select("*", F.posexplode(F.split("cell", " ")).alias("i", "text"))
     edges = F.array(*map(F.lit, map(float, bounds)))
     left, right = F.get(edges, F.col("c")), F.get(edges, F.col("c") + 1)
-    x = left + (F.least(right, left + 200.0) - left) * (F.col("i") + 1) / (F.col("m") + 1)
+    m = F.length("cell") - F.length(F.replace(F.col("cell"), F.lit(" "), F.lit(""))) + 1
+    x = left + (F.least(right, left + 200.0) - left) * (F.col("i") + 1) / (m + 1)
     if labels:
         x = F.when(F.col("cell").isin(labels), left).otherwise(x)
     entry = F.expr("seq DIV 10 - 1")

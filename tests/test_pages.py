@@ -123,3 +123,31 @@ def test_period_cut(spark):
     rows = spark.sql("select file, date'2024-01-01' + cast(i as int) as txn_date from (select explode(sequence(0, 9)) i), (select explode(array(1, 2, 3)) file)")
     pages = spark.createDataFrame([(1, 1, "X from 03-01-2024 to 05-01-2024"), (1, 2, "from 01-01-2020 to 02-01-2020"), (2, 1, "from 31-02-2024 to 5"), (2, 2, None)], "file long, page int, text string")
     assert {r.file: r["count"] for r in G.within_period(rows, pages).groupBy("file").count().collect()} == {1: 3, 2: 10, 3: 10}
+
+
+def test_tables_meet_their_headers_without_being_made_again(spark):
+    rnd, rows, want = random.Random(5), [], {}
+    heads = {"date": "Txn Date", "debit": "Debit", "credit": "Credit", "amount": "Amount", "drcr": "Dr/Cr", "description": "Narration", "reference": "Chq No", "balance": "Closing Bal"}
+    for file in range(40):
+        named = rnd.sample(sorted(heads), rnd.randrange(2, 8)) + [None] * rnd.randrange(3)
+        body = [[rnd.choice(["1.00", "2,500.00", "", "x", None]) if rnd.random() < 0.6 else "3.00" for _ in range(len(named) - (rnd.random() < 0.2))] for _ in range(rnd.randrange(8))]
+        lead = rnd.randrange(7)
+        rows += [(file, i, cells) for i, cells in enumerate([["old 1.00"]] * lead + [[heads.get(k, "Rs") for k in named]] + body)]
+        has = set(named)
+        score = 2 * ("date" in has) + 2 * bool(has & {"debit", "credit"}) + 2 * ({"amount", "drcr"} <= has) + ("balance" in has) + ("description" in has) - 0.2 * sum(k in (None, "reference") for k in named)
+        if lead < 6 and score >= 2:
+            at = {k: named.index(k) if k in named else None for k in heads}
+            if at["debit"] is not None and at["credit"] is not None:
+                at["amount"] = at["drcr"] = None
+            if at["balance"] is None:
+                last = max(-1 if at[k] is None else at[k] for k in ("debit", "credit", "amount", "drcr"))
+                for i in range(last + 1, len(named)):
+                    cells = [c[i] for c in body if len(c) > i]
+                    hits = sum(c not in (None, "", "x") for c in cells)
+                    at["balance"] = i if hits >= 3 and hits >= int(len(cells) * 0.6) else at["balance"]
+            want[file] = (lead, at | {"date": at["date"] or 0})
+    df = spark.createDataFrame(rows, CELLS)
+    out = {r.file: (r.header, {k: r[f"at_{k}"] for k in heads}) for r in G.file_columns(df).collect()}
+    assert out == want and len(want) > 15 and any(at["balance"] is not None and at["balance"] > 0 for _, at in want.values())
+    plan = G.table_rows(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Join" not in plan
