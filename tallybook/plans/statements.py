@@ -38,14 +38,17 @@ ORDERS = 25_000
 
 
 def transactions(spark, sf) -> DataFrame:
-    """Entries of the orders, dealt by file to as many tasks as there are ORDERS of them; what follows keeps a file in its task."""
-    o = dealt(table(spark, sf, "orders"), ORDERS, "o_custkey")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    """Entries of the orders, dealt by file to as many tasks as there are ORDERS of them; what follows keeps a file in its task.
+
+    The window is over `file` itself, so that a filter on it is applied below: who reads some files orders and sums those only.
+    """
+    o = dealt(table(spark, sf, "orders").withColumnRenamed("o_custkey", "file"), ORDERS, "file")
+    w = Window.partitionBy("file").orderBy("o_orderdate", "o_orderkey")
     amount = F.col("o_totalprice").cast("decimal(18,2)")
     signed = F.when(F.col("o_orderstatus") == "F", -amount).otherwise(amount)
     k = F.col("o_orderkey")
     return o.select(
-        F.col("o_custkey").alias("file"), F.row_number().over(w).alias("n"), k.alias("k"), F.to_date("o_orderdate").alias("d"), (F.col("o_orderstatus") == "F").alias("dr"),
+        "file", F.row_number().over(w).alias("n"), k.alias("k"), F.to_date("o_orderdate").alias("d"), (F.col("o_orderstatus") == "F").alias("dr"),
         amount.alias("amt"), F.sum(signed).over(w).cast("decimal(18,2)").alias("bal"), F.concat(F.lit("ITEM "), k.cast("string"), F.when(k % 4 == 0, LONG).otherwise("")).alias("narr"), F.concat(F.lit("R"), k.cast("string")).alias("ref"),
     )
 

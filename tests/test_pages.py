@@ -151,3 +151,10 @@ def test_tables_meet_their_headers_without_being_made_again(spark):
     assert out == want and len(want) > 15 and any(at["balance"] is not None and at["balance"] > 0 for _, at in want.values())
     plan = G.table_rows(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Join" not in plan
+
+
+def test_some_files_are_ordered_without_the_others(spark):
+    from tallybook.plans import statements as S
+
+    plan = S.transactions(spark, "/root/testdata/sf0.001").where(F.col("file") % 3 == 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("% 3) = 1")
